@@ -79,6 +79,11 @@ def per_column(df: DataFrame, names: Sequence[str], metrics: dict[str, Callable[
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
+def no_rows(df: DataFrame, ddl: str) -> DataFrame:
+    """Empty report, for a table without columns of the wanted kind."""
+    return df.sparkSession.createDataFrame([], ddl)
+
+
 def short_key(df: DataFrame, name: str) -> Column:
     """Stand-in for a value in grouping keys: long texts shrink to their SHA-256, so a
     shuffle on them moves 64 characters instead of whole documents."""

@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from plumbline.session import BROADCAST_ROWS
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match each other; keeps the left key columns."""
+    keyed = right.select(
+        *[F.col(c).alias(f"_key_{c}") if c in on else F.col(c) for c in right.columns]
+    )
+    match = F.lit(True)
+    for c in on:
+        match = match & left[c].eqNullSafe(keyed[f"_key_{c}"])
+    return left.join(keyed, match, how).drop(*[f"_key_{c}" for c in on])
+
+
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``limit`` rows; reads no more than ``limit + 1``."""
     return df.limit(limit + 1).count() <= limit

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.joins import null_safe_join
+
 SKETCH_ACCURACY = 20_000
 
 
@@ -159,7 +161,7 @@ def running_totals(
     )
     local = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = cut.select("*", *[F.sum(c).over(local).alias(f"_run_{o}") for o, c in sums.items()])
-    joined = summed.join(offsets, [*groups, "_bucket"])
+    joined = null_safe_join(summed, offsets, [*groups, "_bucket"])
     return joined.select(*df.columns, *[(F.col(f"_run_{o}") + F.col(f"_off_{o}")).alias(o) for o in sums])
 
 
@@ -198,7 +200,7 @@ def carry_forward(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     known = cut.select("*", *[F.last(c, ignorenulls=True).over(local).alias(f"_known_{c}") for c in columns])
-    filled = known.join(carried, [*groups, "_bucket"])
+    filled = null_safe_join(known, carried, [*groups, "_bucket"])
     return filled.select(
         *[F.coalesce(f"_known_{c}", f"_in_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
     )
