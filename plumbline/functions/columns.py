@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,17 +67,26 @@ def pct(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.when(whole > 0, F.round(part * F.lit(100.0) / whole, digits)).otherwise(F.lit(0.0))
 
 
-def per_column(df: DataFrame, names: Sequence[str], metrics: dict[str, Callable[[str], Column]]) -> DataFrame:
-    """One aggregate over the table, turned into one row per column.
+def per_column(
+    df: DataFrame, names: Sequence[str], metrics: dict[str, Callable[[str], Column]], block: int | None = None
+) -> DataFrame:
+    """Aggregates of many columns, turned into one row per column.
 
-    ``metrics`` maps an output name to a function from column name to aggregate.
+    ``metrics`` maps an output name to a function from column name to aggregate. Up to
+    ``block`` columns share a scan; each block reads only its own columns, so smaller
+    blocks keep heavy aggregates inside compiled code without reading more.
     """
-    aggregates = [fn(c).alias(f"{m}#{i}") for i, c in enumerate(names) for m, fn in metrics.items()]
-    rows = [
-        F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{m}#{i}`").alias(m) for m in metrics])
-        for i, c in enumerate(names)
-    ]
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    parts = []
+    block = block or max(1, 40 // len(metrics))
+    for start in range(0, len(names), block):
+        some = names[start:start + block]
+        aggregates = [fn(c).alias(f"{m}#{i}") for i, c in enumerate(some) for m, fn in metrics.items()]
+        rows = [
+            F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{m}#{i}`").alias(m) for m in metrics])
+            for i, c in enumerate(some)
+        ]
+        parts.append(df.agg(*aggregates).select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def no_rows(df: DataFrame, ddl: str) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import no_rows, numeric_columns, per_column, present, ref
 from plumbline.operators.ordered import exact_quantiles
 
-PAIRS_PER_JOB = 400
 MI_BINS = 16
 
 
@@ -29,25 +30,47 @@ def variances(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 
 
 def correlations(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns over rows that have both.
+    """Pearson correlation of every pair of numeric columns over the rows that have both.
 
-    All pairs come from one scan, in blocks of aggregates for wide tables.
+    Each Arrow batch adds to a few column-by-column product matrices; a partition emits
+    one row per pair, and the sums per pair are the only shuffle. Values are shifted by
+    the column mean first, which keeps the sums well scaled.
     """
-    pairs = list(combinations(numeric_columns(df, exclude), 2))
-    out = no_rows(df, "col_a string, col_b string, correlation double")
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        block = pairs[start:start + PAIRS_PER_JOB]
-
-        def corr(a, b):
-            both = present(df, a).isNotNull() & present(df, b).isNotNull()
-            value = F.corr(F.when(both, present(df, a).cast("double")), F.when(both, present(df, b).cast("double")))
-            return F.nanvl(value, F.lit(None).cast("double"))
-
-        one = df.agg(*[corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(block)])
-        rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("correlation")) for i, (a, b) in enumerate(block)]
-        found = one.select(F.inline(F.array(*rows)))
-        out = found if start == 0 else out.unionByName(found)
-    return out
+    names = numeric_columns(df, exclude)
+    if len(names) < 2:
+        return no_rows(df, "col_a string, col_b string, correlation double")
+    means = {r["column_name"]: r["m"] or 0.0 for r in per_column(df, names, {"m": lambda c: F.avg(present(df, c).cast("double"))}).collect()}
+    shift = np.array([means[c] for c in names])
+
+    def products(batches):
+        size = len(names)
+        n, sx, sxx, sxy = (np.zeros((size, size)) for _ in range(4))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float, na_value=np.nan) - shift
+            has = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            n += has.T @ has
+            sx += x.T @ has
+            sxx += (x * x).T @ has
+            sxy += x.T @ x
+        a, b = np.triu_indices(size, 1)
+        yield pd.DataFrame(
+            {"a": a, "b": b, "n": n[a, b], "sa": sx[a, b], "sb": sx[b, a], "saa": sxx[a, b], "sbb": sxx[b, a], "sab": sxy[a, b]}
+        )
+
+    numbers = df.select(*[present(df, c).cast("double").alias(c) for c in names])
+    sums = numbers.mapInPandas(products, "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double")
+    total = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    spread_a = F.col("n") * F.col("saa") - F.col("sa") * F.col("sa")
+    spread_b = F.col("n") * F.col("sbb") - F.col("sb") * F.col("sb")
+    value = F.when(
+        (spread_a > 0) & (spread_b > 0),
+        (F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")) / (F.sqrt(spread_a) * F.sqrt(spread_b)),
+    )
+    labels = F.array(*[F.lit(c) for c in names])
+    return total.select(
+        F.element_at(labels, F.col("a") + 1).alias("col_a"), F.element_at(labels, F.col("b") + 1).alias("col_b"), value.alias("correlation")
+    )
 
 
 def anova_scores(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -9,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import missing, numeric_columns, per_column, present, ref
+from plumbline.operators.profile import numeric_rows
 from plumbline.operators.validate import corrected_skewness
 
-GRID = 33
-ROUNDS = 5
+GRID = 9
+ROUNDS = 6
 
 
 def yeo_johnson(x: Column, power: float) -> Column:
@@ -23,6 +25,13 @@ def yeo_johnson(x: Column, power: float) -> Column:
     return F.when(x >= 0, up).otherwise(F.when(x < 0, down))
 
 
+def _from_log(size: Column, negative: Column, power: Column) -> Column:
+    """The same transform from ``size = log1p(|x|)``, the sign, and an exponent column."""
+    p = F.when(negative, 2 - power).otherwise(power)
+    grown = F.when(F.abs(p) < 1e-12, size).otherwise((F.exp(size * p) - 1) / p)
+    return F.when(negative, -grown).otherwise(grown)
+
+
 def fit_powers(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
     """Maximum-likelihood exponents of several columns by grid refinement.
 
@@ -31,44 +40,57 @@ def fit_powers(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
     the last three points gives the final digits.
     """
     names = list(names)
+    if not names:
+        return {}
+    spark = df.sparkSession
+    logs = numeric_rows(df, names).select(
+        "column_name", F.log1p(F.abs("value")).alias("size"), (F.col("value") < 0).alias("negative")
+    )
+    signed = F.when(F.col("negative"), -F.col("size")).otherwise(F.col("size"))
+    base = {
+        r["column_name"]: (r["n"], r["total"])
+        for r in logs.groupBy("column_name").agg(F.count("*").alias("n"), F.sum(signed).alias("total")).collect()
+    }
+    names = [c for c in names if c in base]
     centers = {c: 0.0 for c in names}
     half = {c: 2.0 for c in names}
     best: dict[str, float] = {}
     done = {c: 0 for c in names}
     while any(n < ROUNDS for n in done.values()):
-        open_ = [c for c in names if done[c] < ROUNDS]
-        grids = {c: [centers[c] - half[c] + 2 * half[c] * i / (GRID - 1) for i in range(GRID)] for c in open_}
-        aggregates = []
-        for k, c in enumerate(open_):
-            x = present(df, c).cast("double")
-            aggregates.append(F.count(x).alias(f"n{k}"))
-            aggregates.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"l{k}"))
-            aggregates += [F.var_pop(yeo_johnson(x, p)).alias(f"v{k}_{i}") for i, p in enumerate(grids[c])]
-        row = df.agg(*aggregates).first()
-        for k, c in enumerate(open_):
-            scores = _likelihoods(row, k, grids[c])
+        grids = {
+            c: [centers[c] - half[c] + 2 * half[c] * i / (GRID - 1) for i in range(GRID)]
+            for c in names
+            if done[c] < ROUNDS
+        }
+        points = [(c, i, p) for c, grid in grids.items() for i, p in enumerate(grid)]
+        grid_rows = F.broadcast(spark.createDataFrame(points, "column_name string, i int, power double"))
+        spreads = {
+            (r["column_name"], r["i"]): r["spread"]
+            for r in logs.join(grid_rows, "column_name")
+            .groupBy("column_name", "i")
+            .agg(F.var_pop(_from_log(F.col("size"), F.col("negative"), F.col("power"))).alias("spread"))
+            .collect()
+        }
+        for c, grid in grids.items():
+            scores = [_likelihood(spreads.get((c, i)), *base[c], p) for i, p in enumerate(grid)]
             top = max(range(GRID), key=lambda i: scores[i])
-            step = 2 * half[c] / (GRID - 1)
-            if top in (0, GRID - 1) and abs(grids[c][top]) < 50 and scores[top] > float("-inf"):
-                centers[c] = grids[c][top]
+            if scores[top] == float("-inf"):
+                best[c], done[c] = 1.0, ROUNDS
                 continue
-            best[c] = _vertex(grids[c], scores, top, step)
-            centers[c], half[c] = grids[c][top], step
+            if top in (0, GRID - 1) and abs(grid[top]) < 50:
+                centers[c] = grid[top]
+                continue
+            step = 2 * half[c] / (GRID - 1)
+            best[c] = _vertex(grid, scores, top, step)
+            centers[c], half[c] = grid[top], step
             done[c] += 1
-            if abs(centers[c]) >= 50 or scores[top] == float("-inf"):
-                done[c] = ROUNDS
     return best
 
 
-def _likelihoods(row, k: int, grid: Sequence[float]) -> list[float]:
-    import math
-
-    out = []
-    for i, p in enumerate(grid):
-        v = row[f"v{k}_{i}"]
-        ok = v is not None and v > 0 and math.isfinite(v)
-        out.append(-row[f"n{k}"] / 2 * math.log(v) + (p - 1) * row[f"l{k}"] if ok else float("-inf"))
-    return out
+def _likelihood(spread: float | None, n: int, total: float, power: float) -> float:
+    if spread is None or not 0 < spread < float("inf"):
+        return float("-inf")
+    return -n / 2 * math.log(spread) + (power - 1) * total
 
 
 def _vertex(grid, scores, top, step) -> float:

@@ -266,14 +266,14 @@ def moments(df: DataFrame, names: Sequence[str]) -> DataFrame:
         {
             "n": lambda c: F.count(x(c)),
             "mean": lambda c: F.avg(x(c)),
-            "std": lambda c: F.stddev_samp(x(c)),
             "variance": lambda c: F.var_samp(x(c)),
             "min": lambda c: F.min(x(c)),
             "max": lambda c: F.max(x(c)),
             "skew": lambda c: F.skewness(x(c)),
             "kurt": lambda c: F.kurtosis(x(c)),
         },
-    )
+        block=2,
+    ).withColumn("std", F.sqrt("variance"))
 
 
 def numeric_modes(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -413,8 +413,14 @@ def outlier_report(df: DataFrame, names: Sequence[str] | None = None) -> DataFra
             "column_name string, q1 double, q3 double, iqr double, lower_fence double, upper_fence double, "
             "iqr_outliers long, iqr_outlier_pct double, z_outliers long, z_outlier_pct double",
         )
+    def x(c):
+        return present(df, c).cast("double")
+
+    spread = per_column(
+        df, names, {"n": lambda c: F.count(x(c)), "mean": lambda c: F.avg(x(c)), "std": lambda c: F.stddev_samp(x(c))}
+    )
     limits = one_column(
-        moments(df, names).select("column_name", "n", "mean", "std"),
+        spread,
         quantile_columns(df, names, {"q1": 0.25, "q3": 0.75}),
     ).where(F.col("n") >= MIN_OUTLIER_VALUES)
     reach = (F.col("q3") - F.col("q1")) * FENCE

@@ -62,7 +62,10 @@ def main() -> int:
         con.execute(f"create view {t} as select * from read_parquet('{args.sf}/{t}.parquet')")
     spark = local_session(8)
     bad = 0
-    for name in args.names or list(catalog.QUERIES):
+    wanted = args.names or [
+        n for n, f in catalog.QUERIES.items() if not args.modules or f.__module__.split(".")[-1] in args.modules.split(",")
+    ]
+    for name in wanted:
         start = time.time()
         try:
             df = catalog.QUERIES[name](spark, args.sf)
