@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("profiling", "features", "drift", "documents", "dialogue", "tables", "models", "streams")
+MODULES = ("profiling", "features", "drift", "sources", "documents", "dialogue", "tables", "models", "streams")
 
 
 def query(sql: str | None = None):

@@ -102,10 +102,11 @@ def score_counts(df: DataFrame, actual: str, score: str, positive, by: Sequence[
 
 def roc_points(df: DataFrame, actual: str, score: str, positive=1, by: Sequence[str] = ()) -> DataFrame:
     """True and false positive rate at every distinct score, the highest first."""
-    counts = score_counts(df, actual, score, positive, by)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    upto = running_totals(counts, ["down"], {"tp": "pos", "fp": "neg"}, by)
-    joined = upto.join(F.broadcast(totals), list(by)) if by else upto.join(F.broadcast(totals))
+    keys = list(by) or ["_all"]
+    counts = score_counts(df if by else df.withColumn("_all", F.lit(0)), actual, score, positive, keys)
+    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    upto = running_totals(counts, ["down"], {"tp": "pos", "fp": "neg"}, keys)
+    joined = upto.join(F.broadcast(totals), keys)  # one row per group of ``by``
     return joined.select(
         *by,
         F.col("score").alias("threshold"),
