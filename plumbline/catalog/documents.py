@@ -82,14 +82,36 @@ def token_chunks(spark, d):
     return hashed(chunking.token_chunks(table(spark, d, "documents").select("doc_id", "text")))
 
 
-@query()
+def grouped_sql(units: str, size: int = 512) -> str:
+    """Greedy grouping with the last unit carried over, one unit per step of the recursion."""
+    return f"""with recursive units as ({units}), sized as (select doc_id, list_transform(u, lambda x: length(x)) as lens from units),
+walk(doc_id, lens, i, first, start, pos, joined, ef, es, est) as (
+  select doc_id, lens, 1, 1, 0::bigint, 0::bigint, -1::bigint, null::int, null::int, null::bigint from sized where len(lens) > 0
+  union all
+  select doc_id, lens, i + 1, case when i <= len(lens) and ovf then i - 1 else first end,
+    case when i <= len(lens) and (ovf or i = first) then pos else start end, pos + coalesce(lens[i], 0) + 1,
+    case when ovf then lens[i] + lens[i - 1] + 1 else joined + 1 + lens[i] end,
+    case when i > len(lens) or ovf then first end, case when i > len(lens) or ovf then i end, case when i > len(lens) or ovf then start end
+  from (select *, coalesce(i > first and joined + 1 + lens[i] > {size}, false) as ovf from walk where i <= len(lens) + 1))
+select doc_id, row_number() over (partition by doc_id order by es) - 1 as chunk_index, est as char_start, est + length(t) as char_end, t as chunk_text,
+  greatest(1, length(t) // 4) as token_estimate
+from (select w.doc_id, es, est, array_to_string(u[ef:es - 1], ' ') as t from walk w join units using (doc_id) where ef is not null)"""
+
+
+@query(grouped_sql("select doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as u from documents where length(text) > 0"))
 def sentence_chunks(spark, d):
     return chunking.sentence_chunks(table(spark, d, "documents").select("doc_id", "text"))
 
 
-@query()
+SPACED_SQL = "regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10) || chr(10), 'g')"
+
+
+@query(grouped_sql(f"""select doc_id, list_filter(list_transform(string_split_regex({SPACED_SQL}, '\\n{{2,}}'),
+  lambda p: regexp_replace(regexp_replace(p, '^\\s+', ''), '\\s+$', '')), lambda p: p <> '') as u from documents"""))
 def paragraph_chunks(spark, d):
-    return chunking.paragraph_chunks(table(spark, d, "documents").select("doc_id", "text"))
+    """Texts are first set with a blank line after every sentence."""
+    spaced = F.regexp_replace("text", r"([.!?])\s+", "$1\n\n")
+    return chunking.paragraph_chunks(table(spark, d, "documents").select("doc_id", spaced.alias("text")))
 
 
 @query()
