@@ -232,10 +232,14 @@ def search(
                     found = cluster_metrics(base, train(base, problem, algorithm, features, **options))
                 else:
                     predicted = out_of_fold(base, problem, algorithm, features, target, fold_count, **options)
-                    if problem == "classification":
-                        found = class_metrics(predicted, target)
-                    else:
-                        found = metrics.regression_metrics(predicted, target, "result").first().asDict()
+                    predicted = predicted.drop(*keys, *features).persist()
+                    try:
+                        if problem == "classification":
+                            found = class_metrics(predicted, target)
+                        else:
+                            found = metrics.regression_metrics(predicted, target, "result").first().asDict()
+                    finally:
+                        predicted.unpersist()
                 rows.append((algorithm, {k: float(v) for k, v in found.items()}, round(time.monotonic() - started, 2)))
             except Exception as exc:  # noqa: BLE001 - one failing algorithm does not stop the others
                 errors.append(f"{algorithm}: {exc}")
