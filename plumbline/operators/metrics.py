@@ -102,11 +102,14 @@ def score_counts(df: DataFrame, actual: str, score: str, positive, by: Sequence[
 
 def roc_points(df: DataFrame, actual: str, score: str, positive=1, by: Sequence[str] = ()) -> DataFrame:
     """True and false positive rate at every distinct score, the highest first."""
-    keys = list(by) or ["_all"]
-    counts = score_counts(df if by else df.withColumn("_all", F.lit(0)), actual, score, positive, keys)
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    upto = running_totals(counts, ["down"], {"tp": "pos", "fp": "neg"}, keys)
-    joined = upto.join(F.broadcast(totals), keys)  # one row per group of ``by``
+    counts = score_counts(df, actual, score, positive, by)
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    upto = running_totals(counts, ["down"], {"tp": "pos", "fp": "neg"}, by)
+    if by:
+        joined = upto.join(F.broadcast(totals), list(by))  # one row per group
+    else:
+        one = totals.select(F.struct("P", "N").alias("t")).scalar()
+        joined = upto.withColumn("_t", one).select("*", "_t.P", "_t.N")
     return joined.select(
         *by,
         F.col("score").alias("threshold"),
@@ -165,10 +168,12 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
         F.var_pop("y").alias("spread"),
         F.var_pop(error).alias("noise"),
     )
-    keyed = rows.select(*(by or [F.lit(0).alias("_all")]), F.abs(error).alias("value"))
-    keys = list(by) or ["_all"]
-    middle = exact_quantiles(keyed, keys, [0.5]).select(*keys, F.element_at("quantiles", 1).alias("median_ae"))
-    joined = (sums if by else sums.withColumn("_all", F.lit(0))).join(F.broadcast(middle), keys)
+    middle = exact_quantiles(rows.select(*by, F.abs(error).alias("value")), by, [0.5])
+    middle = middle.select(*by, F.element_at("quantiles", 1).alias("median_ae"))
+    if by:
+        joined = sums.join(F.broadcast(middle), list(by))
+    else:
+        joined = sums.withColumn("median_ae", middle.select("median_ae").scalar())
 
     def explained(loss: str) -> Column:
         return F.when(F.col("spread") > 0, 1 - F.col(loss) / F.when(F.col("spread") > 0, F.col("spread"))).otherwise(

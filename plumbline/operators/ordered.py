@@ -33,7 +33,8 @@ def exact_quantiles(
     A quantile sketch brackets every wanted rank within ``2 / accuracy`` of the rows.
     Rows below a bracket are only counted; only rows inside one are shuffled, already
     grouped by value, so ties collapse. ``keys`` must be few (columns, features,
-    classes): the bracket table has one row per key and is broadcast.
+    classes): the bracket table has one row per key and is broadcast. Without keys the
+    single bracket row is a scalar subquery.
     """
     keys = list(keys)
     probabilities = [float(p) for p in probabilities]
@@ -47,7 +48,11 @@ def exact_quantiles(
         F.count("value").alias("n"),
         F.percentile_approx("value", low + high, accuracy).alias("marks"),
     )
-    bounded = rows.join(F.broadcast(sketch), keys)
+    if keys:
+        bounded = rows.join(F.broadcast(sketch), keys)
+    else:
+        one = sketch.select(F.struct("n", "marks").alias("s")).scalar()
+        bounded = rows.withColumn("_s", one).select("value", "_s.n", "_s.marks")
     lo = [F.element_at("marks", i + 1) for i in range(count)]
     hi = [F.element_at("marks", count + i + 1) for i in range(count)]
 
