@@ -30,31 +30,50 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per key, as ``(keys, n, quantiles ARRAY<DOUBLE>)``.
 
-    A quantile sketch brackets every wanted rank within ``2 / accuracy`` of the rows.
-    Rows below a bracket are only counted; only rows inside one are shuffled, already
-    grouped by value, so ties collapse. ``keys`` must be few (columns, features,
-    classes): the bracket table has one row per key and is broadcast. Without keys the
-    single bracket row is a scalar subquery.
+    A quantile sketch brackets every wanted rank, with a margin of several times its
+    error; groups too small for the margin to span whole ranks take a wider bracket, or
+    all their values. Rows below a bracket are only counted; only rows inside one are
+    shuffled, already grouped by value, so ties collapse. A rank outside its bracket
+    would fail the job rather than give a wrong value.
+
+    ``keys`` must be few (columns, features, classes): the bracket table has one row per
+    key and is broadcast. Without keys the single row is a scalar subquery.
     """
     keys = list(keys)
     probabilities = [float(p) for p in probabilities]
-    margin = 2.0 / accuracy
-    low = [max(0.0, p - margin) for p in probabilities]
-    high = [min(1.0, p + margin) for p in probabilities]
     count = len(probabilities)
+    margins = (4.0 / accuracy, 80.0 / accuracy)
+    enough = (10 * accuracy, accuracy // 5)
+    asked = [0.0, 1.0]
+    for margin in margins:
+        asked += [max(0.0, p - margin) for p in probabilities] + [min(1.0, p + margin) for p in probabilities]
     rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("value"))
 
     sketch = rows.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.percentile_approx("value", low + high, accuracy).alias("marks"),
+        F.count("value").alias("n"), F.percentile_approx("value", asked, accuracy).alias("marks")
+    )
+
+    def bound(slot: int, side: int) -> Column:
+        places = [3 + 2 * count * level + side * count + slot for level in range(len(margins))]
+        return (
+            F.when(F.col("n") > enough[0], F.element_at("marks", places[0]))
+            .when(F.col("n") > enough[1], F.element_at("marks", places[1]))
+            .otherwise(F.element_at("marks", side + 1))
+        )
+
+    sketch = sketch.select(
+        *keys,
+        "n",
+        F.array(*[bound(i, 0) for i in range(count)]).alias("lows"),
+        F.array(*[bound(i, 1) for i in range(count)]).alias("highs"),
     )
     if keys:
         bounded = rows.join(F.broadcast(sketch), keys)
     else:
-        one = sketch.select(F.struct("n", "marks").alias("s")).scalar()
-        bounded = rows.withColumn("_s", one).select("value", "_s.n", "_s.marks")
-    lo = [F.element_at("marks", i + 1) for i in range(count)]
-    hi = [F.element_at("marks", count + i + 1) for i in range(count)]
+        one = sketch.select(F.struct("n", "lows", "highs").alias("s")).scalar()
+        bounded = rows.withColumn("_s", one).select("value", "_s.n", "_s.lows", "_s.highs")
+    lo = [F.element_at("lows", i + 1) for i in range(count)]
+    hi = [F.element_at("highs", i + 1) for i in range(count)]
 
     below = bounded.groupBy(*keys, "n").agg(
         *[F.sum((F.col("value") < lo[i]).cast("long")).alias(f"below{i}") for i in range(count)]
@@ -97,7 +116,11 @@ def exact_quantiles(
     picked = ranked.groupBy(*keys, "n", "slot", "at").agg(
         F.min(F.when(F.col("upto") > F.floor("at"), F.col("value"))).alias("x0"),
         F.min(F.when(F.col("upto") > F.floor("at") + 1, F.col("value"))).alias("x1"),
+        F.max(F.when(F.col("value").isNull(), F.col("upto"))).alias("skipped"),
+        F.max("upto").alias("reached"),
     )
+    missed = (F.col("skipped") > F.floor("at")) | (F.col("reached") < F.least(F.floor("at") + 2, F.col("n")))
+    picked = picked.withColumn("x0", F.when(missed, F.raise_error(F.lit("quantile bracket missed"))).otherwise(F.col("x0")))
     part = F.col("x0") + (F.coalesce("x1", "x0") - F.col("x0")) * (F.col("at") - F.floor("at"))
     return picked.groupBy(*keys, "n").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", part.alias("q")))), lambda s: s["q"]).alias("quantiles")

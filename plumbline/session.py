@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 200_000
 
 
-def local_session(cores: str | int = "*", app: str = "plumbline", shuffle: int = 8) -> SparkSession:
-    spark = (
+def local_session(
+    cores: str | int = "*", app: str = "plumbline", shuffle: int = 8, options: dict[str, str] | None = None
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -22,8 +24,10 @@ def local_session(cores: str | int = "*", app: str = "plumbline", shuffle: int =
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in (options or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -33,10 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a session that names none (a single-machine test) gets a fresh folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", named)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named
 
 
