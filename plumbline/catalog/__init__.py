@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -29,8 +31,13 @@ def query(sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# Tables whose rows take long to process are spread over the cores if a file is one split.
+HEAVY = ("documents", "pages")
+
+
+def table(spark: SparkSession, folder: str, name: str, heavy: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if heavy or name in HEAVY else df
 
 
 def load() -> None:

@@ -14,7 +14,7 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def halves(spark, d):
-    df = table(spark, d, "lineitem")
+    df = table(spark, d, "lineitem", heavy=True)
     cut = F.lit(CUT).cast("timestamp_ntz")
     price = F.when(F.col("l_shipdate") < cut, F.col("l_extendedprice")).otherwise(F.col("l_extendedprice") * 1.5)
     df = df.select("l_shipdate", "l_quantity", price.alias("l_extendedprice"), "l_discount", "l_tax", "l_returnflag", "l_linestatus")

@@ -320,14 +320,14 @@ def anova_sql(c):
 
 @query(" union all ".join(f"select column_name, round(f, 4) as f_score from ({anova_sql(c)})" for c in SCORED))
 def anova_scores(spark, d):
-    df = table(spark, d, "lineitem").select(*SCORED, "l_returnflag")
+    df = table(spark, d, "lineitem", heavy=True).select(*SCORED, "l_returnflag")
     return rounded(select.anova_scores(df, "l_returnflag"), 4, "f_score")
 
 
 @query(f"""with f as ({" union all ".join(anova_sql(c) for c in SCORED)})
 select column_name, row_number() over (order by f desc) <= 2 as kept from f""")
 def kbest_filter(spark, d):
-    df = table(spark, d, "lineitem").select(*SCORED, "l_returnflag")
+    df = table(spark, d, "lineitem", heavy=True).select(*SCORED, "l_returnflag")
     fit = select.fit_selection(df, "kbest", "l_returnflag", k_best=2)
     return select.anova_scores(df, "l_returnflag").select("column_name", (~F.col("column_name").isin(*fit.dropped)).alias("kept"))
 
@@ -342,7 +342,7 @@ def mi_sql(c):
 
 @query(" union all ".join(f"select column_name, round(mi, 6) as mutual_information from ({mi_sql(c)})" for c in SCORED))
 def mutual_information(spark, d):
-    df = table(spark, d, "lineitem").select(*SCORED, "l_linestatus")
+    df = table(spark, d, "lineitem", heavy=True).select(*SCORED, "l_linestatus")
     return rounded(select.mutual_information(df, "l_linestatus"), 6, "mutual_information")
 
 

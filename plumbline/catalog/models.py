@@ -122,13 +122,13 @@ def regression_rounded(df):
 
 @query(REGRESSION.format(k=""))
 def regression_metrics(spark, d):
-    df = table(spark, d, "lineitem").select("l_extendedprice", (F.col("l_quantity") * 1500).alias("guess"))
+    df = table(spark, d, "lineitem", heavy=True).select("l_extendedprice", (F.col("l_quantity") * 1500).alias("guess"))
     return regression_rounded(metrics.regression_metrics(df, "l_extendedprice", "guess"))
 
 
 @query(REGRESSION.format(k="l_returnflag,") + " group by l_returnflag")
 def regression_metrics_by(spark, d):
-    df = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice", (F.col("l_quantity") * 1500).alias("guess"))
+    df = table(spark, d, "lineitem", heavy=True).select("l_returnflag", "l_extendedprice", (F.col("l_quantity") * 1500).alias("guess"))
     return regression_rounded(metrics.regression_metrics(df, "l_extendedprice", "guess", ["l_returnflag"]))
 
 

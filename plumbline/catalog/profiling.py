@@ -31,7 +31,7 @@ EXPECTED = {
 
 
 def gaps(spark, d):
-    df = table(spark, d, "lineitem")
+    df = table(spark, d, "lineitem", heavy=True)
     return df.select(
         "l_orderkey", "l_partkey", "l_suppkey",
         F.nullif(F.col("l_linenumber"), F.lit(1)).alias("l_linenumber"),

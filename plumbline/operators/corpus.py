@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.joins import lookup_join
 from plumbline.functions.text import suffix
+from plumbline.session import materialize
 
 # Fixed values of the admission rule.
 FORMATS = ("csv", "data", "xlsx", "xls", "json", "parquet")
@@ -43,6 +44,7 @@ def new_uploads(uploads: DataFrame, known: DataFrame, key: Sequence[str], order:
 def repeated_uploads(uploads: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """Uploads that repeat an earlier one of the batch, with the id of the first."""
     groups = uploads.groupBy(*key).agg(F.min(order).alias("first_id"), F.count("*").alias("_copies")).where("_copies > 1")
+    groups = materialize(groups, "copies")
     matched = lookup_join(uploads, groups, key, "inner", weight="_copies")
     return matched.where(F.col(order) > F.col("first_id")).select(*uploads.columns, "first_id")
 

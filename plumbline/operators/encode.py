@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import categorical_columns, ref
-from plumbline.functions.joins import lookup_join, small_enough
+from plumbline.functions.joins import lookup_join
 from plumbline.operators.ordered import dense_index
 from plumbline.session import materialize
 
@@ -27,13 +27,6 @@ def as_text(df: DataFrame, name: str) -> Column:
     return ref(name).cast("string")
 
 
-def settle(table: DataFrame, label: str) -> DataFrame:
-    """Fix a fitted table: small ones become literals, larger ones a written table."""
-    if small_enough(table, LITERAL_ROWS):
-        return table.sparkSession.createDataFrame(table.collect(), table.schema)
-    return materialize(table, label)
-
-
 @dataclass
 class Encoder:
     """Fitted encoders by column: category lists for one-hot, tables for the others."""
@@ -79,22 +72,37 @@ def counts_of(df: DataFrame, name: str, null_class: str | None = None) -> DataFr
     return rows.groupBy("value").agg(F.count("*").alias("cnt"))
 
 
+def few_rows(table: DataFrame, most: int) -> list | None:
+    """The rows of a table if there are at most ``most``; reads one more to know."""
+    rows = table.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
 def code_table(df: DataFrame, name: str, null_class: str | None = None) -> DataFrame:
-    """``(value, cnt, _code)``: 0-based rank of each value in code-point order."""
+    """``(value, cnt, _code)``: 0-based rank of each value in code-point order.
+
+    Few values are ranked on the driver; many are ranked over range buckets and written.
+    """
     counts = counts_of(df, name, null_class)
-    if small_enough(counts, LITERAL_ROWS):
-        rows = sorted((r["value"], r["cnt"]) for r in counts.collect())
-        return df.sparkSession.createDataFrame(
-            [(v, n, i) for i, (v, n) in enumerate(rows)], "value string, cnt long, _code long"
-        )
-    return materialize(dense_index(counts, "value").withColumnRenamed("position", "_code"), "codes")
+    few = few_rows(counts, LITERAL_ROWS)
+    if few is None:
+        counts = materialize(counts, "counts")
+        return materialize(dense_index(counts, "value").withColumnRenamed("position", "_code"), "codes")
+    ranked = [(v, n, i) for i, (v, n) in enumerate(sorted((r["value"], r["cnt"]) for r in few))]
+    return df.sparkSession.createDataFrame(ranked, "value string, cnt long, _code long")
 
 
 def share_table(df: DataFrame, name: str) -> DataFrame:
     """``(value, cnt, _code)``: share of each value among the non-missing ones."""
     counts = counts_of(df, name)
-    total = counts.agg(F.sum("cnt")).first()[0] or 1
-    return settle(counts.withColumn("_code", F.col("cnt") / F.lit(float(total))), "shares")
+    few = few_rows(counts, LITERAL_ROWS)
+    if few is None:
+        counts = materialize(counts, "counts")
+        total = counts.agg(F.sum("cnt")).first()[0]
+        return counts.withColumn("_code", F.col("cnt") / F.lit(float(total)))
+    total = sum(r["cnt"] for r in few) or 1
+    shares = [(r["value"], r["cnt"], r["cnt"] / total) for r in few]
+    return df.sparkSession.createDataFrame(shares, "value string, cnt long, _code double")
 
 
 def fit_encoder(
@@ -112,14 +120,14 @@ def fit_encoder(
         raise ValueError(f"unknown strategy {strategy!r}")
     out = Encoder(drop_first=drop_first)
     for c in categorical_columns(df, exclude):
-        kind = strategy
-        if kind == "auto":
-            kind = "onehot" if small_enough(counts_of(df, c), max_one_hot) else "label"
-        if kind == "onehot":
-            values = [r["value"] for r in counts_of(df, c).select("value").limit(MAX_ONE_HOT + 1).collect()]
-            if len(values) > MAX_ONE_HOT:
+        kind, values = strategy, None
+        if kind in ("auto", "onehot"):
+            values = few_rows(counts_of(df, c).select("value"), max_one_hot if kind == "auto" else MAX_ONE_HOT)
+            if values is None and kind == "onehot":
                 raise ValueError(f"{c}: more than {MAX_ONE_HOT} values; use label or frequency codes")
-            out.categories[c] = sorted(values)
+            kind = "label" if values is None else "onehot"
+        if kind == "onehot":
+            out.categories[c] = sorted(r["value"] for r in values)
         elif kind == "label":
             out.tables[c] = code_table(df, c, NULL_CLASS)
         elif kind == "ordinal":

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import numeric_columns, ref
+from plumbline.functions.joins import null_safe_join
 from plumbline.operators import metrics, tables
 from plumbline.operators.ordered import running_totals
 
@@ -82,8 +83,8 @@ def class_places(df: DataFrame, keys: Sequence[str], label: str, seed: int = SEE
     cut_points = [i * 2**32 // 64 for i in range(1, 64)]
     drawn = df.withColumn("_hash", row_hash(keys, seed)).withColumn("_one", F.lit(1))
     placed = running_totals(drawn, ["_hash", *keys], {"_place": "_one"}, [label], splits=cut_points)
-    sizes = df.groupBy(ref(label).alias("_label")).agg(F.count("*").alias("_size"))
-    return placed.join(F.broadcast(sizes), placed[label].eqNullSafe(sizes["_label"])).drop("_label", "_one", "_hash")
+    sizes = df.groupBy(label).agg(F.count("*").alias("_size"))
+    return null_safe_join(placed, sizes, [label]).drop("_one", "_hash")
 
 
 def stratified_split(

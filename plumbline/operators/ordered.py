@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from plumbline.functions.joins import null_safe_join
 
 SKETCH_ACCURACY = 20_000
+CELLS = 64
 
 
 # ---------------------------------------------------------------- exact quantiles
@@ -86,6 +88,7 @@ def exact_quantiles(
                 *[
                     F.struct(
                         F.lit(i).alias("slot"),
+                        F.lit(-1).alias("cell"),
                         F.lit(None).cast("double").alias("value"),
                         F.col(f"below{i}").alias("cnt"),
                     )
@@ -95,32 +98,44 @@ def exact_quantiles(
         ),
     )
     hits = [(F.col("value") >= lo[i]) & (F.col("value") <= hi[i]) for i in range(count)]
-    any_hit = hits[0]
-    for hit in hits[1:]:
-        any_hit = any_hit | hit
+    width = [hi[i] - lo[i] for i in range(count)]
+    cells = [
+        F.when(width[i] > 0, F.least(F.lit(CELLS - 1), F.floor((F.col("value") - lo[i]) / width[i] * CELLS).cast("int")))
+        .otherwise(F.lit(0))
+        for i in range(count)
+    ]
+    any_hit = reduce(lambda a, b: a | b, hits)
+    places = F.array_compact(
+        F.array(*[F.when(hits[i], F.struct(F.lit(i).alias("slot"), cells[i].alias("cell"))) for i in range(count)])
+    )
     inside = (
         bounded.where(any_hit)
-        .select(
-            *keys,
-            "n",
-            "value",
-            F.explode(F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(hits)]))).alias("slot"),
-        )
-        .groupBy(*keys, "n", "slot", "value")
+        .select(*keys, "n", "value", F.inline(places))
+        .groupBy(*keys, "n", "slot", "cell", "value")
         .agg(F.count("*").alias("cnt"))
     )
-    along = Window.partitionBy(*keys, "slot").orderBy(F.col("value").asc_nulls_first())
-    upto = F.sum("cnt").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    at = F.element_at(F.array(*[F.lit(p) for p in probabilities]), F.col("slot") + 1) * (F.col("n") - 1)
-    ranked = below.unionByName(inside.select(*below.columns)).withColumn("upto", upto).withColumn("at", at)
+    counted = below.unionByName(inside.select(*below.columns))
+
+    # A bracket is cut into equal cells: their totals show which one or two hold the rank,
+    # and only those are sorted.
+    shares = F.array(*[F.lit(p) for p in probabilities])
+    at = F.element_at(shares, F.col("slot") + 1) * (F.col("n") - 1)
+    before = Window.partitionBy(*keys, "slot").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    totals = counted.groupBy(*keys, "n", "slot", "cell").agg(F.sum("cnt").alias("total"))
+    totals = totals.withColumn("end", F.sum("total").over(before)).withColumn("at", at)
+    wanted = totals.where((F.col("end") > F.floor("at")) & (F.col("end") - F.col("total") <= F.floor("at") + 1))
+    wanted = wanted.select(*keys, "slot", "cell", "at", (F.col("end") - F.col("total")).alias("skipped"))
+    along = Window.partitionBy(*keys, "slot", "cell").orderBy(F.col("value").asc_nulls_first())
+    upto = F.col("skipped") + F.sum("cnt").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.join(F.broadcast(wanted), [*keys, "slot", "cell"]).withColumn("upto", upto)
     picked = ranked.groupBy(*keys, "n", "slot", "at").agg(
         F.min(F.when(F.col("upto") > F.floor("at"), F.col("value"))).alias("x0"),
         F.min(F.when(F.col("upto") > F.floor("at") + 1, F.col("value"))).alias("x1"),
-        F.max(F.when(F.col("value").isNull(), F.col("upto"))).alias("skipped"),
-        F.max("upto").alias("reached"),
+        F.bool_or(F.col("value").isNull()).alias("missed"),
     )
-    missed = (F.col("skipped") > F.floor("at")) | (F.col("reached") < F.least(F.floor("at") + 2, F.col("n")))
-    picked = picked.withColumn("x0", F.when(missed, F.raise_error(F.lit("quantile bracket missed"))).otherwise(F.col("x0")))
+    fail = F.raise_error(F.lit("quantile bracket missed"))
+    missed = F.col("missed") | F.col("x0").isNull() | (F.col("x1").isNull() & (F.floor("at") + 1 < F.col("n")))
+    picked = picked.withColumn("x0", F.when(missed, fail).otherwise(F.col("x0")))
     part = F.col("x0") + (F.coalesce("x1", "x0") - F.col("x0")) * (F.col("at") - F.floor("at"))
     return picked.groupBy(*keys, "n").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", part.alias("q")))), lambda s: s["q"]).alias("quantiles")

@@ -175,13 +175,10 @@ def resolve_versions(requests: DataFrame, registry: DataFrame) -> DataFrame:
 def transition_stage(registry: DataFrame, moves: DataFrame, archive_existing: bool = True) -> DataFrame:
     """Registry after ``moves (name, version, stage)``; other holders of a taken stage are
     archived on request."""
-    wanted = moves.groupBy("name").agg(
-        F.map_from_entries(F.collect_list(F.struct("version", "stage"))).alias("_moves")
-    )
-    joined = registry.join(wanted, "name", "left")
-    moved = F.try_element_at("_moves", F.col("version"))
-    replaced = F.lit(archive_existing) & F.array_contains(F.map_values("_moves"), F.col("stage"))
-    stage = F.coalesce(moved, F.when(replaced, "Archived").otherwise(F.col("stage")))
+    moved = moves.select("name", "version", F.col("stage").alias("_to"))
+    taken = moves.select("name", "stage").distinct().withColumn("_taken", F.lit(archive_existing))
+    joined = registry.join(moved, ["name", "version"], "left").join(taken, ["name", "stage"], "left")
+    stage = F.coalesce("_to", F.when(F.col("_taken"), "Archived"), "stage")
     return joined.withColumn("stage", stage).select(*registry.columns)
 
 

@@ -30,6 +30,7 @@ from plumbline.operators.profile import (
     row_copies,
     value_counts,
 )
+from plumbline.session import materialize
 
 # Fixed values of the checks.
 RARE_SHARE = 0.01
@@ -97,7 +98,8 @@ def duplicate_rows(df: DataFrame, order_by: Sequence[str], ignore: Sequence[str]
     """Every row that repeats an earlier one, ``order_by`` (unique) saying which is first.
 
     Columns in ``ignore`` (a surrogate key) do not count. The groups are counted
-    map-side; only groups with copies are joined back, the heaviest by broadcast.
+    map-side and written once; only groups with copies are joined back, the heaviest by
+    broadcast.
     """
     names = [c for c in df.columns if c not in ignore]
     digest = F.sha2(F.to_json(F.struct(*[short_key(df, c).alias(c) for c in names])), 256)
@@ -107,6 +109,7 @@ def duplicate_rows(df: DataFrame, order_by: Sequence[str], ignore: Sequence[str]
         .agg(F.count("*").alias("_copies"), F.min("_order").alias("_first"))
         .where(F.col("_copies") > 1)
     )
+    groups = materialize(groups, "copies")
     matched = lookup_join(keyed, groups, ["_digest"], "inner", weight="_copies")
     return matched.where(F.col("_order") > F.col("_first")).select(*df.columns)
 

@@ -55,3 +55,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A freshly read table in at least as many parts as there are cores.
+
+    Only a file of very few splits is redistributed, before work that is heavy per row;
+    a table with splits enough for every core is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

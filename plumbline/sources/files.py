@@ -83,6 +83,7 @@ def cast_by_value(texts: DataFrame) -> DataFrame:
             "numbers": lambda c: F.count_if(ref(c).rlike(NUMBER)),
             "truths": lambda c: F.count_if(ref(c).rlike(TRUTH)),
         },
+        block=len(texts.columns),  # text formats parse whole lines, so one pass
     ).collect()
     types = {}
     for r in found:

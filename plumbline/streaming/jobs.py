@@ -57,10 +57,17 @@ def run_batches(stream: DataFrame, label: str, write: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
-def distinct_uploads(stream: DataFrame, time: str, keys: Sequence[str], late: str = "1 hour") -> DataFrame:
+def distinct_uploads(stream: DataFrame, time: str, keys: Sequence[str], late: str = "1 hour", salts: int = 16) -> DataFrame:
     """First upload of each key; repeats within the watermark are dropped, and so is the
-    state of keys that have fallen behind it."""
-    return event_time(stream, time, late).dropDuplicatesWithinWatermark(list(keys))
+    state of keys that have fallen behind it.
+
+    Repeats are dropped per key and salt first, so one file uploaded over and over is
+    spread over tasks and reaches the final step a few times only.
+    """
+    salt = F.pmod(F.xxhash64(*stream.columns), F.lit(salts))
+    marked = event_time(stream, time, late).withColumn("_salt", salt)
+    thinned = marked.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
+    return thinned.dropDuplicatesWithinWatermark(list(keys))
 
 
 def bin_counts(stream: DataFrame, time: str, features: Sequence[str], ranges: DataFrame, size: str, late: str, buckets: int = drift.BUCKETS) -> DataFrame:
