@@ -148,7 +148,7 @@ def message_arrays(spark, d):
 
 
 @query("""with r as (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations)
-select conv_id, turn, role, text as content, case when role = 'assistant' then 'search' end as tool_calls, null as tool_call_id,
+select conv_id, turn, role, text as content, case when role = 'assistant' then 'search' end as tool_calls, null::varchar as tool_call_id,
   translate('agent:' || role || '-' || conv_id, ':-', '__') as name from r where k <= 5""")
 def agent_history(spark, d):
     sender = F.concat(F.lit("agent:"), "role", F.lit("-"), "conv_id")

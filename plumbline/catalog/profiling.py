@@ -189,6 +189,11 @@ def dtype_report(spark, d):
     return validate.dtype_report(shapes(spark, d))
 
 
+@query(f"with {GAPS_SQL} select case column_type when 'INTEGER' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'float' when 'VARCHAR' then 'string' else 'datetime' end as category, count(*) as column_count from (select unnest(" + "[" + ", ".join("typeof(any_value(" + c + "))" for c in TYPES) + "]) as column_type from gaps) group by 1")
+def type_summary(spark, d):
+    return validate.type_summary(gaps(spark, d))
+
+
 STATS_SQL = """
 select '{c}' as column_name, count({c}) as value_count, round(avg({c}), 4) as mean, round(median({c}), 4) as median,
   round((select {c} from {t} where {c} is not null group by {c} order by count(*) desc, {c} limit 1), 4) as mode,

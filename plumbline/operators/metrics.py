@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import ref
+from plumbline.functions.joins import lookup_join
 from plumbline.operators.ordered import exact_quantiles, running_totals
+from plumbline.session import materialize
 
 # Smallest denominator of a relative error: the spacing of doubles at 1.
 EPSILON = 2.220446049250313e-16
 
+# Clusters are broadcast and compared in blocks of this many.
+CLUSTER_BLOCK = 4096
+
 
 # ---------------------------------------------------------------- classification
 
@@ -198,50 +206,79 @@ def residuals(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 # ---------------------------------------------------------------- clustering
 
+def squared_distance(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def _worst_neighbours(known: DataFrame) -> DataFrame:
+    """Per cluster the largest ``(s_i + s_j) / distance`` to any other cluster.
+
+    The clusters are compared with blocks of clusters, a block at a time on the driver.
+    """
+    def against(block: list) -> DataFrame:
+        labels = np.array([r["label"] for r in block], dtype=object)
+        spreads = np.array([r["s"] for r in block])
+        centers = np.array([r["center"] for r in block])
+
+        def scan(batches):
+            for pdf in batches:
+                worst = []
+                for label, s, center in zip(pdf["label"], pdf["s"], pdf["center"]):
+                    distance = np.sqrt(((centers - np.asarray(center)) ** 2).sum(axis=1))
+                    ratios = np.where(distance > 0, (spreads + s) / np.where(distance > 0, distance, 1.0), 0.0)
+                    worst.append(float(ratios[labels != label].max(initial=0.0)))
+                yield pd.DataFrame({"label": pdf["label"], "worst": worst})
+
+        return known.select("label", "s", "center").mapInPandas(scan, "label string, worst double")
+
+    parts, block = [], []
+    for r in known.toLocalIterator():
+        block.append(r)
+        if len(block) == CLUSTER_BLOCK:
+            parts.append(against(block))
+            block = []
+    if block or not parts:
+        parts.append(against(block))
+    return reduce(DataFrame.unionByName, parts).groupBy("label").agg(F.max("worst").alias("worst"))
+
+
 def cluster_scores(df: DataFrame, label: str, vector: str) -> DataFrame:
     """Davies-Bouldin and Calinski-Harabasz of labelled vectors; 0 if there is at most one
     cluster or as many clusters as rows.
 
-    Centroids are one aggregate, distances to them a second; what is left is one row per
-    cluster, and the pairs of clusters.
+    Centroids are one aggregate and are written, distances to them a second; what is left
+    is one row per cluster.
     """
-    rows = df.select(ref(label).alias("label"), ref(vector).cast("array<double>").alias("v"))
+    rows = df.select(ref(label).cast("string").alias("label"), ref(vector).cast("array<double>").alias("v"))
     parts = rows.select("label", F.posexplode("v").alias("i", "x"))
-    means = parts.groupBy("label", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    means = materialize(parts.groupBy("label", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n")), "means")
     centroids = means.groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("center"), F.max("n").alias("n")
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("center")
     )
-    middle = F.sum(F.col("x") * F.col("n")).over(Window.partitionBy("i")) / F.sum("n").over(Window.partitionBy("i"))
-    between = means.withColumn("mid", middle).agg(F.sum(F.col("n") * (F.col("x") - F.col("mid")) * (F.col("x") - F.col("mid"))).alias("between"))
-
-    def squared(a: str, b: str) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-    near = rows.join(F.broadcast(centroids), "label").select("label", squared("v", "center").alias("d2"))
-    spread = near.groupBy("label").agg(F.avg(F.sqrt("d2")).alias("s"), F.sum("d2").alias("w"), F.count("*").alias("n"))
-    known = spread.join(F.broadcast(centroids.select("label", "center")), "label")
-    every = known.agg(F.collect_list(F.struct("label", "s", "center")).alias("all"), F.sum("w").alias("within"), F.sum("n").alias("rows"), F.count("*").alias("k"))
-    one = every.select(
-        "within", "rows", "k",
-        F.aggregate(
-            F.transform(
-                "all",
-                lambda a: F.array_max(
-                    F.transform(
-                        F.filter(F.col("all"), lambda b: b["label"] != a["label"]),
-                        lambda b: (a["s"] + b["s"]) / F.sqrt(F.aggregate(F.zip_with(a["center"], b["center"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)),
-                    )
-                ),
-            ),
-            F.lit(0.0),
-            lambda s, x: s + x,
-        ).alias("worst"),
-        F.lit(None).cast("double").alias("between"),
+    near = lookup_join(rows, centroids, ["label"], "inner", limit=CLUSTER_BLOCK)
+    spread = near.select("label", squared_distance("v", "center").alias("d2")).groupBy("label").agg(
+        F.avg(F.sqrt("d2")).alias("s"), F.sum("d2").alias("w"), F.count("*").alias("n")
     )
-    both = one.unionByName(between.select(*[F.lit(None).cast(t).alias(c) for c, t in (("within", "double"), ("rows", "long"), ("k", "long"), ("worst", "double"))], "between"))
-    final = both.agg(*[F.max(c).alias(c) for c in ("within", "rows", "k", "worst", "between")])
+    known = materialize(spread.join(centroids, "label"), "clusters")
+    middle = means.groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mid"))
+    gap = F.col("x") - F.col("mid")
+
+    columns = {"within": "double", "rows": "long", "k": "long", "worst": "double", "between": "double"}
+
+    def part(frame: DataFrame, **values: Column) -> DataFrame:
+        return frame.agg(*[v.cast(columns[c]).alias(c) for c, v in values.items()]).select(
+            *[F.col(c) if c in values else F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+        )
+
+    pieces = [
+        part(known, within=F.sum("w"), rows=F.sum("n"), k=F.count("*")),
+        part(_worst_neighbours(known), worst=F.avg("worst")),
+        part(means.join(F.broadcast(middle), "i"), between=F.sum(F.col("n") * gap * gap)),
+    ]
+    final = reduce(DataFrame.unionByName, pieces).agg(*[F.max(c).alias(c) for c in columns])
     valid = (F.col("k") > 1) & (F.col("k") < F.col("rows"))
+    ratio_ = F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("rows") - F.col("k")))
     return final.select(
-        F.when(valid, F.col("worst") / F.col("k")).otherwise(0.0).alias("davies_bouldin"),
-        F.when(valid, F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("rows") - F.col("k")))).otherwise(0.0).alias("calinski_harabasz"),
+        F.when(valid, F.col("worst")).otherwise(0.0).alias("davies_bouldin"),
+        F.when(valid, F.when(F.col("within") == 0, 1.0).otherwise(ratio_)).otherwise(0.0).alias("calinski_harabasz"),
     )

@@ -55,12 +55,16 @@ def test_regression_metrics(spark):
     assert zero.mape > 1e15 and zero.r2 == 0.0
 
 
-def test_cluster_scores(spark):
+def test_cluster_scores(spark, monkeypatch):
     df = spark.createDataFrame([(0, [0.0, 0.0]), (0, [0.0, 2.0]), (1, [10.0, 0.0]), (1, [10.0, 2.0])], "k int, v array<double>")
     row = metrics.cluster_scores(df, "k", "v").first()
     assert row.davies_bouldin == pytest.approx(0.2) and row.calinski_harabasz == pytest.approx(50.0)
     one = metrics.cluster_scores(df.where("k = 0"), "k", "v").first()
     assert tuple(one) == (0.0, 0.0)
+    monkeypatch.setattr(metrics, "CLUSTER_BLOCK", 1)
+    assert metrics.cluster_scores(df, "k", "v").first().davies_bouldin == pytest.approx(0.2)
+    same = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [1.0]), (1, [1.0])], "k int, v array<double>")
+    assert tuple(metrics.cluster_scores(same, "k", "v").first()) == (0.0, 1.0)
 
 
 def test_splits_do_not_depend_on_partitions(spark):
