@@ -119,10 +119,31 @@ def drift_report(spark, d):
     return out.select("feature", "kind", *[F.round(c, 6).alias(c) for c in names], "has_drift")
 
 
-@query()
+def chi_sql(column: str, name: str) -> str:
+    """Chi-square statistic and degrees of a column of ``sides``."""
+    return f"""{name} as (select '{column}' as feature, sum((o - e) * (o - e) / e) as x, count(*) - 1 as df from (
+  select m * b / n as e, c::double as o from (select {column}, (count(*) filter (where not later))::double as b, count(*) filter (where later) as c from sides group by 1),
+    (select (count(*) filter (where not later))::double as n, count(*) filter (where later) as m from sides)))"""
+
+
+# Upper tail for 1, 2 and 4 degrees of freedom; the first by the series of the error function.
+TAIL_SQL = """case df when 2 then exp(-x / 2) when 4 then exp(-x / 2) * (1 + x / 2) else 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60),
+  lambda k: (case when k % 2 = 0 then 1 else -1 end) * pow(sqrt(x / 2), 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))) end"""
+
+
+def rounded(report):
+    names = ("psi", "js_distance", "ks_statistic", "ks_p_value", "chi2_statistic", "chi2_p_value")
+    return report.select("feature", "kind", *[F.round(c, 6).alias(c) for c in names], "has_drift")
+
+
+@query(f"""with {SIDES}, {PSI}, {JS}, {KS}, {chi_sql("l_returnflag", "c1")}, {chi_sql("l_linestatus", "c2")},
+cs as (select feature, x, {TAIL_SQL} as p from (select * from c1 union all select * from c2))
+select feature, 'numerical' as kind, round(psi, 6) as psi, round(js, 6) as js_distance, round(ks, 6) as ks_statistic, round(p, 6) as ks_p_value,
+  null::double as chi2_statistic, null::double as chi2_p_value, psi > 0.2 or p < 0.05 as has_drift from psis join jss using (feature) join kps using (feature)
+union all select feature, 'categorical', null, null, null, null, round(x, 6), round(p, 6), p < 0.05 from cs""")
 def drift_report_mixed(spark, d):
     before, after = halves(spark, d)
-    return monitoring.drift_report(before, after, FEATURES, ["l_returnflag", "l_linestatus"])
+    return rounded(monitoring.drift_report(before, after, FEATURES, ["l_returnflag", "l_linestatus"]))
 
 
 @query(f"""with {SIDES}, {PSI}, {KS}, v as (select psi > 0.2 or p < 0.05 as drifted from psis join kps using (feature))
@@ -141,11 +162,20 @@ def drift_events(spark, d):
     return monitoring.drift_events(overall.withColumn("has_data_drift", F.col("overall_drift_score") >= 0.25), "v1", "r1")
 
 
-@query()
+WINDOW_SIDES = SIDES[SIDES.index("ranges as"):]
+WINDOWED = f"""sides as (select value, event_type, ts >= timestamp '2024-01-22' as later from events where (ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-15')
+  or (ts >= timestamp '2024-01-22' and ts < timestamp '2024-01-29')), longs as (select 'value' as feature, value, later from sides), {WINDOW_SIDES}"""
+
+
+@query(f"""with {WINDOWED}, {PSI}, {JS}, {KS}, {chi_sql("event_type", "c1")}, cs as (select feature, x, {TAIL_SQL} as p from c1)
+select feature, 'numerical' as kind, round(psi, 6) as psi, round(js, 6) as js_distance, round(ks, 6) as ks_statistic, round(p, 6) as ks_p_value,
+  null::double as chi2_statistic, null::double as chi2_p_value, psi > 0.2 or p < 0.05 as has_drift from psis join jss using (feature) join kps using (feature)
+union all select feature, 'categorical', null, null, null, null, round(x, 6), round(p, 6), p < 0.05 from cs""")
 def drift_window(spark, d):
-    return monitoring.monitoring_run(
+    report = monitoring.monitoring_run(
         table(spark, d, "events"), "ts", ("2024-01-01 00:00:00", "2024-01-15 00:00:00"),
         ("2024-01-22 00:00:00", "2024-01-29 00:00:00"), ["value"], ["event_type"])
+    return rounded(report)
 
 
 @query(f"""with {SIDES}, s as (select feature, count(*) as sample_size, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as std,

@@ -266,6 +266,16 @@ def power_transform_fitted(spark, d):
     return fit.transform(df).select("event_id", "value", F.lit(round(fit.powers["value"], 4)).alias("power"))
 
 
+@query("""with grid as (select unnest(range(-200, 201)) / 100.0::double as p), base as (select value as x from events),
+ys as (select p, var_pop(case when p = 0 then ln(1 + x) else (pow(x + 1, p) - 1) / p end) as v from base, grid group by p),
+scores as (select p, -n / 2.0 * ln(v) + (p - 1) * l as score from ys, (select count(*) as n, sum(ln(1 + x)) as l from base))
+select 'value' as column_name, 'yeo_johnson' as method, arg_max(p, score) as power from scores""")
+def fitted_power(spark, d):
+    """The exponent to two digits; the values are positive, so the SQL needs one branch."""
+    df = table(spark, d, "events").select("value")
+    return transform.fit_transformer(df).params(spark).withColumn("power", F.round("power", 2))
+
+
 # ---------------------------------------------------------------- selection
 
 VARIANCE_COLUMNS = ["l_linenumber", "l_quantity", "l_discount", "l_tax"]
