@@ -11,6 +11,24 @@ from tools.check import TABLES, rows_of
 catalog.load()
 # Searches over many model fits, and thousands of files, run in tools/check.py instead.
 SLOW = {"classifier_search", "regressor_search", "discover_documents", "preprocess_report"}
+# The quick modules run whole; of the others these stand for their kind, unless
+# PLUMBLINE_ALL_QUERIES is set. tools/check.py always runs everything.
+QUICK_MODULES = {"tables", "dialogue", "documents", "sources"}
+STANDING_FOR = {
+    "schema_report", "table_summary", "numeric_statistics_skewed", "identical_columns", "dtype_report", "date_report",
+    "quality_score", "validation_summary", "impute_mode", "forward_fill", "label_encode", "robust_scale", "log_transform",
+    "correlations", "anova_scores", "preprocess_run", "drift_report_mixed", "baseline_snapshot", "chi_square",
+    "stratified_split", "binary_metrics", "multiclass_metrics", "ranking_metrics", "regression_metrics_by",
+    "cluster_scores", "linear_explanations", "event_rates", "latency_histogram", "user_sessions", "run_states",
+    "stream_event_rates", "stream_safety",
+}
+
+
+def chosen():
+    every = os.environ.get("PLUMBLINE_ALL_QUERIES")
+    for name, fn in catalog.QUERIES.items():
+        if name not in SLOW and (every or name in STANDING_FOR or fn.__module__.rsplit(".", 1)[1] in QUICK_MODULES):
+            yield name
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +39,7 @@ def duck(small):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(chosen()))
 def test_query(spark, duck, small, name):
     df = catalog.QUERIES[name](spark, small)
     got = [tuple(r) for r in df.collect()]
