@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import sharding
+from plumbline.llm import sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op1_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.with_slots(docs, "shard")
 
 
+@query
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), words=4, distance=4)
+
+
 SQL["op1_jump_shards"] = """
 WITH RECURSIVE
 crc_table AS (
