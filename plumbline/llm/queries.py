@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import search, sharding, simhash, vectors
+from plumbline.llm import search, sharding, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +46,12 @@ def op7_ball_tree(spark: SparkSession, folder: str) -> DataFrame:
     return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.round_trip(table(spark, folder, "pages"), smallest=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op10_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"), threshold=0.95)
@@ -112,3 +118,17 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
+
+SQL["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, payload_bytes, h, from_hex(h)::BIT::VARCHAR AS bits,
+    min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    lpad(substr(bits, (5 * i + 1)::BIGINT, 5), 8, '0')::BIT::INTEGER + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
