@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import search, sharding, simhash, vectors, warc
+from plumbline.llm import rans, search, sharding, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,6 +41,11 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), words=4, distance=4)
 
 
+@query
+def op4_rans(spark: SparkSession, folder: str) -> DataFrame:
+    return rans.round_trip(table(spark, folder, "documents"))
+
+
 @query
 def op7_ball_tree(spark: SparkSession, folder: str) -> DataFrame:
     return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
