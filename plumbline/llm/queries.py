@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import rans, search, sharding, simhash, vectors, warc
+from plumbline.llm import language, mixing, packing, rans, search, sharding, simhash, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,11 +41,26 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), words=4, distance=4)
 
 
+@query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.held_out_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op4_rans(spark: SparkSession, folder: str) -> DataFrame:
     return rans.round_trip(table(spark, folder, "documents"))
 
 
+@query
+def op5_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query
+def op6_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    return language.held_out_predictions(table(spark, folder, "documents"))
+
+
 @query
 def op7_ball_tree(spark: SparkSession, folder: str) -> DataFrame:
     return search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -57,6 +72,12 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op9_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    targets = {"1": 0.9, "0": 0.1}
+    return mixing.rates(table(spark, folder, "documents"), table(spark, folder, "labels"), targets)
+
+
 @query
 def op10_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"), threshold=0.95)
