@@ -8,9 +8,9 @@ of the visited cells are then compared in double precision.
 
 A bound is the distance from the vector to the plane midway between its nearest codeword
 and the cell's, so no vector of the cell can be closer. With the budget ``2 - 2 * threshold``,
-the squared distance of the least similar pair that links, every link is found (recall 1).
-A lower ``target_recall`` takes the smallest budget that finds this share of the links
-within the sample.
+the squared distance of the least similar pair that links, every link would be found, at the
+price of nearly all cells; ``target_recall`` below 1 stops earlier (``budget_for``). A link is
+found if either of its vectors visits the other's cell, and then counts for both.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ MOST_CODEWORDS = 512
 BASES_PER_GROUP = 4096
 SLACK = 1e-9
 PAIRS_AT_ONCE = 1 << 22
+PROBES_AT_ONCE = 256
 
 
 def finite(vector: Column) -> Column:
@@ -139,21 +140,35 @@ class Grid:
 
 
 def budget_for(grid: Grid, sample: np.ndarray, threshold: float, target_recall: float) -> float:
+    """Where the traversal stops: the smallest budget that finds the target share of links.
+
+    Of a step of squared length ``d`` in a random direction of ``n`` dimensions, the part along
+    two directions, as the two bounds take, has a known distribution (beta, with parameters 1
+    and ``n / 2 - 1``); ``d`` is taken for the least similar pair that links. The links within the
+    sample, each vector's with equal weight, can only raise the budget.
+    """
     exact = 2 - 2 * threshold + SLACK
-    if target_recall >= 1:
+    if target_recall >= 1 or sample.shape[1] <= 2:
         return exact
-    needed = []
+    share = 1 - (1 - target_recall) ** (2 / (sample.shape[1] - 2))
+    needed, weight = [], []
     homes = grid.home(sample)
     for at in range(0, len(sample), 512):
-        part = sample[at : at + 512]
-        a, b = np.nonzero(part @ sample.T >= threshold)
-        a, b = a[a + at != b], b[a + at != b]
-        needed.append(np.maximum(grid.bound_to(part[a], homes[b]), grid.bound_to(sample[b], homes[a + at])))
-    needed = np.concatenate(needed)
-    return min(exact, float(np.quantile(needed, target_recall)) + SLACK) if len(needed) else exact
-
-
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, target_recall: float = 1.0) -> DataFrame:
+        near = sample[at : at + 512] @ sample.T >= threshold
+        near[np.arange(len(near)), at + np.arange(len(near))] = False
+        a, b = np.nonzero(near)
+        needed.append(np.minimum(grid.bound_to(sample[a + at], homes[b]), grid.bound_to(sample[b], homes[a + at])))
+        weight.append(1 / near.sum(1)[a])
+    bounds, weights = np.concatenate(needed), np.concatenate(weight)
+    order = np.argsort(bounds)
+    seen = 0.0
+    if len(order):
+        passed = np.cumsum(weights[order]) / weights.sum()
+        seen = float(bounds[order][min(int(np.searchsorted(passed, target_recall)), len(order) - 1)])
+    return min(exact, max(exact * share, seen + SLACK))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, target_recall: float = 0.99) -> DataFrame:
     """One row ``(<id>, n_links, component_id, kept)`` per row of ``df``.
 
     Rows link if the cosine of their vectors is at least ``threshold`` (above 0).
@@ -167,7 +182,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     Codebooks are fitted on at most ``SAMPLE_ROWS`` distinct vectors (those of smallest
     hash); every row is filed. A cell's vectors are split into groups of ``BASES_PER_GROUP``,
-    and links leave as counts and spanning links, never as all pairs.
+    and links leave as counts and spanning links, never as all pairs. A ``target_recall`` of 1
+    finds every link.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -184,7 +200,6 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     codewords = int(min(MOST_CODEWORDS, max(2, (count / ROWS_PER_CELL) ** 0.5)))
     grid = Grid(known, codewords)
     budget = budget_for(grid, known, threshold, target_recall)
-    mutual = target_recall < 1
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,8 +213,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                piece = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, PROBES_AT_ONCE):
+                piece = batch.slice(at, PROBES_AT_ONCE)
                 row, cell = grid.traverse(unit(matrix(piece.column("_vector"), size)), budget)
                 out = piece.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(cell), out.column("_vector"), out.column("copies"), out.column("node"), out.column("cell")], ["cell", "_vector", "copies", "node", "home"])
@@ -236,13 +251,14 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 for low in range(at, at + n, step):
                     sent = slice(low, min(low + step, at + n))
                     p, b = np.nonzero(vectors[sent] @ bases.T >= threshold)
-                    if mutual:
-                        ok = grid.bound_to(bases[b], home[sent][p]) <= budget
-                        p, b = p[ok], b[ok]
                     ok = node[sent][p] != names[b]
                     p, b = p[ok], b[ok]
                     if not len(p):
                         continue
+                    # a base that does not visit the probe's cell has its link counted here
+                    blind = grid.bound_to(bases[b], home[sent][p]) > budget
+                    other = np.bincount(b[blind], weights=copies[sent][p[blind]], minlength=len(names)).astype(np.int64)
+                    met = np.flatnonzero(other)
                     hit, where = np.unique(p, return_index=True)
                     links = np.bincount(p, weights=weight[b])[hit].astype(np.int64)
                     lead = np.repeat(b[where], np.diff(np.append(where, len(p))))
@@ -250,9 +266,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                     merge_labels(label, lead, b)
                     moved = np.flatnonzero(label != before)
                     yield pa.RecordBatch.from_pydict({
-                        "a": pa.array(np.concatenate([node[sent][hit], names[moved]])),
-                        "b": pa.array(np.concatenate([names[b[where]], names[label[moved]]])),
-                        "links": pa.array(np.concatenate([links, np.zeros(len(moved), np.int64)])),
+                        "a": pa.array(np.concatenate([node[sent][hit], names[moved], names[met]])),
+                        "b": pa.array(np.concatenate([names[b[where]], names[label[moved]], names[met]])),
+                        "links": pa.array(np.concatenate([links, np.zeros(len(moved), np.int64), other[met]])),
                     })
 
     found = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "probe").mapInArrow(link, "a bigint, b bigint, links bigint")
