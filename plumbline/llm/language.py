@@ -85,7 +85,7 @@ class Parser:
         used = np.unique(np.frombuffer(b"".join(references.values()), np.uint8))
         self.symbols = np.zeros(256, np.uint8)
         self.symbols[used] = np.arange(1, len(used) + 1)
-        tables = [automaton(references[n], self.symbols) for n in self.names]
+        tables = [automaton(references[n], self.symbols) for n in self.names] or [np.zeros((0, 1), np.int32)]
         offsets = np.cumsum([0] + [len(t) for t in tables])
         self.roots = offsets[:-1].astype(np.int64)
         # one table: a step to nowhere is -1, a byte outside the alphabet has none from any state
@@ -122,10 +122,11 @@ class Parser:
             after = flat[state[:live] * width + symbol].astype(np.int64)
             ended = after < 0
             if ended.any():
-                count[:live] += ended
                 fresh = flat[roots[:live] * width + symbol]
-                # a byte no reference has is a phrase of its own
-                after = np.where(ended, np.where(fresh >= 0, fresh, roots[:live]), after)
+                # a byte the reference does not have is a phrase of its own
+                lost = ended & (fresh < 0)
+                count[:live] += (ended & (state[:live] != roots[:live])).astype(np.int64) + lost
+                after = np.where(ended, np.where(lost, roots[:live], fresh), after)
             state[:live] = after
         return count + (state != roots)
 
