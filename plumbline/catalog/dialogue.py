@@ -27,14 +27,14 @@ def redacted_sql(text: str) -> str:
 KINDS_SQL = "[" + ", ".join(f"case when regexp_matches(text, {regex(p)}) then '''{k}''' end" for k, p in safety.PERSONAL.items()) + "]"
 
 
-def check_sql(source: str, keys: str) -> str:
+def check_sql(source: str, keys: str, too_long: str = "length(text) > 4000") -> str:
     """Verdicts in SQL; the redaction is applied step by step to keep the text short."""
     steps = []
     previous = "redact0"
     for n, (kind, p) in enumerate(safety.PERSONAL.items(), 1):
         steps.append(f"redact{n} as (select * replace (case when regexp_matches(text, {regex(p)}) then regexp_replace(safe, {regex(p)}, '[{kind.upper()}_REDACTED]', 'g') else safe end as safe) from {previous})")
         previous = f"redact{n}"
-    return f"""with src as ({source}), a as (select *, coalesce(regexp_replace(text, '\\s+', '', 'g'), '') = '' as e, coalesce(length(text) > 4000, false) as l from src),
+    return f"""with src as ({source}), a as (select *, coalesce(regexp_replace(text, '\\s+', '', 'g'), '') = '' as e, coalesce({too_long}, false) as l from src),
 b as (select *, case when not e and not l then {first_match_sql('text', safety.INJECTION)} end as inj from a),
 c as (select *, case when not e and not l and inj is null then {first_match_sql('text', safety.JAILBREAK)} end as jail from b),
 redact0 as (select *, case when not e and not l and inj is null and jail is null then list_filter({KINDS_SQL}, lambda k: k is not null) end as kinds, text as safe from c),
@@ -77,9 +77,9 @@ def safety_check_seeded(spark, d):
     return safety.check_text(seeded(spark, d)).drop("text")
 
 
-@query(check_sql("select doc_id, text from documents", "doc_id"))
+@query(check_sql("select doc_id, text from documents", "doc_id", "false"))
 def safety_check_documents(spark, d):
-    return safety.check_text(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+    return safety.check_text(table(spark, d, "documents").select("doc_id", "text"), max_chars=None).drop("text")
 
 
 @query("select doc_id, " + ", ".join(f"len(regexp_extract_all(text, {regex(p)})) as {k}" for k, p in safety.PERSONAL.items()) + " from documents")

@@ -50,6 +50,15 @@ kps as (select feature, ks, case when t < 0.2 then 1.0::double else least(1.0::d
     lambda j: (case when j % 2 = 1 then 1 else -1 end) * exp(-2 * j * j * t * t))))) end as p
   from (select *, ks * sqrt(n::double * m / (n + m)) as t from kss))"""
 
+# The same test on the edges of the bins, with the values outside the range as bins -1 and 10.
+EDGE_KS = """every as (select * from hist
+  union all select r.feature, -1, 0, (select count(*) from longs l where l.feature = r.feature and later and value < low) from ranges r
+  union all select r.feature, 10, 0, (select count(*) from longs l where l.feature = r.feature and later and value > high) from ranges r),
+kss as (select feature, n, m, max(abs(fb / n::double - fc / m::double)) as ks from (
+  select feature, sum(base) over w as fb, sum(cur) over w as fc, sum(base) over (partition by feature) as n, sum(cur) over (partition by feature) as m
+  from every window w as (partition by feature order by bin)) group by all),
+""" + KS[KS.index("kps as"):]
+
 
 @query(f"with {SIDES} select feature, bin::int as bin, base, cur from hist")
 def drift_histograms(spark, d):
@@ -188,8 +197,26 @@ def baseline_snapshot(spark, d):
     return out.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4), "bin_counts": counts})
 
 
-@query(f"with {SIDES}, {PSI}, {JS} select feature, round(psi, 6) as psi, round(js, 6) as js_distance, psi > 0.2 as has_drift from psis join jss using (feature)")
+SNAPSHOT_SQL = """round(psi, 6) as psi, round(js, 6) as js_distance, round(ks, 6) as ks_statistic, round(p, 6) as ks_p_value, psi > 0.2 or p < 0.05 as has_drift
+from psis join jss using (feature) join kps using (feature)"""
+
+
+def rounded_verdicts(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("psi", "js_distance", "ks_statistic", "ks_p_value")})
+
+
+@query(f"with {SIDES}, {PSI}, {JS}, {EDGE_KS} select feature, {SNAPSHOT_SQL}")
 def drift_against_snapshot(spark, d):
     before, after = halves(spark, d)
-    out = monitoring.drift_against_snapshot(monitoring.baseline_snapshot(before, FEATURES), after, FEATURES)
-    return out.withColumns({"psi": F.round("psi", 6), "js_distance": F.round("js_distance", 6)})
+    return rounded_verdicts(monitoring.drift_against_snapshot(monitoring.baseline_snapshot(before, FEATURES), after, FEATURES))
+
+
+FAR_SIDES = SIDES.replace("l_discount, l_tax, l_returnflag", "case when l_shipdate >= timestamp '" + CUT + "' then l_discount + 5 else l_discount end as l_discount, l_tax, l_returnflag")
+
+
+@query(f"with {FAR_SIDES}, {PSI}, {JS.replace('greatest(0, (', 'greatest(0::double, (')}, {EDGE_KS} select feature, {SNAPSHOT_SQL.replace('round(js, 6)', 'case when feature <> $$l_discount$$ then round(js, 6) end')}")
+def drift_fully_outside(spark, d):
+    """One feature has left the baseline's range with every value: no distance, and drift."""
+    before, after = halves(spark, d)
+    after = after.withColumn("l_discount", F.col("l_discount") + 5)
+    return rounded_verdicts(monitoring.drift_against_snapshot(monitoring.baseline_snapshot(before, FEATURES), after, FEATURES))

@@ -133,6 +133,19 @@ def polynomial_terms(spark, d):
     return out.select(*KEYS.split(", "), *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in new])
 
 
+TWELVE = [f"c{i}" for i in range(12)]
+TWELVE_TERMS = [(a, b) for i, a in enumerate(TWELVE) for b in TWELVE[i:]]
+
+
+@query("select c_custkey, " + ", ".join(
+    f"((c_custkey + {a[1:]}) % {int(a[1:]) + 5} * ((c_custkey + {b[1:]}) % {int(b[1:]) + 5}))::double as \"{a + '^2' if a == b else a + ' ' + b}\"" for a, b in TWELVE_TERMS) + " from customer")
+def polynomial_terms_many(spark, d):
+    """Twelve named columns give all 78 products."""
+    key = F.col("c_custkey")
+    df = table(spark, d, "customer").select("c_custkey", *[((key + i) % (i + 5)).alias(f"c{i}") for i in range(12)])
+    return generate.polynomial_terms(df, 2, columns=TWELVE).drop(*TWELVE)
+
+
 # ---------------------------------------------------------------- encoders
 
 @query("""select c_custkey, (c_mktsegment = 'AUTOMOBILE')::int as "c_mktsegment_AUTOMOBILE", (c_mktsegment = 'BUILDING')::int as "c_mktsegment_BUILDING",

@@ -211,6 +211,35 @@ def forest_prediction_log(spark, d):
     return spark.read.parquet(path).where("model_name = 'price'").select("input_payload", "prediction_result", "model_version")
 
 
+FIT_SQL = """fit as (select regr_slope(y, x) as w, regr_intercept(y, x) as b from (select p_size::double as x, p_retailprice as y from part where p_partkey % 7 <> 0))"""
+
+
+@query(f"""with {FIT_SQL} select p_partkey, case when p_partkey % 7 <> 0 then round(b + w * p_size, 4) end as result,
+  case when p_partkey % 7 = 0 then 'missing features: size' end as reason from part, fit""")
+def score_with_gaps(spark, d):
+    """Rows with a missing feature come back without a result, and are not trained on."""
+    size = F.when(F.col("p_partkey") % 7 != 0, F.col("p_size").cast("double"))
+    df = table(spark, d, "part").select("p_partkey", size.alias("size"), "p_retailprice")
+    model = models.train(df, "regression", "linear_regression", ["size"], "p_retailprice", solver="normal")
+    return models.score(model, df).select("p_partkey", F.round("result", 4).alias("result"), "reason")
+
+
+@query("""with s as (select count(*)::double as n, avg(l_quantity) as mx, avg(l_extendedprice) as my, covar_pop(l_extendedprice, l_quantity) as c, var_pop(l_quantity) as v from lineitem),
+w as (select 'linear_regression' as algorithm, c / v as w, mx, my from s
+  union all select 'ridge', n * c / (n * v + 5000), mx, my from s
+  union all select 'lasso', sign(c) * greatest(abs(c) - 1, 0) / v, mx, my from s)
+select algorithm, round(w, 4) as slope, round(my - w * mx, 2) as intercept from w""")
+def penalised_slopes(spark, d):
+    """Least squares, plus alpha times the squared weight, or with a lasso penalty."""
+    df = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
+    rows = []
+    for name, params in (("linear_regression", {"solver": "normal"}), ("ridge", {"alpha": 5000.0, "solver": "normal"}), ("lasso", {"maxIter": 500, "tol": 1e-12})):
+        fitted = models.train(df, "regression", name, ["l_quantity"], "l_extendedprice", **params).stages[-1]
+        rows.append((name, float(fitted.coefficients[0]), float(fitted.intercept)))
+    out = spark.createDataFrame(rows, "algorithm string, slope double, intercept double")
+    return out.select("algorithm", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"))
+
+
 @query("""with f as (select regr_slope(l_extendedprice, l_quantity) as w, regr_intercept(l_extendedprice, l_quantity) as b, avg(l_quantity) as m from lineitem)
 select l_orderkey, l_linenumber, l_quantity, round(b + w * m, 2) as base_value, round(w * (l_quantity - m), 2) as l_quantity__contribution from lineitem, f""")
 def linear_explanations(spark, d):

@@ -21,6 +21,34 @@ def read_csv(spark, d):
     return files.read_table(spark, path)
 
 
+@query("""select o_orderkey * 1000000007 + 1234567890000000000 as long_id, (o_orderkey::hugeint * 1000000007000000000 + 12345678901234567890123)::varchar as wide_id,
+  o_orderpriority || chr(10) || 'second "line"' as note from orders""")
+def read_csv_wide_ids(spark, d):
+    """Ids of 19 and more digits keep every digit, and quoted fields their line breaks; records
+    with surplus fields go, whether the surplus is empty or not."""
+    path = work_path(spark, "orders") + ".csv"
+    rows = table(spark, d, "orders").select(
+        (F.col("o_orderkey") * 1000000007 + 1234567890000000000).cast("string").alias("long_id"),
+        (F.col("o_orderkey").cast("decimal(38,0)") * F.lit(1000000007000000000).cast("decimal(19,0)") + F.lit("12345678901234567890123").cast("decimal(23,0)")).cast("string").alias("wide_id"),
+        F.concat(F.lit('"'), "o_orderpriority", F.lit('\nsecond ""line""'), F.lit('"')).alias("note"),
+    )
+    lines = rows.select(F.concat_ws(",", "long_id", "wide_id", "note").alias("value"))
+    surplus = rows.select(F.concat_ws(",", "long_id", "wide_id", F.lit("x"), F.lit(""), F.lit("more")).alias("value"))
+    lines.unionByName(surplus).write.text(path)
+    found = files.read_csv(spark, path, ["long_id", "wide_id", "note"], ",")
+    return found.withColumn("wide_id", F.col("wide_id").cast("string"))
+
+
+@query("""select p_partkey, p_name, p_size from part""")
+def read_json_columns(spark, d):
+    """One object of columns per file, each an object of values by row label."""
+    path = work_path(spark, "part") + ".json"
+    cells = [F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), F.col(c)))).alias(c) for c in ("p_partkey", "p_name", "p_size")]
+    whole = table(spark, d, "part").agg(*cells).select(F.to_json(F.struct("*")).alias("value"))
+    whole.coalesce(1).write.text(path)
+    return files.read_table(spark, path).select(F.col("p_partkey"), "p_name", F.col("p_size").cast("int").alias("p_size"))
+
+
 @query("select o_orderkey as order_key, o_totalprice as price, o_orderpriority as level from orders")
 def read_csv_headerless(spark, d):
     path = work_path(spark, "orders") + ".data"

@@ -61,19 +61,24 @@ def edge(i: int, buckets: int) -> Column:
 
 
 def histograms(
-    baseline: DataFrame, current: DataFrame, buckets: int = BUCKETS, ranges: DataFrame | None = None
+    baseline: DataFrame,
+    current: DataFrame,
+    buckets: int = BUCKETS,
+    ranges: DataFrame | None = None,
+    outside: bool = False,
 ) -> DataFrame:
     """``(feature, bin, base, cur)`` on equal-width bins of the baseline range.
 
-    The last bin is closed; current values outside the range are not counted. Every bin
-    is present, the empty ones with 0. One partial count per task, then one small shuffle.
+    The last bin is closed; current values outside the range are not counted, or with
+    ``outside`` as bins -1 and ``buckets``. Every inner bin is present, the empty ones with 0. One partial count per task, then one small shuffle.
     """
     ranges = baseline_ranges(baseline) if ranges is None else ranges
-    bin_ = sum(((F.col("value") >= edge(i, buckets)).cast("int") for i in range(1, buckets)), F.lit(0))
 
     def counted(side: DataFrame, name: str) -> DataFrame:
-        placed = side.join(F.broadcast(ranges), "feature").where(F.col("value").between(F.col("low"), F.col("high")))
-        counts = placed.groupBy("feature", bin_.alias("bin")).agg(F.count("*").alias("cnt"))
+        placed = side.join(F.broadcast(ranges), "feature")
+        if not outside:
+            placed = placed.where(F.col("value").between(F.col("low"), F.col("high")))
+        counts = placed.groupBy("feature", placed_bin(buckets).alias("bin")).agg(F.count("*").alias("cnt"))
         return counts.select(
             "feature", "bin", *[(F.col("cnt") if s == name else F.lit(0).cast("long")).alias(s) for s in ("base", "cur")]
         )
@@ -106,11 +111,35 @@ def js_distances(bins: DataFrame) -> DataFrame:
     def part(c: str) -> Column:
         return F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / middle)).otherwise(F.when(F.col(c) == 0, 0.0))
 
+    total = (F.sum(part("base")) + F.sum(part("cur"))) / 2
+    # without a value on one side there is no distance, not a distance of 0
     return shares.groupBy("feature").agg(
-        F.sqrt(F.greatest(F.lit(0.0), (F.sum(part("base")) + F.sum(part("cur"))) / 2)).alias("js_distance")
+        F.when(total.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), total))).alias("js_distance")
     )
 
 
+def placed_bin(buckets: int) -> Column:
+    """Bin of ``value`` between ``low`` and ``high``; -1 below, ``buckets`` above."""
+    inside = sum(((F.col("value") >= edge(i, buckets)).cast("int") for i in range(1, buckets)), F.lit(0))
+    return F.when(F.col("value") < F.col("low"), -1).when(F.col("value") > F.col("high"), buckets).otherwise(inside)
+
+
+def edge_tests(bins: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+    """KS per key on the edges of ``(bin, base, cur)`` with the values outside the range as
+    bins -1 and ``buckets``: the largest gap at an edge, so never more than the full
+    statistic, and its p-value."""
+    upto = Window.partitionBy(*keys).orderBy("bin")  # one row per bin
+    every = Window.partitionBy(*keys)
+    summed = bins.groupBy(*keys, "bin").agg(F.sum("base").alias("base"), F.sum("cur").alias("cur"))
+    run = summed.select(
+        *keys, F.sum("base").over(upto).alias("b"), F.sum("cur").over(upto).alias("c"),
+        F.sum("base").over(every).alias("n"), F.sum("cur").over(every).alias("m"),
+    )
+    shares = [F.col(x) / F.nullif(F.col(y), F.lit(0)) for x, y in (("b", "n"), ("c", "m"))]
+    found = run.groupBy(*keys, "n", "m").agg(F.max(F.abs(shares[0] - shares[1])).alias("ks_statistic"))
+    return found.select(*keys, "ks_statistic", ks_p_value(F.col("ks_statistic"), F.col("n"), F.col("m")).alias("ks_p_value"))
+
+
 # ---------------------------------------------------------------- two-sample tests
 
 def ks_p_value(distance: Column, n: Column, m: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import columns_of, numeric_columns, present, ref
 
-# Date parts by name, and how many columns polynomial terms start from.
+# Date parts by name, and how a missing text counts.
 DATE_PARTS = {
     "year": F.year,
     "month": F.month,
@@ -19,7 +19,6 @@ DATE_PARTS = {
     "weekday": F.weekday,
     "quarter": F.quarter,
 }
-MAX_BASE_COLUMNS = 10
 MISSING_TEXT = "nan"
 
 
@@ -46,9 +45,13 @@ def polynomial_terms(
     interaction_only: bool = False,
     columns: Sequence[str] | None = None,
     exclude: Sequence[str] = (),
+    max_columns: int | None = None,
 ) -> DataFrame:
-    """Add the products of 2..degree numeric columns, missing values as 0, in one projection."""
-    names = list(columns or numeric_columns(df, exclude))[:MAX_BASE_COLUMNS]
+    """Add the products of 2..degree numeric columns, missing values as 0, in one projection.
+
+    All columns take part; ``max_columns`` keeps only the first so many, where that is wanted.
+    """
+    names = list(columns or numeric_columns(df, exclude))[:max_columns]
     choose = combinations if interaction_only else combinations_with_replacement
     terms = chain.from_iterable(choose(names, d) for d in range(2, degree + 1))
 
@@ -68,6 +71,7 @@ def generate_features(
     extract_date_features: bool = True,
     extract_text_length: bool = True,
     exclude: Sequence[str] = (),
+    max_columns: int | None = None,
 ) -> DataFrame:
     base = numeric_columns(df, exclude)
     out = df
@@ -77,5 +81,5 @@ def generate_features(
         texts = columns_of(df, "string", exclude=exclude)
         out = out.select("*", *[F.length(F.coalesce(ref(c), F.lit(MISSING_TEXT))).alias(f"{c}__length") for c in texts])
     if polynomial_degree >= 2 and base:
-        out = polynomial_terms(out, polynomial_degree, interaction_only, base)
+        out = polynomial_terms(out, polynomial_degree, interaction_only, base, max_columns=max_columns)
     return out

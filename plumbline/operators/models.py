@@ -23,7 +23,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import numeric_columns, ref
+from plumbline.functions.columns import missing, numeric_columns, ref
 from plumbline.functions.joins import null_safe_join
 from plumbline.operators import metrics, tables
 from plumbline.operators.ordered import running_totals
@@ -42,8 +42,8 @@ ALGORITHMS: dict[str, dict[str, Callable[..., Estimator]]] = {
     },
     "regression": {
         "linear_regression": LinearRegression,
-        "ridge": lambda **p: LinearRegression(**{"regParam": 1.0, "elasticNetParam": 0.0, **p}),
-        "lasso": lambda **p: LinearRegression(**{"regParam": 1.0, "elasticNetParam": 1.0, **p}),
+        "ridge": lambda **p: LinearRegression(**{"regParam": 1.0, "elasticNetParam": 0.0, "standardization": False, **p}),
+        "lasso": lambda **p: LinearRegression(**{"regParam": 1.0, "elasticNetParam": 1.0, "standardization": False, **p}),
         "random_forest": lambda **p: RandomForestRegressor(**{"seed": SEED, **p}),
         "gradient_boosting": lambda **p: GBTRegressor(**{"seed": SEED, **p}),
         "decision_tree": lambda **p: DecisionTreeRegressor(**{"seed": SEED, **p}),
@@ -115,11 +115,24 @@ def create(problem: str, algorithm: str, **params: Any) -> Estimator:
     return ALGORITHMS[problem][algorithm](**params)
 
 
+def usable(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows in which none of ``columns`` is NULL or NaN."""
+    return df.where(reduce(lambda a, b: a & b, [~missing(df, c) for c in columns], F.lit(True)))
+
+
 def train(
     df: DataFrame, problem: str, algorithm: str, features: Sequence[str], target: str | None = None, **params: Any
 ) -> PipelineModel:
-    """Fit one algorithm on numeric feature columns; class labels may be of any type."""
+    """Fit one algorithm on numeric feature columns; class labels may be of any type.
+
+    Rows with a missing feature or label are left out of the fit (``usable`` selects them).
+    Ridge minimises squared errors plus ``alpha`` (1 by default) times the squared weights, so
+    its penalty is divided by the number of rows (the solver divides it by the label's
+    deviation, which is taken back); lasso halves the mean squared error.
+    """
     stages: list = [VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")]
+    ridge = problem == "regression" and algorithm.lower().strip() == "ridge"
+    alpha = params.pop("alpha", 1.0) if ridge else None
     model = create(problem, algorithm, **params)
     if problem == "classification":
         classes = sorted(str(r[0]) for r in df.select(ref(target).cast("string")).where(ref(target).isNotNull()).distinct().collect())
@@ -129,19 +142,32 @@ def train(
         names = IndexToString(inputCol="prediction", outputCol="predicted_class", labels=classes)
         return Pipeline(stages=[*stages, indexer.setHandleInvalid("skip"), model, names]).fit(df)
     if problem == "regression":
+        df = usable(df, [*features, target])
         model = model.copy({model.labelCol: target})
+        if ridge and "regParam" not in params:
+            rows, spread = df.agg(F.count(F.lit(1)), F.stddev_samp(ref(target).cast("double"))).first()
+            model = model.copy({model.regParam: alpha * (spread or 1.0) / max(1, rows)})
     return Pipeline(stages=[*stages, model]).fit(df)
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Predictions for new rows (batch or stream), with the highest class probability as
-    confidence where the model gives one. Rows need no label."""
+    confidence where the model gives one. Rows need no label.
+
+    Every row comes back: one with a missing feature has no result, and ``reason`` names the
+    missing features; elsewhere ``reason`` is NULL.
+    """
     stages = [s for s in model.stages if type(s).__name__ != "StringIndexerModel"]
-    out = PipelineModel(stages).transform(df)
+    inputs = [c for s in stages if isinstance(s, VectorAssembler) for c in s.getInputCols()]
+    stages = [s.copy({s.handleInvalid: "keep"}) if isinstance(s, VectorAssembler) else s for s in stages]
+    gaps = F.array_compact(F.array(*[F.when(missing(df, c), F.lit(c)) for c in inputs]))
+    out = PipelineModel(stages).transform(df.withColumn("_gaps", gaps))
+    whole = F.size("_gaps") == 0
     sure = F.array_max(vector_to_array("probability")) if "probability" in out.columns else F.lit(None).cast("double")
     result = F.col("predicted_class") if "predicted_class" in out.columns else F.col("prediction")
-    extra = [vector_to_array("probability").alias("class_probabilities")] if "probability" in out.columns else []
-    return out.select(*df.columns, result.alias("result"), sure.alias("confidence"), *extra)
+    extra = [F.when(whole, vector_to_array("probability")).alias("class_probabilities")] if "probability" in out.columns else []
+    reason = F.when(~whole, F.concat(F.lit("missing features: "), F.array_join("_gaps", ", "))).alias("reason")
+    return out.select(*df.columns, F.when(whole, result).alias("result"), F.when(whole, sure).alias("confidence"), *extra, reason)
 
 
 def prediction_log(scored: DataFrame, model_name: str, version: str, features: Sequence[str], created: str) -> DataFrame:

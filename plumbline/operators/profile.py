@@ -18,6 +18,7 @@ from plumbline.functions.columns import (
     per_column,
     present,
     ref,
+    row_digest,
     short_key,
 )
 from plumbline.operators.ordered import exact_quantiles
@@ -83,8 +84,7 @@ def schema_report(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def row_copies(df: DataFrame) -> DataFrame:
     """One row per distinct row of ``df``: its number of copies, counted map-side first."""
-    keys = [short_key(df, c).alias(c) for c in df.columns]
-    return df.select(*keys).groupBy(*[ref(c) for c in df.columns]).agg(F.count("*").alias("copies"))
+    return df.select(row_digest(df, df.columns).alias("digest")).groupBy("digest").agg(F.count("*").alias("copies"))
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:

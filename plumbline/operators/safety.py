@@ -85,14 +85,16 @@ def redacted(text: Column) -> Column:
     return out
 
 
-def check_text(df: DataFrame, text: str = "text") -> DataFrame:
+def check_text(df: DataFrame, text: str = "text", max_chars: int | None = MAX_INPUT_CHARS) -> DataFrame:
     """Add ``passed, threat_type, severity, detail, sanitized``; the first finding decides.
 
-    A projection without state or shuffle, the same on batches and streams.
+    A text of more than ``max_chars`` characters gets that verdict and is not searched;
+    ``None`` searches texts of any length. A projection without state or shuffle, the same
+    on batches and streams.
     """
     t = F.col(text)
     staged = df.withColumn("_empty", F.coalesce(strip(t), F.lit("")) == "").withColumn(
-        "_long", F.length(t) > MAX_INPUT_CHARS
+        "_long", F.lit(False) if max_chars is None else F.coalesce(F.length(t) > max_chars, F.lit(False))
     )
     open_ = ~F.col("_empty") & ~F.col("_long")
     staged = staged.withColumn("_injection", F.when(open_, first_match(t, INJECTION)))
@@ -109,7 +111,7 @@ def check_text(df: DataFrame, text: str = "text") -> DataFrame:
     quoted = F.transform("_kinds", lambda k: F.concat(F.lit("'"), k, F.lit("'")))
     detail = (
         F.when(F.col("_empty"), "Input is empty")
-        .when(F.col("_long"), f"Input exceeds {MAX_INPUT_CHARS} characters")
+        .when(F.col("_long"), f"Input exceeds {max_chars} characters")
         .when(F.col("_injection").isNotNull(), F.concat(F.lit("Prompt injection detected: '"), F.substring("_injection", 1, DETAIL_CHARS), F.lit("'")))
         .when(F.col("_jailbreak").isNotNull(), F.concat(F.lit("Jailbreak attempt detected: '"), F.substring("_jailbreak", 1, DETAIL_CHARS), F.lit("'")))
         .when(F.size("_kinds") > 0, F.concat(F.lit("PII detected and redacted: ["), F.array_join(quoted, ", "), F.lit("]")))
@@ -131,9 +133,8 @@ def check_text(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sanitize(df: DataFrame, text: str = "text") -> DataFrame:
-    """The text itself, with personal data redacted where the check found nothing worse."""
-    checked = check_text(df, text)
-    return checked.withColumn(text, F.coalesce("sanitized", text)).select(*df.columns)
+    """``df`` with personal data redacted in every text, whatever else the text holds."""
+    return df.withColumn(text, redacted(F.col(text)))
 
 
 def agent_injection(text: Column) -> Column:

@@ -37,7 +37,7 @@ class Scaler:
         return df.select(*[out[c].alias(c) if c in out else ref(c) for c in df.columns])
 
     def params(self, spark) -> DataFrame:
-        """Parameters as the reference scalers name them, one row per column."""
+        """Centre, scale and limits as usual scalers name them, one row per column."""
         schema = "column_name string, strategy string, center double, scale double, data_min double, data_max double"
         rows = []
         for c in self.columns:

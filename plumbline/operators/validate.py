@@ -19,7 +19,7 @@ from plumbline.functions.columns import (
     per_column,
     present,
     ref,
-    short_key,
+    row_digest,
 )
 from plumbline.functions.joins import lookup_join
 from plumbline.operators.profile import (
@@ -102,7 +102,7 @@ def duplicate_rows(df: DataFrame, order_by: Sequence[str], ignore: Sequence[str]
     broadcast.
     """
     names = [c for c in df.columns if c not in ignore]
-    digest = F.sha2(F.to_json(F.struct(*[short_key(df, c).alias(c) for c in names])), 256)
+    digest = row_digest(df, names)
     keyed = df.withColumn("_digest", digest).withColumn("_order", F.struct(*[ref(c) for c in order_by]))
     groups = (
         keyed.groupBy("_digest")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import drift
 from plumbline.operators.tables import in_window
+from plumbline.session import materialize
 
 EVENT_TYPE = "HIGH_DRIFT_DETECTED"
 
@@ -93,10 +94,23 @@ def baseline_snapshot(df: DataFrame, numeric: Sequence[str], buckets: int = drif
 
 
 def drift_against_snapshot(snapshot: DataFrame, current: DataFrame, numeric: Sequence[str], buckets: int = drift.BUCKETS) -> DataFrame:
-    """PSI and JS of a table against a stored baseline."""
+    """PSI, JS and KS of a table against a stored baseline; drift by PSI or KS.
+
+    The snapshot keeps bins, so KS is taken on their edges; values outside the baseline's
+    range count there, and only there. Without any current value in range JS is NULL.
+    """
     ranges = snapshot.select("feature", "low", "high")
-    bins = drift.histograms(drift.feature_rows(current, numeric).limit(0), drift.feature_rows(current, numeric), buckets, ranges)
+    rows = drift.feature_rows(current, numeric)
+    bins = materialize(drift.histograms(rows.limit(0), rows, buckets, ranges, outside=True), "bins")
     stored = snapshot.select("feature", F.posexplode("bin_counts").alias("bin", "base"))
-    both = bins.select("feature", "bin", "cur").join(F.broadcast(stored), ["feature", "bin"]).select("feature", "bin", "base", "cur")
-    verdict: Column = F.col("psi") > drift.PSI_LIMIT
-    return drift.psi_scores(both).join(F.broadcast(drift.js_distances(both)), "feature").withColumn("has_drift", verdict)
+    return bin_verdicts(bins.select("feature", "bin", "cur"), stored)
+
+
+def bin_verdicts(current: DataFrame, stored: DataFrame) -> DataFrame:
+    """``current(feature, bin, cur)``, values outside the range included, against the stored
+    ``(feature, bin, base)``: PSI, JS and KS per feature and the verdict by PSI or KS."""
+    both = current.join(F.broadcast(stored), ["feature", "bin"], "left").select("feature", "bin", F.coalesce("base", F.lit(0)).alias("base"), "cur")
+    inner = both.join(F.broadcast(stored.select("feature", "bin")), ["feature", "bin"], "left_semi")
+    scored = drift.psi_scores(inner).join(F.broadcast(drift.js_distances(inner)), "feature").join(F.broadcast(drift.edge_tests(both)), "feature")
+    verdict: Column = (F.col("psi") > drift.PSI_LIMIT) | F.coalesce(F.col("ks_p_value") < drift.P_LIMIT, F.lit(False))
+    return scored.withColumn("has_drift", verdict)

@@ -35,10 +35,13 @@ def local_session(
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a single-machine test) gets a fresh folder.
+    Only a local session that names none (a test on one machine) gets a fresh folder; on a
+    cluster a folder of one machine would lose what executors write.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         named = spark.sparkContext.getCheckpointDir()
     return named

