@@ -33,16 +33,22 @@ class Written:
     later step no longer needs them.
     """
 
-    def __init__(self, df: DataFrame, label: str) -> None:
+    def __init__(self, df: DataFrame, label: str, compression: str = "snappy") -> None:
         self.spark = df.sparkSession
         self.path = work_path(self.spark, label)
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, compression=compression)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def delete(self) -> None:
         delete_path(self.spark, self.path)
 
 
+def shuffle_parts(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for few but heavy rows that adaptive
+    execution would put into one task."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 18) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows that end between two keys; the input is sorted by ``key``."""
     held: list[pa.RecordBatch] = []

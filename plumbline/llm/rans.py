@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from plumbline.llm import bpe
-from plumbline.llm.common import Written, files
+from plumbline.llm.common import Written, files, shuffle_parts
 from plumbline.session import work_path
 
 MAGIC = b"PLR1"
@@ -229,7 +229,7 @@ def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), packed.cast(pa.binary())], ["id", "row", "ids"])
 
-    tokens = Written(rows.mapInArrow(tokenize, f"id {id_type}, row bigint, ids binary"), "ids")
+    tokens = Written(rows.mapInArrow(tokenize, f"id {id_type}, row bigint, ids binary"), "ids", "zstd")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -277,8 +277,7 @@ def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
             out.close()
 
     order = [F.asc_nulls_first("id"), F.asc("row")]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = tokens.df.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
     index = Written(ordered.mapInArrow(write, "path string, offset bigint, length bigint, ids bigint, before bigint, part bigint, segment bigint"), "ids-index").df
     tokens.delete()
     # one row per written file
@@ -312,7 +311,7 @@ def read_ids(index: DataFrame, folder: str, id_type: str = "bigint", ids: bool =
                 yield pa.RecordBatch.from_arrays(out, ["id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
     schema = "id string, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids
-    spread = index.select("path", "offset", "length", "start").repartition(F.col("path"), F.col("offset"))
+    spread = index.select("path", "offset", "length", "start").repartition(shuffle_parts(index.sparkSession), "path", "offset")
     return spread.mapInArrow(read, schema).withColumn("id", F.col("id").cast(id_type))
 
 
