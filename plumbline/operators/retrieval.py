@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import file_name, strip
-from plumbline.session import materialize
 
 # Fixed values.
 HIGH, MEDIUM = 0.80, 0.60
@@ -24,8 +22,10 @@ CITED_CONTEXT_CHARS = 6000
 DIVIDER = "\n\n---\n\n"
 DIMENSIONS = 384
 
-# Queries are sent to the tasks in blocks of at most this many bytes.
-QUERY_BLOCK_BYTES = 32 * 1024 * 1024
+# A task compares so many vectors with so many queries, some of them at a time.
+ROWS_PER_PART = 50_000
+QUERIES_PER_BLOCK = 10_000
+QUERIES_AT_ONCE = 256
 SCORE_DIGITS = 9
 
 
@@ -65,60 +65,67 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     return query[keep], ids[keep], scores[keep]
 
 
-def _block_top_k(corpus: DataFrame, keys: list, matrix: np.ndarray, k: int) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast(matrix)
-
-    def scan(batches):
-        queries = shared.value
-        q, i, s = np.array([], dtype=int), np.array([], dtype=np.int64), np.array([])
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            scores = np.round(np.stack(pdf["vector"].to_numpy()).astype(np.float64) @ queries.T, SCORE_DIGITS)
-            ids = pdf["id"].to_numpy()
+def _cell_top_k(side: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` of one part of the corpus for each query of one block."""
+    out = []
+    if len(side) and len(asked):
+        vectors, ids = np.stack(side["vector"].to_numpy()).astype(np.float64), side["id"].to_numpy()
+        for at in range(0, len(asked), QUERIES_AT_ONCE):
+            some = asked.iloc[at : at + QUERIES_AT_ONCE]
+            scores = np.round(vectors @ np.stack(some["v"].to_numpy()).T, SCORE_DIGITS)
             if len(ids) > k:  # everything from the k-th score up, ties included
                 floor = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k]
                 rows, cols = np.nonzero(scores >= floor)
             else:
                 rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-            q, i, s = _best(np.r_[q, cols], np.r_[i, ids[rows]], np.r_[s, scores[rows, cols]], k)
-        yield pd.DataFrame({"slot": q, "id": i, "score": s})
+            q, i, s = _best(cols, ids[rows], scores[rows, cols], k)
+            out.append(pd.DataFrame({"query_id": some["q"].to_numpy()[q], "slot": some["slot"].to_numpy()[q], "id": i, "score": s}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "slot": [], "id": [], "score": []})
+
+
+def exact_top_k(side: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Every part of the corpus against every block of queries, as one job of bounded cells;
+    only each cell's best meet in the shuffle, and nothing passes through the driver."""
+    parts = max(1, -(-side.count() // ROWS_PER_PART))
+    blocks = max(1, -(-asked.count() // QUERIES_PER_BLOCK))
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = side.withColumn("part", F.pmod(F.xxhash64("id", "vector"), F.lit(parts)).cast("int")).withColumn("block", every_block)
+    right = asked.withColumn("slot", F.xxhash64("q", "v"))
+    right = right.withColumn("block", F.pmod(F.col("slot"), F.lit(blocks)).cast("int")).withColumn("part", every_part)
+    cells = left.groupBy("part", "block").cogroup(right.groupBy("part", "block"))
+    local = cells.applyInPandas(lambda a, b: _cell_top_k(a, b, k), "query_id long, slot long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id", "slot").orderBy(F.desc("score"), "id"))
+    found = local.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
+    return found.select("query_id", "id", "score", "rank")
+
+
+# Ways to search, by name: functions of (id, vector), (q, v) and k.
+STRATEGIES: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {"exact": exact_top_k}
+
 
-    local = corpus.mapInPandas(scan, "slot int, id long, score double")
-    place = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("score"), "id"))
-    found = local.withColumn("rank", place).where(F.col("rank") <= k)
-    names = corpus.sparkSession.createDataFrame([(n, key) for n, key in enumerate(keys)], "slot int, query_id long")
-    return found.join(F.broadcast(names), "slot").select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+def register_strategy(name: str, search: Callable[[DataFrame, DataFrame, int], DataFrame]) -> None:
+    STRATEGIES[name] = search
 
 
 def top_k(
-    corpus: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vector: str = "vector", query_id: str = "query_id"
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int = 5,
+    id: str = "id",
+    vector: str = "vector",
+    query_id: str = "query_id",
+    strategy: str = "exact",
 ) -> DataFrame:
-    """The ``k`` vectors of highest inner product per query, exact, ties by id.
+    """The ``k`` vectors of highest inner product per query, ties by id; equal queries are one.
 
-    Each task multiplies its batches with the query block and keeps its own top ``k``;
-    only those meet in the shuffle. Queries beyond one block are taken block by block,
-    each against the whole corpus, with the results written between blocks.
+    ``strategy`` names the search: ``exact`` compares all, others can be registered.
     """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"Unknown strategy: {strategy}")
     side = corpus.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector")).where(F.col("vector").isNotNull())
     asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    blocks: list[DataFrame] = []
-    keys: list = []
-    rows: list = []
-    size = 0
-    stream = asked.toLocalIterator()
-    for r in stream:
-        if rows and size + len(r["v"]) * 8 > QUERY_BLOCK_BYTES:
-            blocks.append(materialize(_block_top_k(side, keys, np.array(rows), k), "topk"))
-            keys, rows, size = [], [], 0
-        keys.append(r["q"])
-        rows.append(r["v"])
-        size += len(r["v"]) * 8
-    if rows:
-        blocks.append(_block_top_k(side, keys, np.array(rows), k))
-    if not blocks:
-        return corpus.sparkSession.createDataFrame([], "query_id long, id long, score double, rank long")
-    return reduce(DataFrame.unionByName, blocks)
+    return STRATEGIES[strategy](side, asked.where(F.col("v").isNotNull()).distinct(), k)
 
 
 def search_results(found: DataFrame, chunks: DataFrame, digits: int = 4) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,7 +72,11 @@ def preview(df: DataFrame, order: Sequence[str], number: int = 1, size: int = 10
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key by ``order``. A maximum is combined within each task
     first, so a key with very many rows costs no more than any other."""
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_last"))
+    # a primitive maximum is a hash aggregate; whole rows are only compared where it ties
+    top = df.groupBy(*keys).agg(F.max(order[0]).alias("_top")).withColumnsRenamed({c: f"_key_{c}" for c in keys})
+    match = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys], F.col(order[0]).eqNullSafe(F.col("_top")))
+    tied = df.join(top, match, "left_semi")
+    best = tied.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_last"))
     return best.select("_last.*")
 
 

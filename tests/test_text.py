@@ -185,11 +185,15 @@ def test_top_k_is_exact_with_ties_and_many_blocks(spark, monkeypatch):
     queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)], "query_id long, vector array<double>")
     scores = asked @ corpus_.astype("float32").astype(float).T
     want = {(q, r + 1): i for q in range(9) for r, i in enumerate(sorted(range(300), key=lambda i: (-round(scores[q, i], 9), i))[:30])}
-    for block in (32 * 1024 * 1024, 200):
-        monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", block)
-        for parts in (1, 5):
-            got = retrieval.top_k(rows.repartition(parts), queries, 30).collect()
-            assert {(r.query_id, r.rank): r.id for r in got} == want
+    for block, part in ((10_000, 50_000), (4, 37)):
+        monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", block)
+        monkeypatch.setattr(retrieval, "ROWS_PER_PART", part)
+        got = retrieval.top_k(rows, queries, 30).collect()
+        assert {(r.query_id, r.rank): r.id for r in got} == want
+    retrieval.register_strategy("none", lambda side, asked, k: retrieval.exact_top_k(side.limit(0), asked, k))
+    assert retrieval.top_k(rows, queries, 5, strategy="none").count() == 0
+    with pytest.raises(ValueError):
+        retrieval.top_k(rows, queries, 5, strategy="unheard of")
 
 
 def test_top_k_of_small_and_empty_corpora(spark):
