@@ -186,15 +186,15 @@ def _upper_gamma(a: float, x: float) -> float:
     b = x + 1 - a
     c, d = 1e300, 1.0 / b
     h = d
-    for i in range(1, 10_000):
+    for i in range(1, 10_000_000):
         an = -i * (i - a)
         b += 2
         d = 1.0 / (an * d + b)
         c = b + an / c
         h *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return h * scale
+            return h * scale
+    raise ArithmeticError(f"the tail of chi-square did not converge at {a}, {x}")
 
 
 @F.pandas_udf(T.DoubleType())

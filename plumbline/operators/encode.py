@@ -111,10 +111,12 @@ def fit_encoder(
     max_one_hot: int = 10,
     drop_first: bool = False,
     exclude: Sequence[str] = (),
+    most_columns: int = MAX_ONE_HOT,
 ) -> Encoder:
     """Fit an encoder for every text and truth column not excluded.
 
-    ``auto`` takes one-hot up to ``max_one_hot`` distinct values and label codes beyond.
+    ``auto`` takes one-hot up to ``max_one_hot`` distinct values and label codes beyond. A
+    one-hot step that is asked for may make up to ``most_columns`` columns, else it raises.
     """
     if strategy not in ("auto", "onehot", "label", "ordinal", "frequency"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -122,9 +124,9 @@ def fit_encoder(
     for c in categorical_columns(df, exclude):
         kind, values = strategy, None
         if kind in ("auto", "onehot"):
-            values = few_rows(counts_of(df, c).select("value"), max_one_hot if kind == "auto" else MAX_ONE_HOT)
+            values = few_rows(counts_of(df, c).select("value"), max_one_hot if kind == "auto" else most_columns)
             if values is None and kind == "onehot":
-                raise ValueError(f"{c}: more than {MAX_ONE_HOT} values; use label or frequency codes")
+                raise ValueError(f"{c}: more than {most_columns} values; use label or frequency codes")
             kind = "label" if values is None else "onehot"
         if kind == "onehot":
             out.categories[c] = sorted(r["value"] for r in values)

@@ -62,17 +62,22 @@ def quality_score(df: DataFrame, expected: dict[str, str] | None = None) -> Data
     )
 
 
-def recommendations(df: DataFrame, expected: dict[str, str] | None = None) -> DataFrame:
-    """Advice that follows from the dimension scores, one row per sentence."""
+def recommendations(
+    df: DataFrame, expected: dict[str, str] | None = None, most_columns: int | None = 5, most_mismatches: int | None = 3
+) -> DataFrame:
+    """Advice that follows from the dimension scores, one row per sentence. A sentence names
+    the first so many columns in the table's order; None names all."""
     issues = schema_issues(df, expected)
     scores = dimension_scores(df, expected).select("dimension", "raw", F.lit(None).cast("string").alias("gappy"))
+    place = F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("column_name"))
+    most = len(df.columns) if most_columns is None else most_columns
     gappy = missing_report(df).where("missing_pct > 10").agg(
-        F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "column_name"))), lambda s: s["column_name"]), 1, 5), ", ").alias("gappy")
+        F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), "column_name"))), lambda s: s["column_name"]), 1, most), ", ").alias("gappy")
     )
     both = scores.unionByName(gappy.select(F.lit("gappy").alias("dimension"), F.lit(None).cast("double").alias("raw"), "gappy"))
     at = {d: F.max(F.when(F.col("dimension") == d, F.col("raw"))).alias(d) for d in WEIGHTS}
     one = both.agg(*at.values(), F.max("gappy").alias("gappy"))
-    mismatched = ", ".join(issues["mismatched"][:3])
+    mismatched = ", ".join(issues["mismatched"][:most_mismatches])
     advice = F.array_compact(
         F.array(
             F.when(

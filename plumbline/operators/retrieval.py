@@ -161,7 +161,7 @@ def confidence(score: Column) -> Column:
     return F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low")
 
 
-def citations(results: DataFrame, most: int = MAX_CITATIONS) -> DataFrame:
+def citations(results: DataFrame, most: int = MAX_CITATIONS, excerpt_chars: int = EXCERPT_CHARS) -> DataFrame:
     """The best results per query as citations, with confidence, excerpt and document name."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     top = results.withColumn("place", place).where(F.col("place") <= most)
@@ -172,7 +172,7 @@ def citations(results: DataFrame, most: int = MAX_CITATIONS) -> DataFrame:
         F.col("id").alias("chunk_id"),
         file_name(F.col("source")).alias("source_document"),
         page.alias("page_number"),
-        F.substring(strip(F.col("text")), 1, EXCERPT_CHARS).alias("excerpt"),
+        F.substring(strip(F.col("text")), 1, excerpt_chars).alias("excerpt"),
         F.col("score").alias("similarity_score"),
         confidence(F.col("score")).alias("confidence"),
     )

@@ -145,15 +145,17 @@ def agent_injection(text: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def detect_loops(steps: DataFrame, run: str, order: Sequence[str], tool: str, arguments: str) -> DataFrame:
-    """Per run: are its last three steps the same tool with the same arguments?
+def detect_loops(
+    steps: DataFrame, run: str, order: Sequence[str], tool: str, arguments: str, count: int = LOOP_STEPS
+) -> DataFrame:
+    """Per run: are its last ``count`` steps the same tool with the same arguments?
 
-    Only the last three steps of a run per task reach the shuffle.
+    Only the last ``count`` steps of a run per task reach the shuffle.
     """
     place = F.row_number().over(Window.partitionBy(run).orderBy(*[F.desc(c) for c in order]))
-    last = steps.withColumn("_place", place).where(F.col("_place") <= LOOP_STEPS)
+    last = steps.withColumn("_place", place).where(F.col("_place") <= count)
     call = F.struct(F.coalesce(tool, F.lit("")), F.coalesce(arguments, F.lit("")))
-    same = (F.count("*") == LOOP_STEPS) & (F.min(call) == F.max(call))
+    same = (F.count("*") == count) & (F.min(call) == F.max(call))
     return last.groupBy(run).agg(same.alias("looping"))
 
 

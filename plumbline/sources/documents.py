@@ -58,15 +58,17 @@ def load_documents(spark: SparkSession, folder: str, extensions: Sequence[str] |
     unknown = [e for e in wanted if e not in LOADERS]
     if unknown:
         raise ValueError(f"No loader registered for extension {unknown[0]!r}. Supported: {list(LOADERS)}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    decoded = files.select(
-        "path",
-        suffix(F.col("path")).alias("file_type"),
-        F.col("length").alias("file_size_bytes"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("_content"),
-    )
     parts = []
     for e in wanted:
+        # the glob keeps other loaders' files from being opened, whatever their case
+        glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+        decoded = files.select(
+            "path",
+            suffix(F.col("path")).alias("file_type"),
+            F.col("length").alias("file_size_bytes"),
+            F.make_valid_utf8(F.col("content").cast("string")).alias("_content"),
+        )
         mine = decoded.where(F.col("file_type") == e).withColumn("_doc", LOADERS[e](F.col("_content")))
         parts.append(mine.select("path", "file_type", "file_size_bytes", F.col("_doc.title").alias("title"), F.col("_doc.text").alias("text")))
     return reduce(DataFrame.unionByName, parts)

@@ -77,10 +77,10 @@ def last_values(df: DataFrame, labels: Sequence[str], value: str, order: Sequenc
 def stream_sessions(df: DataFrame, key: str, time: str, gap: str, late: str = "10 minutes") -> DataFrame:
     """Sessions by inactivity with Spark's session window; for streams.
 
-    Sessions are merged within each task before the shuffle, so a busy key sends sessions,
-    not events.
+    Where the session sets ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``
+    (as ``local_session`` does), sessions are merged within each task before the shuffle, so
+    a busy key sends sessions, not events. The setting is left to the caller.
     """
-    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     kind = df.schema[time].dataType
     df = event_time(df, time, late)
     out = df.groupBy(F.session_window(time, gap).alias("_s"), key).agg(F.count("*").alias("events"))
