@@ -294,7 +294,7 @@ m as (select (100.0::double * sum((state is null)::int + (level is null)::int) /
 u as (select greatest(0, 100 - 2 * round(sum(k - 1) * 100.0::double / sum(k), 2)) as s from (select count(*) as k from hollow group by state, level))
 select (row_number() over (order by pos) - 1) as place, recommendation from (
   select 1 as pos, 'Impute or drop columns with high missing values: ' || case
-     when p1 > 10 and p2 > 10 then case when m1 >= m2 then 'state, level' else 'level, state' end when p1 > 10 then 'state' else 'level' end as recommendation
+     when p1 > 10 and p2 > 10 then 'state, level' when p1 > 10 then 'state' else 'level' end as recommendation
   from m where 100 - round(pct, 2) < 90 and (p1 > 10 or p2 > 10)
   union all select 2, 'Remove or investigate duplicate rows before training.' from u where s < 90)""")
 def recommendations(spark, d):
