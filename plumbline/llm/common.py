@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.session import work_path
 
@@ -43,6 +45,27 @@ class Written:
         delete_path(self.spark, self.path)
 
 
+def draw(*keys) -> Column:
+    """A number in [0, 1) from the hash of the keys, the same on any partitioning."""
+    return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
+
+
+def smallest_draws(rows: DataFrame, group: str, key: str, most: int, sizes: dict) -> DataFrame:
+    """Per ``group`` the ``most`` rows of smallest draw of ``key`` (unique within the group),
+    with their place ``nth`` from 1.
+
+    ``sizes`` has the rows per group, by which all but about twice as many rows go before
+    they meet.
+    """
+    share = F.lit(1.0)
+    for value, size in sizes.items():
+        if size > 2 * most:
+            share = F.when(F.col(group) == F.lit(value), 2.0 * most / size).otherwise(share)
+    few = rows.withColumn("draw", draw(key)).where(F.col("draw") < share)
+    order = Window.partitionBy(group).orderBy("draw", key)
+    return few.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, for few but heavy rows that adaptive
     execution would put into one task."""

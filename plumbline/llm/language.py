@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.llm.common import Written, fresh, smallest_draws
+
 REFERENCE_BYTES = 60_000
 SAMPLE_DOCUMENTS = 400
 SEGMENT = 512
@@ -158,9 +160,10 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", do
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= reference_bytes))
     keys = rows.groupBy("label", F.xxhash64("text").alias("key")).agg(F.max(F.octet_length("text")).alias("bytes"))
-    # the limit per label is applied in every task before the rows meet
-    order = Window.partitionBy("label").orderBy("key")
-    keys = keys.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= documents)
+    keys = Written(keys, "language-keys").df
+    sizes = {r["label"]: r["n"] for r in keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    keys = smallest_draws(keys, "label", "key", documents, sizes)
+    order = Window.partitionBy("label").orderBy("nth")
     keys = keys.withColumn("before", F.sum("bytes").over(order) - F.col("bytes")).where(F.col("before") < reference_bytes)
     chosen = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(keys.select("label", "key")), ["label", "key"])
     taken = chosen.groupBy("label", "key").agg(F.first("text").alias("text")).toPandas()
@@ -189,8 +192,9 @@ def predict(df: DataFrame, parser: Parser, text_col: str = "text", name: str = "
         n, s = model.value.judge(held)
         return pd.DataFrame({"name": (names + n)[: len(texts)], "score": (scores + s.tolist())[: len(texts)]})
 
-    marked = df.withColumn("_judged", judged(F.col(text_col)))
-    return marked.withColumn(name, F.col("_judged.name")).withColumn(score, F.col("_judged.score")).drop("_judged")
+    held = fresh(df, "_judged")
+    marked = df.withColumn(held, judged(F.col(text_col)))
+    return marked.withColumn(name, F.col(held)["name"]).withColumn(score, F.col(held)["score"]).drop(held)
 
 
 def fold(id_col: str | Column, folds: int) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plumbline.llm.common import fresh
+
 # Fixed values of the published algorithm: its generator's factor, and 2^31.
 FACTOR = 2862933555777941757
 SPAN = float(1 << 31)
@@ -69,23 +71,24 @@ def with_slots(df: DataFrame, by: str, name: str = "slot", rows_per_cell: int =
     """
     columns = df.columns
     texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in columns]
-    mixed = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    mixed = mixed.withColumn("_order", F.md5(F.concat_ws(":", *texts).cast("binary")))
+    own = {n: fresh(df, f"_{n}") for n in ("copies", "order", "cell", "before", "rows", "by", "in", "start", "from", "till", "nth")}
+    mixed = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias(own["copies"]))
+    mixed = mixed.withColumn(own["order"], F.md5(F.concat_ws(":", *texts).cast("binary")))
     bits = max(0, int(df.count() // rows_per_cell).bit_length())
-    mixed = mixed.withColumn("_cell", F.shiftright(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), 32 - bits))
-    cell = Window.partitionBy(by, "_cell").orderBy("_order", *[F.col(f"`{c}`") for c in columns])
-    within = mixed.withColumn("_before", F.sum("_copies").over(cell) - F.col("_copies"))
-    sizes = mixed.groupBy(by, "_cell").agg(F.sum("_copies").alias("_rows"))
-    below = Window.partitionBy(by).orderBy("_cell")  # one row per cell
-    starts = sizes.select(F.col(by).alias("_by"), F.col("_cell").alias("_in"), (F.sum("_rows").over(below) - F.col("_rows")).alias("_start"))
-    placed = within.join(starts, within[by].eqNullSafe(starts["_by"]) & (within["_cell"] == starts["_in"]))
-    first = F.col("_start") + F.col("_before")
+    mixed = mixed.withColumn(own["cell"], F.shiftright(F.conv(F.substring(own["order"], 1, 8), 16, 10).cast("long"), 32 - bits))
+    cell = Window.partitionBy(by, own["cell"]).orderBy(own["order"], *[F.col(f"`{c}`") for c in columns])
+    within = mixed.withColumn(own["before"], F.sum(own["copies"]).over(cell) - F.col(own["copies"]))
+    sizes = mixed.groupBy(by, own["cell"]).agg(F.sum(own["copies"]).alias(own["rows"]))
+    below = Window.partitionBy(by).orderBy(own["cell"])  # one row per cell
+    starts = sizes.select(F.col(by).alias(own["by"]), F.col(own["cell"]).alias(own["in"]), (F.sum(own["rows"]).over(below) - F.col(own["rows"])).alias(own["start"]))
+    placed = within.join(starts, within[by].eqNullSafe(starts[own["by"]]) & (within[own["cell"]] == starts[own["in"]]))
+    first = F.col(own["start"]) + F.col(own["before"])
     # a row repeated millions of times is written out from several tasks
     step = F.lit(rows_per_cell).cast("long")
-    parts = placed.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, step)))
-    many = parts.where("_copies = 1").withColumn(name, first)
-    rest = parts.where("_copies > 1").withColumn("_till", F.least(F.col("_from") + step, F.col("_copies")) - 1)
-    rest = rest.withColumn("_nth", F.explode(F.sequence("_from", "_till"))).withColumn(name, first + F.col("_nth"))
+    parts = placed.withColumn(own["from"], F.explode(F.sequence(F.lit(0).cast("long"), F.col(own["copies"]) - 1, step)))
+    many = parts.where(F.col(own["copies"]) == 1).withColumn(name, first)
+    rest = parts.where(F.col(own["copies"]) > 1).repartition(own["order"], own["from"]).withColumn(own["till"], F.least(F.col(own["from"]) + step, F.col(own["copies"])) - 1)
+    rest = rest.withColumn(own["nth"], F.explode(F.sequence(own["from"], own["till"]))).withColumn(name, first + F.col(own["nth"]))
     keep = [F.col(f"`{c}`") for c in columns if c != name] + [F.col(name)]
     return many.select(*keep).unionByName(rest.select(*keep))
 
@@ -93,5 +96,6 @@ def with_slots(df: DataFrame, by: str, name: str = "slot", rows_per_cell: int =
 def write_shards(df: DataFrame, path: str, key: str, shards: int, files_per_shard: int = 1) -> None:
     """Write one folder ``shard=<n>`` per shard, each in ``files_per_shard`` files or fewer."""
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_shard))
-    out = with_shards(df, key, shards).withColumn("_part", spread)
-    out.repartition("shard", "_part").drop("_part").write.partitionBy("shard").parquet(path)
+    part = fresh(df, "_part")
+    out = with_shards(df, key, shards).withColumn(part, spread)
+    out.repartition("shard", part).drop(part).write.partitionBy("shard").parquet(path)

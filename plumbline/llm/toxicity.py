@@ -19,8 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from plumbline.llm.common import fresh, smallest_draws
 from plumbline.llm.language import fold
 
 EXAMPLES_PER_CLASS = 3000
@@ -164,9 +164,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_toxic"))
     totals = {r["_toxic"]: r["n"] for r in marked.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("_toxic").orderBy(F.xxhash64("_id"), "_id")
-    # the limit per class is applied in every task before the rows meet
-    chosen = marked.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= examples).drop("_nth")
+    chosen = smallest_draws(marked, "_toxic", "_id", examples, totals).select("_id", "_toxic")
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     rows = texts.groupBy("_id", "_toxic").agg(F.max("_text").alias("_text")).toPandas()
     if not len(rows):
@@ -191,10 +189,11 @@ def with_scores(df: DataFrame, index: Index | None, text_col: str = "text", key_
         rows = [known.judge(t) if known else [0.0, [], [], []] for t in texts]
         return pd.DataFrame(rows, columns=["score", "near_ids", "near_cosines", "near_labels"])
 
-    out = df.withColumn("_judged", judged(F.col(text_col)))
+    held = fresh(df, "_judged")
+    out = df.withColumn(held, judged(F.col(text_col)))
     for name in ("score", "near_ids", "near_cosines", "near_labels"):
-        out = out.withColumn(name, F.col(f"_judged.{name}"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_judged")
+        out = out.withColumn(name, F.col(held)[name])
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(held)
 
 
 def held_out_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0) -> DataFrame:

@@ -52,7 +52,7 @@ def test_languages(spark):
             assert r["lang_pred"] == ("en" if r["doc_id"] in (None, 43) or r["doc_id"] % 2 else "de")
             assert 0.5 <= r["score"] <= 1
     kept = language.predict(df, language.fit(df), "text", "lang_pred", "score")
-    assert kept.count() == len(rows) and "_judged" not in kept.columns
+    assert kept.count() == len(rows) and kept.columns == [*df.columns, "lang_pred"]
     assert language.held_out_predictions(none(spark)).count() == 0
 
 
