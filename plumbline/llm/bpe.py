@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-MOST_PIECES = 600_000
+MOST_PIECES = 1_200_000
 TEXT_BYTES_AT_ONCE = 8 << 20
 CLOSING = ".,;:!?"
 LAST_LATIN = "ɏ"
@@ -41,6 +41,7 @@ class Pieces:
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.model = self.tokenizer.model
         self.letters = byte_characters()
         self.clear()
 
@@ -55,32 +56,46 @@ class Pieces:
 
     def _merged(self, text: str) -> list[int]:
         """Ids of a text that the splitter leaves in one part."""
-        return [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
-
-    def after_blank(self, piece: str) -> list[int]:
+        if text.isascii() and text.isprintable() and " " not in text[1:]:
+            text = "Ġ" + text[1:] if text[0] == " " else text
+        else:
+            text = text.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(text)]
+
+    def _word(self, piece: str, lead: str) -> list[int] | None:
+        """Ids of letters and closing marks after ``lead``; None for any other piece."""
         word = piece.rstrip(CLOSING)
-        # letters up to U+024F are one part with the blank before them, closing marks another
+        # letters up to U+024F are one part with a blank before them, closing marks another
         if not word.isalpha() or max(word) > LAST_LATIN:
-            return self.whole(" " + piece)
+            return None
         if word == piece:
-            return self._merged(" " + word)
+            return self._merged(lead + word)
         mark = piece[len(word) :]
         if mark not in self.closing:
             self.closing[mark] = self._merged(mark)
-        return self._merged(" " + word) + self.closing[mark]
+        known = self.code.get(word) if lead else None
+        if known is not None:
+            return self.ids[self.ends[known] : self.ends[known + 1]].tolist() + self.closing[mark]
+        return self._merged(lead + word) + self.closing[mark]
+
+    def after_blank(self, piece: str) -> list[int]:
+        ids = self._word(piece, " ")
+        if ids is None and piece.count("\n") == 1:  # a line break between two words is a part of its own
+            first, _, second = piece.partition("\n")
+            left, right = self._word(first, " "), self._word(second, "")
+            if left is not None and right is not None:
+                ids = left + self._merged("\n") + right
+        return self.whole(" " + piece) if ids is None else ids
 
     def codes(self, pieces: list[str]) -> np.ndarray:
         code, ids, ends = self.code, self.ids, self.ends
-        out = np.empty(len(pieces), np.int64)
-        for n, piece in enumerate(pieces):
-            c = code.get(piece)
+        found = list(map(code.get, pieces))
+        for n, c in enumerate(found):
             if c is None:
-                c = len(ends) - 1
-                ids.extend(self.after_blank(piece))
+                found[n] = code[pieces[n]] = len(ends) - 1
+                ids.extend(self.after_blank(pieces[n]))
                 ends.append(len(ids))
-                code[piece] = c
-            out[n] = c
-        return out
+        return np.array(found, np.int64)
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -110,7 +125,7 @@ def encode(texts: pa.Array, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndar
     flat = parts.flatten()
     coded = flat.dictionary_encode()
     index = coded.indices.to_numpy().astype(np.int64)
-    pieces = coded.dictionary.to_pylist()
+    pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     first = offsets[:-1] - offsets[0]
     is_first = np.zeros(len(index), bool)
     is_first[first] = True
