@@ -141,3 +141,14 @@ def test_validation_run_survives_tables_without_some_kinds(spark):
     assert reports["summary"].first().errors == ""
     assert reports["numeric"].count() == 0 and reports["outliers"].count() == 0 and reports["dates"].count() == 0
     assert {r.warning for r in reports["warnings"].collect()} >= {"Column 's': 100% unique values"}
+
+
+def test_rows_a_microsecond_apart_are_no_duplicates(spark):
+    rows = spark.sql(
+        "select * from values (1, timestamp'2024-01-01 00:00:00.000001', 0.0D, 'a', cast(null as string)),"
+        " (2, timestamp'2024-01-01 00:00:00.000002', 0.0D, 'a', null), (3, timestamp'2024-01-01 00:00:00.000001', -0.0D, 'a', null),"
+        " (4, timestamp'2024-01-01 00:00:00.000001', 0.0D, null, 'a'), (5, timestamp'2024-01-01 00:00:00.000001', 0.0D, 'a', '') as t(id, ts, x, s, u)"
+    )
+    found = validate.duplicate_rows(rows, ["id"], ["id"])
+    assert [r.id for r in found.collect()] == [3]
+    assert profile.duplicate_summary(rows.drop("id")).first().duplicate_rows == 1
