@@ -82,7 +82,9 @@ def read_csv(
     # a record of the wrong length keeps its raw text; short ones are filled with NULL
     quoteless = F.regexp_replace(ref(BROKEN), r'"(""|[^"])*"', "q")
     fields = F.size(F.split(quoteless, re.escape(sep), -1))
-    raw = raw.where(ref(BROKEN).isNull() | (fields <= len(names)))
+    # Spark wants a data column read beside a record's text, also where rows are only counted
+    counted = F.length(F.coalesce(ref(names[0]), F.lit(""))) >= 0
+    raw = raw.where(counted & (ref(BROKEN).isNull() | (fields <= len(names))))
     texts = raw.select(*[F.when(~F.trim(ref(c)).isin(*MISSING_TOKENS), F.trim(ref(c))).alias(c) for c in names])
     return cast_by_value(texts) if typed else texts
 
