@@ -30,7 +30,7 @@ from plumbline.llm.components import components
 BITS = 64
 SEED = 42
 SHINGLES_AT_ONCE = 1 << 16
-PAIRS_AT_ONCE = 1 << 22
+PAIRS_AT_ONCE = 1 << 19
 # Odd factors that spread one shingle hash into further independent words of a sketch.
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
