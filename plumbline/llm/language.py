@@ -186,7 +186,7 @@ def predict(df: DataFrame, parser: Parser, text_col: str = "text", name: str = "
         for text in [*texts, None]:
             held.append(text)
             size += len(text or "")
-            if size > 4 << 20:
+            if size > 1 << 20:
                 n, s = model.value.judge(held)
                 names, scores, size, held = names + n, scores + s.tolist(), 0, []
         n, s = model.value.judge(held)

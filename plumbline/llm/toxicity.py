@@ -148,7 +148,7 @@ class Index:
         terms, value = self.vector(Counter(w for w in words(text) if w in terms))
         sign = (tuple(terms.tolist()), tuple(value.tolist()))
         if sign not in self.known:
-            if len(self.known) > 50_000:
+            if len(self.known) > 5_000:
                 self.known.clear()
             near = self.nearest(terms, value, k) if len(terms) else []
             raw = min(max(self.vote(near), 1e-6), 1 - 1e-6)
