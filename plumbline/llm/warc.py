@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import Written, files
+from plumbline.llm.common import Written, files, shuffle_parts
 from plumbline.session import work_path
 
 # Fixed values of the WARC 1.1 format.
@@ -144,7 +144,7 @@ def read_records(index: DataFrame, payloads: bool = False, gap: int = GAP, range
     # a range ends where the archive passes a multiple of range_bytes
     piece = F.floor(F.col("offset") / range_bytes)
     ranges = parted.groupBy("path", "island", piece.alias("piece")).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("members"))
-    ranges = ranges.repartition("path", "island", "piece")
+    ranges = ranges.repartition(shuffle_parts(index.sparkSession), "path", "island", "piece")
     id_type = index.schema["id"].dataType.simpleString()
     names = ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
 
