@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-MOST_PIECES = 1_200_000
-TEXT_BYTES_AT_ONCE = 8 << 20
+MOST_PIECES = 400_000
+TEXT_BYTES_AT_ONCE = 4 << 20
 CLOSING = ".,;:!?"
 LAST_LATIN = "ɏ"
 
@@ -51,6 +51,13 @@ class Pieces:
         self.ends = array("q", [0])
         self.closing: dict[str, list[int]] = {}
 
+    def forget(self, kept: int) -> None:
+        """Drop all but the ``kept`` pieces met first; common ones are met early."""
+        while len(self.code) > kept:
+            self.code.popitem()
+        del self.ends[kept + 1 :]
+        del self.ids[self.ends[kept] :]
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -117,8 +124,7 @@ def encode(texts: pa.Array, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndar
     """Ids (unsigned 32 bit) of all texts in a row, and the number of ids of each; a null text
     has none."""
     known = pieces_of(path)
-    if len(known.code) > MOST_PIECES:
-        known.clear()
+    kept = len(known.code)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     parts = pc.split_pattern(texts, " ")
     offsets = np.asarray(parts.offsets)
@@ -151,7 +157,9 @@ def encode(texts: pa.Array, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndar
     if opening:
         out[_gather(begin[first], length[first])] = np.array([i for o in opening for i in o], np.uint32)
     counts = np.bincount(owner, weights=length, minlength=len(texts)).astype(np.int64)
-    del all_ids, ends  # the memory may grow again
+    del all_ids, ends  # the memory may change again
+    if kept >= MOST_PIECES:
+        known.forget(kept)
     return out, counts
 
 
