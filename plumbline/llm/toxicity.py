@@ -1,11 +1,14 @@
 """Toxicity by the nearest labelled examples in exact TF-IDF cosine.
 
 Labelled texts are the examples, a bounded sample of each class. Terms that go with a label
-make the vocabulary; over it every text is a unit TF-IDF vector. An inverted index keeps for
+are the telling ones; over them every text is a unit TF-IDF vector. An inverted index keeps for
 every term its postings and, per block of examples, the largest weight among them. The sum of
 these largest weights bounds the cosine of any example of a block, so a query reads blocks by
 falling bound and stops when no block left can hold one of the ``k`` nearest.
 
+A second index holds every term of every example. It gives the neighbours of a text without
+a telling term, and the cosines over all terms that stand in the evidence of every text.
+
 Neighbours vote by their closeness and by the share of all labelled rows they stand for; a
 logistic curve fitted on the examples, each judged without itself, turns votes into scores.
 """
@@ -30,6 +33,7 @@ LEAST_ASSOCIATION = 20.0
 BLOCK = 64
 NEIGHBOURS = 15
 PRIOR_VOTES = 0.5
+DENSE_SHARE = 8
 WORD = re.compile(r"\w+")
 
 
@@ -48,6 +52,52 @@ def association(a: np.ndarray, b: np.ndarray, in_a: float, in_b: float) -> np.nd
     return out
 
 
+class Everything:
+    """TF-IDF cosines with all examples over all their terms; frequent terms as dense rows."""
+
+    def __init__(self, bags: list[Counter], weight: np.ndarray, rows: int) -> None:
+        self.terms: dict[str, int] = {}
+        lengths = np.array([len(b) for b in bags], np.int64)
+        term = np.fromiter((self.terms.setdefault(w, len(self.terms)) for b in bags for w in b), np.int32, int(lengths.sum()))
+        count = np.fromiter((n for b in bags for n in b.values()), np.float64, len(term))
+        owner = np.repeat(np.arange(len(bags), dtype=np.int32), lengths)
+        spread = np.bincount(term, weight[owner], len(self.terms))
+        self.idf = np.append(np.log((rows + 1) / (spread + 1)) + 1, np.log(rows + 1) + 1)  # the last for terms of no example
+        value = (1 + np.log(count)) * self.idf[term]
+        norm = np.sqrt(np.bincount(owner, value * value, len(bags)))
+        order = np.argsort(term, kind="stable")
+        self.owner, self.value = owner[order], (value / norm[owner])[order]
+        ends = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.size = len(bags)
+        dense = np.flatnonzero(np.diff(ends) > len(bags) // DENSE_SHARE)
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), len(bags)), np.float32)
+        for n, t in enumerate(dense.tolist()):
+            self.dense[n, self.owner[ends[t] : ends[t + 1]]] = self.value[ends[t] : ends[t + 1]]
+        self.ends = ends
+
+    def cosines(self, bag: Counter) -> np.ndarray:
+        found = [(self.terms.get(w, -1), n) for w, n in bag.items()]
+        if not found or not self.size:
+            return np.zeros(self.size)
+        terms, counts = (np.array(x) for x in zip(*found))
+        value = (1 + np.log(counts)) * self.idf[terms]
+        value /= np.sqrt((value * value).sum())
+        known = terms >= 0
+        terms, value = terms[known], value[known]
+        row = self.row[terms]
+        query = np.zeros(len(self.dense), np.float32)
+        query[row[row >= 0]] = value[row >= 0]
+        out = (query @ self.dense).astype(np.float64)
+        terms, value = terms[row < 0], value[row < 0]
+        if len(terms):
+            low, size = self.ends[terms], self.ends[terms + 1] - self.ends[terms]
+            at = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+            out += np.bincount(self.owner[at], self.value[at] * np.repeat(value, size), self.size)
+        return np.minimum(out, 1.0)
+
+
 class Index:
     """Block-max inverted index of the examples."""
 
@@ -69,12 +119,15 @@ class Index:
         # similar examples share a block: sorted by their heaviest term
         heavy = [int(t[v.argmax()]) if len(t) else -1 for t, v in vectors]
         order = sorted((i for i in range(len(bags)) if heavy[i] >= 0), key=lambda i: (heavy[i], len(vectors[i][0]), str(keys[i]), i))
+        empty = np.array([h < 0 for h in heavy], bool)
+        self.telling = len(order)  # examples from here on have no telling term
+        order += np.flatnonzero(empty).tolist()
         self.toxic, self.keys = toxic[order].astype(np.float64), [keys[i] for i in order]
         self.votes = self.weight[order]
-        empty = np.array([h < 0 for h in heavy], bool)
         self.bare = self._share(self.weight[empty], toxic[empty], rows, totals)
         self.prior = (totals.get(1, 0) + 0.5) / (rows + 1)
-        blocks = -(-len(order) // BLOCK)
+        blocks = -(-self.telling // BLOCK)
+        order, every = order[: self.telling], [bags[i] for i in order]
         self.most = np.zeros((len(self.terms), blocks))
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for n, i in enumerate(order):
@@ -86,7 +139,8 @@ class Index:
         self.ends = [np.searchsorted(w, np.arange(blocks + 1) * BLOCK) for w in self.where]
         self.known: dict[tuple, list] = {}
         self.slope, self.shift = 1.0, 0.0
-        self._calibrate([vectors[i] for i in order], self.weight[empty].sum(), toxic[empty] @ self.weight[empty])
+        self.all = Everything(every, self.votes, rows)
+        self._calibrate([vectors[i] for i in order], every)
 
     @staticmethod
     def _share(weight: np.ndarray, toxic: np.ndarray, rows: int, totals: dict[int, int]) -> float:
@@ -116,21 +170,33 @@ class Index:
             best = sorted(best + found)[:k]
         return [(-s, n) for s, n in best]
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """Share of the votes for label 1: a vote falls with the square of the sine."""
+    def nearest_of_all(self, cosines: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        """The k examples of largest cosine above 0 over all terms, ties to the earlier example."""
+        if without >= 0:
+            cosines = cosines.copy()
+            cosines[without] = 0.0
+        at = np.flatnonzero(cosines >= np.partition(cosines, -k)[-k]) if len(cosines) > k else np.arange(len(cosines))
+        at = at[np.argsort(-cosines[at], kind="stable")][:k]
+        return [(float(cosines[n]), int(n)) for n in at if cosines[n] > 0]
+
+    def vote(self, near: list[tuple[float, int]], prior: float | None = None) -> float:
+        """Share of the votes for label 1: a vote falls with the square of the sine. ``prior``
+        is the share where no example is near."""
+        prior = self.prior if prior is None else prior
         if not near:
             return self.bare
         cosine = np.minimum(1.0, np.array([s for s, _ in near]))
         at = [n for _, n in near]
         votes = self.votes[at] * cosine**2 / (1 + 4 * (1 - cosine**2))
-        return float((votes @ self.toxic[at] + PRIOR_VOTES * self.prior) / (votes.sum() + PRIOR_VOTES))
+        return float((votes @ self.toxic[at] + PRIOR_VOTES * prior) / (votes.sum() + PRIOR_VOTES))
 
-    def _calibrate(self, vectors: list[tuple], bare_weight: float, bare_toxic: float) -> None:
+    def _calibrate(self, vectors: list[tuple], every: list[Counter]) -> None:
         raw = [self.vote(self.nearest(t, v, NEIGHBOURS, without=n)) for n, (t, v) in enumerate(vectors)]
-        x = np.array([*raw, self.bare, self.bare])
-        x = np.log(np.clip(x, 1e-6, 1 - 1e-6) / (1 - np.clip(x, 1e-6, 1 - 1e-6)))
-        y = np.array([*self.toxic, 0.0, 1.0])
-        w = np.array([*self.votes, bare_weight - bare_toxic, bare_toxic])
+        for n in range(self.telling, len(every)):
+            raw.append(self.vote(self.nearest_of_all(self.all.cosines(every[n]), NEIGHBOURS, without=n), self.bare))
+        x = np.clip(np.array(raw), 1e-6, 1 - 1e-6)
+        x = np.log(x / (1 - x))
+        y, w = self.toxic, self.votes
         if not (w[y == 1].sum() > 0 and w[y == 0].sum() > 0):
             return
         w = w / w.sum()
@@ -143,18 +209,27 @@ class Index:
             self.slope, self.shift = self.slope - step[0], self.shift - step[1]
 
     def judge(self, text: str | None, k: int = NEIGHBOURS) -> tuple[float, list, list[float], list[int]]:
-        """Score and evidence: keys, cosines and labels of the nearest examples."""
-        terms = self.terms
-        terms, value = self.vector(Counter(w for w in words(text) if w in terms))
-        sign = (tuple(terms.tolist()), tuple(value.tolist()))
-        if sign not in self.known:
-            if len(self.known) > 5_000:
-                self.known.clear()
-            near = self.nearest(terms, value, k) if len(terms) else []
-            raw = min(max(self.vote(near), 1e-6), 1 - 1e-6)
-            score = 1 / (1 + np.exp(-(self.slope * np.log(raw / (1 - raw)) + self.shift)))
-            self.known[sign] = [float(score), [self.keys[n] for _, n in near], [float(s) for s, _ in near], [int(self.toxic[n]) for _, n in near]]
-        return self.known[sign]
+        """Score and evidence: keys, cosines over all terms and labels of the nearest examples."""
+        bag = Counter(words(text))
+        cosines = self.all.cosines(bag)
+        terms, value = self.vector(bag)
+        if not len(terms):
+            near = self.nearest_of_all(cosines, k)
+            score = self._score(self.vote(near, self.bare))
+        else:
+            sign = (tuple(terms.tolist()), tuple(value.tolist()))
+            if sign not in self.known:
+                if len(self.known) > 5_000:
+                    self.known.clear()
+                near = self.nearest(terms, value, k)
+                self.known[sign] = self._score(self.vote(near)), near
+            score, near = self.known[sign]
+        at = [n for _, n in near]
+        return score, [self.keys[n] for n in at], cosines[at].tolist(), [int(self.toxic[n]) for n in at]
+
+    def _score(self, raw: float) -> float:
+        raw = min(max(raw, 1e-6), 1 - 1e-6)
+        return float(1 / (1 + np.exp(-(self.slope * np.log(raw / (1 - raw)) + self.shift))))
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES_PER_CLASS) -> Index | None:
@@ -177,8 +252,9 @@ def with_scores(df: DataFrame, index: Index | None, text_col: str = "text", key_
     """``df`` with ``score``, ``predicted`` (1 from 0.5 on) and the evidence: ``near_ids``,
     ``near_cosines`` and ``near_labels``. Columns of these names are replaced, all rows kept.
 
-    Every text is read whole; a null, empty or unknown text gets the rate of examples without
-    a known term. Without an index the score is 0.
+    Every text is read whole. One without a telling term is judged by the examples nearest over
+    all terms, the nearer the more; far from all it gets the rate of examples without a telling term,
+    as do null and empty texts. Without an index the score is 0.
     """
     model = df.sparkSession.sparkContext.broadcast(index)
     shape = f"score double, near_ids array<{key_type}>, near_cosines array<double>, near_labels array<int>"

@@ -114,6 +114,40 @@ def test_toxic_texts_score_high(spark):
             assert len(r["near_ids"]) == len(r["near_cosines"]) > 0 and 1 in r["near_labels"]
 
 
+def test_copies_of_examples_without_telling_terms(spark):
+    docs, labels = toxic_table(spark)
+    rare, calm = (" ".join(f"{c}{n}" for n in range(50)) for c in "rc")
+    more = [(901, rare, "x", None), (902, rare, "x", None), (911, calm, "x", None), (912, calm, "x", None), (920, "nothing known", "x", None), (921, "nasty " + calm, "x", None)]
+    index = toxicity.fit(docs.unionByName(spark.createDataFrame(more, docs.schema)), labels.unionByName(spark.createDataFrame([(901, 1), (911, 0)], labels.schema)))
+    assert not {*toxicity.words(rare), *toxicity.words(calm)} & index.terms.keys()
+    score, keys, cosines, found = index.judge(rare)
+    assert score >= 0.5 and keys[0] == 901 and found[0] == 1 and cosines[0] == pytest.approx(1, abs=1e-6)
+    score, keys, cosines, found = index.judge(calm)
+    assert score < 0.5 and keys[0] == 911 and found[0] == 0
+    assert index.judge("nothing known")[1] == [] and index.judge("nothing known")[0] == index.judge(None)[0] < 0.5
+    # evidence has the cosines over all terms, not those of the one telling term
+    assert max(index.judge("nasty " + calm)[2]) < 0.5
+
+
+def test_cosines_over_all_terms(spark):
+    docs, labels = toxic_table(spark)
+    index = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    every = index.all
+
+    def vector(text):
+        bag = Counter(toxicity.words(text))
+        raw = {w: (1 + np.log(n)) * every.idf[every.terms.get(w, -1)] for w, n in bag.items()}
+        norm = np.sqrt(sum(x * x for x in raw.values()))
+        return {w: x / norm for w, x in raw.items()}
+
+    vectors = [vector(texts[k]) for k in index.keys]
+    for text in [*list(texts.values())[:20], "nasty unseen words w1 w2 w1"]:
+        q = vector(text)
+        want = [sum(x * v.get(w, 0.0) for w, x in q.items()) for v in vectors]
+        assert np.allclose(every.cosines(Counter(toxicity.words(text))), want, atol=1e-6)
+
+
 def test_no_examples_or_rows(spark):
     docs, labels = toxic_table(spark)
     assert {(r["score"], r["predicted"]) for r in toxicity.held_out_scores(docs, labels.limit(0)).collect()} == {(0.0, 0)}
