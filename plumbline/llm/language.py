@@ -154,18 +154,25 @@ class Parser:
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", documents: int = SAMPLE_DOCUMENTS, reference_bytes: int = REFERENCE_BYTES) -> Parser:
     """Automata of whole labelled texts: per label those of smallest hash, at most
     ``documents`` of at most ``reference_bytes`` bytes each, until ``reference_bytes`` are reached.
+    A label that has only longer texts is learned from the first ``reference_bytes`` characters of one.
 
     Rows without a label or a letter teach nothing. Equal texts count once.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
-    rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= reference_bytes))
+    rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
     keys = rows.groupBy("label", F.xxhash64("text").alias("key")).agg(F.max(F.octet_length("text")).alias("bytes"))
     keys = Written(keys, "language-keys").df
-    sizes = {r["label"]: r["n"] for r in keys.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = F.col("bytes") <= reference_bytes
+    counted = keys.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short")).collect()
+    sizes = {r["label"]: r["short"] or r["n"] for r in counted}
+    keys = keys.where(short | F.col("label").isin([r["label"] for r in counted if not r["short"]]))
     keys = smallest_draws(keys, "label", "key", documents, sizes)
     order = Window.partitionBy("label").orderBy("nth")
     keys = keys.withColumn("before", F.sum("bytes").over(order) - F.col("bytes")).where(F.col("before") < reference_bytes)
     chosen = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(keys.select("label", "key")), ["label", "key"])
+    # a longer text without what is no letter, so that its beginning has letters
+    part = F.substring(F.regexp_replace("text", r"\P{L}+", " "), 1, reference_bytes)
+    chosen = chosen.withColumn("text", F.when(F.octet_length("text") > reference_bytes, part).otherwise(F.col("text")))
     taken = chosen.groupBy("label", "key").agg(F.first("text").alias("text")).toPandas()
     references = {}
     for label, group in taken.sort_values("key").groupby("label"):

@@ -4,9 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import queries
+from plumbline.llm import language, queries
 from plumbline.llm.common import Written
 from tests.llm.rows import documents, none
 from tools.check import TABLES, rows_of
@@ -64,3 +65,14 @@ def test_stages_on_odd_and_empty_documents(spark, small):
         for name, stage in corpus_pipeline.STAGES:
             docs = Written(stage(spark, docs, small), name).df
         assert docs.count() == 0 if make is none else docs.count() > 0
+
+
+def test_language_stage_without_labels_or_with_long_ones(spark, small):
+    docs = documents(spark)
+    known = lambda df: sorted(str(r["doc_id"]) for r in corpus_pipeline.language_id(spark, df, small).collect())
+    lettered = sorted(["3", "4", "4", "5", "6", "7", "None", "None", "9", "11", "11"])
+    assert known(docs.withColumn("lang", F.lit(None).cast("string"))) == lettered
+    # every label is on a text beyond the sample's size
+    long = docs.withColumn("lang", F.when(F.octet_length("text") > 60_000, F.lit("en")))
+    assert language.fit(long).names == ["en"]
+    assert known(long) == lettered
