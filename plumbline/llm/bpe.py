@@ -40,7 +40,7 @@ class Pieces:
     def __init__(self, path: str) -> None:
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = byte_characters()
         self.clear()
@@ -120,10 +120,12 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) + np.repeat(starts - before, lengths)
 
 
-def encode(texts: pa.Array, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: pa.Array, path: str = VOCABULARY, names_as_text: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Ids (unsigned 32 bit) of all texts in a row, and the number of ids of each; a null text
-    has none."""
+    has none. The name of an added token in a text is ordinary text or, without
+    ``names_as_text``, that token's id, as by the library's defaults."""
     known = pieces_of(path)
+    known.tokenizer.encode_special_tokens = names_as_text
     kept = len(known.code)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     parts = pc.split_pattern(texts, " ")
@@ -139,6 +141,8 @@ def encode(texts: pa.Array, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndar
     odd = np.array([not p or p[0].isspace() for p in pieces], bool)
     plain = np.ones(len(texts), bool)
     plain[owner[odd[index] & ~is_first]] = False
+    for name in [] if names_as_text else known.added:  # its text is the library's, so no piece holds a name
+        plain &= ~pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
     used = np.zeros(len(pieces), bool)
     used[index[~is_first & plain[owner]]] = True
     code = np.zeros(len(pieces), np.int64)

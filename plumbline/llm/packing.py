@@ -107,7 +107,7 @@ def pieces_of(df: DataFrame, id_col: str, text_col: str, size: int, vocabulary:
         seen = np.zeros(size + 1, np.int64)
         task = TaskContext.get().partitionId()
         for batch in bpe.split_batches(batches, "text"):
-            all_ids, counts = bpe.with_end(*bpe.encode(batch.column("text"), vocabulary), end_id)
+            all_ids, counts = bpe.with_end(*bpe.encode(batch.column("text"), vocabulary, names_as_text=False), end_id)
             owner, number, start, length = cut(counts, size)
             begin = (np.cumsum(counts) - counts)[owner] + start
             raw = memoryview(all_ids.astype("<u4").tobytes())

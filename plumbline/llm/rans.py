@@ -223,7 +223,7 @@ def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bpe.split_batches(batches, "text"):
-            ids, counts = bpe.with_end(*bpe.encode(batch.column("text"), vocabulary), end_id)
+            ids, counts = bpe.with_end(*bpe.encode(batch.column("text"), vocabulary, names_as_text=False), end_id)
             data = ids.astype(kind)
             ends = np.concatenate([[0], np.cumsum(counts) * kind.itemsize]).astype(np.int64)
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(data)])

@@ -147,3 +147,17 @@ def test_packed_pieces_hold_all_ids(spark, plain):
     assert sum(fill.values()) == sum(len(ids_by_hand(plain, r["text"])) for r in df.collect())
     whole = {r["sequence_id"]: len(r["ids"]) for r in packing.sequences(packing.pack(df, ids=True)).collect()}
     assert sorted(whole.values()) == sorted(fill.values())
+
+
+def test_operators_give_the_ids_of_the_library_as_it_is(spark):
+    library = Tokenizer.from_file(bpe.VOCABULARY)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y z", "plain words here", "<|endoftext| >", ""]
+    want = {i: library.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert 50256 in want[0] and 50256 not in want[3]
+    bpe.encode(pa.array(texts))  # pieces remembered as ordinary text stay apart
+    for n in (0, 4):
+        assert bpe.encode(pa.array([texts[n]]), names_as_text=False)[0].tolist() == want[n][:-1]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    folder = work_path(spark, "ids")
+    assert {r["id"]: r["ids"] for r in rans.read_ids(rans.write_ids(df, folder), folder, ids=True).collect()} == want
+    assert {r["doc_id"]: r["ids"] for r in packing.pack(df, ids=True).collect()} == want
