@@ -23,6 +23,9 @@ MOST_ROUNDS = 60
 TOLERANCE = 1e-7
 SHARE_BINS = 20
 LENGTH_BINS = 24
+# multiples of these fill [0, 1) evenly
+GOLDEN = 0.6180339887498949
+PLASTIC = 0.7548776662466927
 
 
 def tokens(text: Column) -> Column:
@@ -95,10 +98,11 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [rows[i][n] / rows[i][i] if rows[i][i] else 0.0 for i in range(n)]
 
 
-def features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id``, ``_tokens`` and one ``_bin_<feature>`` column per feature."""
+def features(df: DataFrame, id_col: str, text_col: str, key: bool = False) -> DataFrame:
+    """``_id``, ``_tokens``, one ``_bin_<feature>`` column per feature and, if asked for, ``_key``, the
+    hash of the text."""
     text = F.col(text_col)
-    return df.select(F.col(id_col).alias("_id"), tokens(text).alias("_tokens"), *[c.alias(f"_bin_{n}") for n, (c, _) in surface(text).items()])
+    return df.select(F.col(id_col).alias("_id"), tokens(text).alias("_tokens"), *[F.xxhash64(text).alias("_key")] * key, *[c.alias(f"_bin_{n}") for n, (c, _) in surface(text).items()])
 
 
 def fit(rows: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", domain_col: str = "quality") -> Mixture:
@@ -154,31 +158,51 @@ def copies(id_col: Column, rate: Column) -> Column:
     return F.floor(rate + draw).cast("int")
 
 
-def rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "quality") -> DataFrame:
+def with_row_draw(df: DataFrame, id_col: str, key: Column, name: str) -> DataFrame:
+    """``df`` with a draw in [0, 1) per row in the column ``name``, from the id and ``key``, the hash
+    of its text. Rows equal in both get evenly spread draws by their places in the table."""
+    own, place, again = fresh(df, "_own"), fresh(df, "_place"), fresh(df, "_again")
+    rows = df.withColumn(own, F.xxhash64(F.col(id_col), key)).withColumn(place, F.monotonically_increasing_id())
+    repeated = df.select(F.xxhash64(F.col(id_col), key).alias(own)).groupBy(own).agg(F.count(F.lit(1)).alias(again)).where(F.col(again) > 1)
+    row, task = F.col(place).bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright(place, 33)
+    shift = F.when(F.col(again).isNull(), F.lit(0.0)).otherwise(row * F.lit(GOLDEN) + task * F.lit(PLASTIC))
+    rows = rows.join(repeated, own, "left")
+    spread = F.shiftrightunsigned(own, 11) / F.lit(float(1 << 53)) + shift
+    return rows.withColumn(name, spread - F.floor(spread)).drop(own, place, again)
+
+
+def rates(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "quality", by_row: bool = False) -> DataFrame:
     """``(<id>, tokens, domain, posterior, rate, copies)`` per row of ``df``: the likeliest
     domain, the posteriors in the order of the sorted targets, the rate and its rounding.
 
     Null and empty texts have no tokens and the rate of their features. Null ids are never
-    labelled. Repeated rows have equal rates. Other columns are not read; empty tables give
-    no rows.
+    labelled. Repeated rows have equal rates. Rows of one id are rounded alike or, with
+    ``by_row``, each on its own. Other columns are not read; empty tables give no rows.
     """
-    rows = Written(features(df, id_col, text_col), "features").df
+    rows = Written(features(df, id_col, text_col, by_row), "features").df
     mixture = fit(rows, labels, targets, id_col, domain_col)
     out = rows.withColumn("posterior", mixture.posterior({n: F.col(f"_bin_{n}") for n in mixture.logs}))
     best = F.element_at(F.array(*[F.lit(d) for d in mixture.domains]), F.array_position("posterior", F.array_max("posterior")).cast("int"))
     out = out.withColumn("rate", F.round(mixture.rate(F.col("posterior")), 6))
-    return out.select(F.col("_id").alias(id_col), F.col("_tokens").alias("tokens"), best.alias("domain"), "posterior", "rate", copies(F.col("_id"), F.col("rate")).alias("copies"))
+    if by_row:
+        out = with_row_draw(out, "_id", F.col("_key"), "_draw")
+    many = F.floor(F.col("rate") + F.col("_draw")).cast("int") if by_row else copies(F.col("_id"), F.col("rate"))
+    return out.select(F.col("_id").alias(id_col), F.col("_tokens").alias("tokens"), best.alias("domain"), "posterior", "rate", many.alias("copies"))
 
 
-def mix(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "quality") -> DataFrame:
-    """``df`` with every row as often as its rate says, not at all for 0 copies; all columns kept."""
+def mix(df: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "quality", by_row: bool = False) -> DataFrame:
+    """``df`` with every row as often as its rate says, not at all for 0 copies; all columns kept.
+    ``by_row`` as in ``rates``."""
     rows = Written(features(df, id_col, text_col), "features").df
     mixture = fit(rows, labels, targets, id_col, domain_col)
     held, taken = fresh(df, "_bins"), fresh(df, "_taken")
     bins = F.struct(*[c.alias(n) for n, (c, _) in surface(F.col(text_col)).items()])
     # exploding an array of one keeps the optimizer from repeating the features where they are used
-    out = df.withColumn(held, F.explode(F.array(bins)))
+    drawn = fresh(df, "_draw")
+    out = with_row_draw(df, id_col, F.xxhash64(text_col), drawn) if by_row else df
+    out = out.withColumn(held, F.explode(F.array(bins)))
     shares = mixture.posterior({n: F.col(held)[n] for n in mixture.logs})
-    many = copies(F.col(id_col), F.round(mixture.rate(shares), 6))
+    rate = F.round(mixture.rate(shares), 6)
+    many = F.floor(rate + F.col(drawn)).cast("int") if by_row else copies(F.col(id_col), rate)
     out = out.withColumn(taken, F.explode(F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>"))))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

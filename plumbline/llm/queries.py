@@ -75,7 +75,7 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     targets = {"1": 0.9, "0": 0.1}
-    return mixing.rates(table(spark, folder, "documents"), table(spark, folder, "labels"), targets)
+    return mixing.rates(table(spark, folder, "documents"), table(spark, folder, "labels"), targets, by_row=True)
 
 
 @query

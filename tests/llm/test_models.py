@@ -188,6 +188,25 @@ def test_mix_takes_rows_by_their_copies(spark):
     assert Counter(r["doc_id"] for r in out.collect()) == +want
 
 
+@pytest.mark.parametrize("held", [None, 7])
+@pytest.mark.parametrize("same_text", [False, True])
+def test_mixed_tokens_meet_the_rates_when_a_third_shares_an_id(spark, held, same_text):
+    docs, labels = mixed(spark)
+    one = docs.where("doc_id = 1").first()["text"]
+    texts = [one if same_text else f"some calm text number{n} with other words {n}" for n in range(400)]
+    docs = docs.unionByName(spark.createDataFrame([(held, t, 1, None) for t in texts], docs.schema)).repartition(3)
+    # rates below 1 for these rows, and no whole number
+    targets = {"1": 0.4, "0": 0.6}
+    rows = mixing.rates(docs, labels, targets, by_row=True).collect()
+    there = [r for r in rows if r["doc_id"] == held]
+    assert len(there) >= 400 and 0.1 < there[0]["rate"] % 1 < 0.9
+    for part in (rows, there):
+        assert sum(r["tokens"] * r["copies"] for r in part) == pytest.approx(sum(r["tokens"] * r["rate"] for r in part), rel=0.1)
+    out = mixing.mix(docs, labels, targets, by_row=True)
+    assert out.columns == docs.columns
+    assert out.count() == pytest.approx(sum(r["rate"] for r in rows), rel=0.1)
+
+
 def test_mixing_without_labels_or_rows(spark):
     docs, labels = mixed(spark)
     assert {r["rate"] for r in mixing.rates(docs, labels.limit(0), {"1": 1.0, "0": 1.0}).collect()} == {1.0}
