@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from plumbline.llm.common import remembered
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 MOST_PIECES = 400_000
@@ -105,14 +107,9 @@ class Pieces:
         return np.array(found, np.int64)
 
 
-_PIECES: dict[str, Pieces] = {}
-
-
 def pieces_of(path: str) -> Pieces:
     """One memory per Python worker and vocabulary; workers serve many tasks."""
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    return remembered(("pieces", path), lambda: Pieces(path))
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

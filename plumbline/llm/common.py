@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def remembered(key: tuple, make: Callable):
+    """``make()`` once per Python process and ``key``.
+
+    This package travels to workers by value, so its own globals are new in every task; a module of
+    the process itself outlives them.
+    """
+    held = vars(sys.modules.setdefault("_plumbline_worker", ModuleType("_plumbline_worker")))
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, mixing, packing, rans, search, sharding, simhash, toxicity, vectors, warc
+from plumbline.llm import align, language, mixing, packing, rans, search, sharding, simhash, toxicity, vectors, warc
+from plumbline.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,6 +84,13 @@ def op10_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"), threshold=0.95)
 
 
+@query
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = align.alignments(spread(table(spark, folder, "documents").select("doc_id", "text")))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return align.with_pair_counts(found.withColumn("groups_sha256", digest).drop("groups"))
+
+
 SQL["op1_jump_shards"] = """
 WITH RECURSIVE
 crc_table AS (
