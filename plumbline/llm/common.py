@@ -49,10 +49,10 @@ class Written:
     later step no longer needs them.
     """
 
-    def __init__(self, df: DataFrame, label: str, compression: str = "snappy") -> None:
+    def __init__(self, df: DataFrame, label: str, compression: str = "snappy", partition: list[str] | None = None) -> None:
         self.spark = df.sparkSession
         self.path = work_path(self.spark, label)
-        df.write.parquet(self.path, compression=compression)
+        df.write.parquet(self.path, compression=compression, partitionBy=partition)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def delete(self) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import align, language, mixing, packing, rans, search, sharding, simhash, toxicity, vectors, warc
+from plumbline.llm import align, language, mixing, packing, rans, search, sharding, simhash, toxicity, variants, vectors, warc
 from plumbline.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,11 @@ def op10_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"), threshold=0.95)
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(spread(table(spark, folder, "documents").select("doc_id", "text")), slip_every=199)
+
+
 @query
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     found = align.alignments(spread(table(spark, folder, "documents").select("doc_id", "text")))
@@ -166,3 +171,49 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM d
 """
+
+SQL["op11_spelling_variants"] = r"""
+WITH RECURSIVE
+crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
+      lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v
+    FROM range(256) r(i))),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{6,}')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS c, hex(encode(concat(id, ':', run))) AS h FROM runs GROUP BY id, run),
+hashed AS (
+  SELECT run, c, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
+      list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::UBIGINT)),
+      lambda a, b: xor(crc_table.t[(xor(a, b) & 255)::BIGINT + 1], a >> 8)))::BIGINT AS h
+  FROM counted, crc_table),
+slipped AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c
+  FROM hashed),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+holes AS (
+  SELECT word, i, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS r
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+links AS (
+  SELECT a.word AS a, b.word AS b FROM holes a JOIN holes b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION
+  SELECT h.word, w.word FROM holes h JOIN w ON w.word = h.l || h.r
+  UNION
+  SELECT w.word, h.word FROM holes h JOIN w ON w.word = h.l || h.r),
+near AS (
+  SELECT a AS word, count(*) AS n_near, max(n) AS top FROM links JOIN w ON w.word = b GROUP BY a),
+best AS (
+  SELECT near.word, n_near, top, min(b) AS form
+  FROM near JOIN links ON links.a = near.word JOIN w ON w.word = b AND w.n = top GROUP BY ALL),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN top >= 5 * w.n THEN form END AS form, CASE WHEN top >= 5 * w.n THEN top END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL
+  SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""

@@ -23,6 +23,8 @@ CONTRACT = {
     8: {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     9: {"doc_id", "rate", "copies"},
     10: {"vec_id", "n_links", "component_id", "kept"},
+    11: {"word", "form", "root", "n", "n_near", "form_n"},
+    13: {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
 }
 
 
