@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import align, language, mixing, packing, rans, search, sharding, simhash, toxicity, variants, vectors, warc
+from plumbline.llm import align, bilinear, language, mixing, packing, rans, search, sharding, simhash, toxicity, variants, vectors, warc
 from plumbline.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,12 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(spread(table(spark, folder, "documents").select("doc_id", "text")), slip_every=199)
 
 
+@query
+def op12_log_bilinear(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return bilinear.held_out_scores(docs, language.fold("doc_id", 5) == 1)
+
+
 @query
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     found = align.alignments(spread(table(spark, folder, "documents").select("doc_id", "text")))
