@@ -24,6 +24,7 @@ CONTRACT = {
     9: {"doc_id", "rate", "copies"},
     10: {"vec_id", "n_links", "component_id", "kept"},
     11: {"word", "form", "root", "n", "n_near", "form_n"},
+    12: {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     13: {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
 }
 
