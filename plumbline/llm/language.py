@@ -12,6 +12,8 @@ for every language alike.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,36 +49,36 @@ def automaton(data: bytes, symbols: np.ndarray) -> np.ndarray:
 
     ``symbols`` gives the column of each byte, 0 for bytes that occur nowhere.
     """
-    steps: list[dict[int, int]] = [{}]
-    link, longest = [-1], [0]
+    width = int(symbols.max()) + 1
+    # at most two states a byte; one flat array, as a dictionary per state takes ten times as much
+    none = array("i", [-1]) * width
+    steps = array("i", none)
+    link, longest = array("i", [-1]), array("i", [0])
     last = 0
     for symbol in symbols[np.frombuffer(data, np.uint8)].tolist():
-        current = len(steps)
-        steps.append({})
+        current = len(link)
+        steps.extend(none)
         longest.append(longest[last] + 1)
         link.append(0)
         at = last
-        while at >= 0 and symbol not in steps[at]:
-            steps[at][symbol] = current
+        while at >= 0 and steps[at * width + symbol] < 0:
+            steps[at * width + symbol] = current
             at = link[at]
         if at >= 0:
-            target = steps[at][symbol]
+            target = steps[at * width + symbol]
             if longest[target] == longest[at] + 1:
                 link[current] = target
             else:
-                copy = len(steps)
-                steps.append(dict(steps[target]))
+                copy = len(link)
+                steps.extend(steps[target * width : (target + 1) * width])
                 longest.append(longest[at] + 1)
                 link.append(link[target])
-                while at >= 0 and steps[at].get(symbol) == target:
-                    steps[at][symbol] = copy
+                while at >= 0 and steps[at * width + symbol] == target:
+                    steps[at * width + symbol] = copy
                     at = link[at]
                 link[target] = link[current] = copy
         last = current
-    out = np.full((len(steps), int(symbols.max()) + 1), -1, np.int32)
-    for state, follow in enumerate(steps):
-        out[state, list(follow)] = list(follow.values())
-    return out
+    return np.frombuffer(steps, np.int32).reshape(-1, width)
 
 
 class Parser:

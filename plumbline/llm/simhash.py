@@ -10,9 +10,6 @@ all bits, they differ in at most ``d // blocks`` bits of some block, so each blo
 code and a threshold of its own. A block's code is a Hamming code of ``2^m - 1`` bits
 (radius 1) beside all words of its other bits (radius 0); ``check_bits=0`` takes all words
 of the block, a code of radius 0.
-
-``keep_one`` compares shingle sets instead: MinHash bands say which texts meet, and the exact
-Jaccard similarity of their sets whether they link.
 """
 
 from __future__ import annotations
@@ -34,8 +31,6 @@ BITS = 64
 SEED = 42
 SHINGLES_AT_ONCE = 1 << 16
 PAIRS_AT_ONCE = 1 << 19
-HASHES_AT_ONCE = 1 << 12
-TEXTS_AT_ONCE = 64
 # Odd factors that spread one shingle hash into further independent words of a sketch.
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -244,117 +239,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("_id").alias(id_col), hex_digits(F.col("node")).alias("fingerprint"), "component_id")
 
 
-class Bands:
-    """MinHash of a set of shingle hashes: ``bands`` keys of ``rows`` minima each."""
-
-    def __init__(self, bands: int, rows: int) -> None:
-        self.bands, self.rows = bands, rows
-        # odd factors permute the hashes, each in another order
-        self.factors = np.random.default_rng(SEED).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """One key per band; sets of Jaccard J agree in a band with probability J^rows."""
-        if not len(hashes):
-            return np.zeros(0, np.int64)
-        least = np.full(len(self.factors), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(hashes), HASHES_AT_ONCE):
-            part = hashes[at : at + HASHES_AT_ONCE]
-            np.minimum(least, (part[None, :] * self.factors[:, None]).min(1), out=least)
-        key = np.arange(1, self.bands + 1, dtype=np.uint64)
-        for column in least.reshape(self.bands, self.rows).T:
-            key = (key ^ column) * np.uint64(SPREAD[0])
-            key ^= key >> np.uint64(32)
-        return key.view(np.int64)
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct shingle hashes of a whole text, sorted."""
-    found = [np.unique(h) for h in shingle_hashes(text, words)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-
-def _by_text(df: DataFrame, names: list[str], make) -> DataFrame:
-    """``df`` with its ``_text`` replaced by the columns ``make`` gives per text: longs, or
-    arrays of longs for ``_set`` and ``bands``."""
-    kinds = {n: pa.list_(pa.int64()) if n in ("_set", "bands") else pa.int64() for n in names}
-    made_schema = ", ".join(f"{n} {'array<bigint>' if pa.types.is_list(k) else 'bigint'}" for n, k in kinds.items())
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
-                made = [make(t) for t in part.column("_text").to_pylist()]
-                arrays = {n: part.column(n) for n in part.schema.names if n != "_text"}
-                yield pa.RecordBatch.from_pydict(arrays | {n: pa.array([m[n] for m in made], kind) for n, kind in kinds.items()})
-
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "_text")
-    return df.mapInArrow(each, f"{kept}, {made_schema}")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose shingle sets have this Jaccard similarity or more."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("_set").alias("_b")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("_shared"), (F.size("_a") + F.size("_b")).alias("_sum"))
-    return shared.where(F.col("_shared") / (F.col("_sum") - F.col("_shared")) >= similarity).select("a", "b")
-
-
-def jaccard_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` of verified Jaccard that join all nodes which meet in a band and are as
-    similar, directly or over others.
-
-    ``nodes(node, size, bands, _hash)`` are distinct shingle sets, ``texts(_hash, _text)`` holds
-    their texts. First every node is held against the smallest node of each of its bands, so a
-    large group of near copies becomes one class without its pairs; then all pairs of a band
-    that are not in one class yet.
-    """
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, blocks: int = 3, check_bits: int = 4) -> DataFrame:
+    """``df`` with one document of each group of ``near_duplicates``: that with the smallest id.
 
-    def alike(x, y):  # sets of other sizes can't be similar enough
-        return F.least(x, y) / F.greatest(x, y) >= similarity
-
-    cells = nodes.select("node", "size", F.explode("bands").alias("cell"))
-    pivots = cells.groupBy("cell").agg(F.min(F.struct("node", "size")).alias("_pivot"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = Written(cells.join(pivots.drop("_n"), "cell"), "met").df
-    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "_hash")
-    found = texts.join(wanted.select("_hash"), "_hash", "left_semi").groupBy("_hash").agg(F.first("_text").alias("_text"))
-    sets = _by_text(found, ["_set"], lambda t: {"_set": shingle_set(t, words).view(np.int64)})
-    sets = Written(sets.join(wanted, "_hash").select("node", "_set"), "sets").df
-    star = met.where((F.col("node") != F.col("_pivot.node")) & alike(F.col("size"), F.col("_pivot.size")))
-    star = star.select(F.col("node").alias("a"), F.col("_pivot.node").alias("b")).distinct()
-    first = Written(_verified(star, sets, similarity), "verified").df
-    roots, _ = components(first)
-    placed = met.select("cell", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # a pair of two classes has a side outside the largest class of its cell
-    per = placed.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("_n"))
-    main = per.groupBy("cell").agg(F.max_by("root", "_n").alias("main"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
-    placed = Written(placed.join(main.select("cell", "main"), "cell"), "placed").df
-    other = placed.where("root != main").select("cell", F.col("node").alias("_x"), F.col("size").alias("_xs"), F.col("root").alias("_xr"))
-    pairs = other.join(placed, "cell").where((F.col("_xr") != F.col("root")) & alike(F.col("_xs"), F.col("size")))
-    pairs = pairs.select(F.greatest("_x", "node").alias("a"), F.least("_x", "node").alias("b")).distinct()
-    return first.unionByName(Written(_verified(pairs, sets, similarity), "verified").df)
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
-    """``df`` with one document of each near-duplicate group: that with the smallest id.
-
-    Documents link if their sets of shingles have this Jaccard similarity or more, counted on
-    the whole sets. The pairs counted are those that agree in one of ``bands`` MinHash bands:
-    at a similarity of 0.8 all but 3 in 100,000, at 0.85 all but 4 in 10 million. All columns
+    Documents link as there, by ``distance`` bits of their fingerprints or fewer. All columns
     stay. Null ids lose to any id; of equal ids the text of smaller hash stays; of rows equal
     in id and text one stays. Null and empty texts form one group.
     """
-    code = Bands(bands, rows)
-
-    def prints_of(text: str | None) -> dict:
-        hashes = shingle_set(text, words)
-        node = np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)
-        return {"node": int(node), "size": len(hashes), "bands": code.keys(hashes)}
-
-    narrow = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
-    prints = Written(_by_text(narrow, ["node", "size", "bands"], prints_of), "prints").df
-    nodes = prints.groupBy("node").agg(F.min("_id").alias("_first"), F.min("_hash").alias("_hash"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = Written(nodes, "nodes").df
-    links = jaccard_links(nodes, narrow.select("_hash", "_text"), words, similarity)
-    found = named(prints.select("_id", "_hash", "node"), nodes.select("node", "_first"), links)
+    narrow = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    prints = with_sketch(narrow, "_text", words, 1, "sketch")
+    prints = Written(prints.select("_id", F.xxhash64("_text").alias("_hash"), F.col("sketch")[0].alias("node"), "sketch"), "prints").df
+    found = classes(prints, "_id", distance, blocks, check_bits)
     judged = found.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_rows"), F.first("root").alias("root"), F.first("component_id").alias("component_id"))
     judged = Written(judged, "rows").df
     smallest = judged.where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_hash").alias("_best"))

@@ -97,46 +97,32 @@ def test_near_duplicates_match_brute_force(spark):
 
 
 def test_one_of_each_group_stays(spark):
-    kept = simhash.keep_one(documents(spark))
-    assert kept.columns == documents(spark).columns
-    ids = sorted(str(r["doc_id"]) for r in kept.collect())
-    # 1, 2 and 8 have no words; 3, 4, 4 and 5 are copies, 6 and 7, and the two null ids
-    assert ids == sorted(["1", "3", "6", "None", "9", "10", "11", "11"])
+    df = documents(spark)
+    assert simhash.keep_one(df).columns == df.columns
     assert simhash.keep_one(none(spark)).count() == 0
-
-def jaccard_by_hand(x, y, words):
-    one, two = ({tuple(t.lower().split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in (x, y))
-    return len(one & two) / len(one | two)
+    rows = df.select("doc_id", "text").collect()
+    label = classes_by_hand([print_by_hand(r["text"], 4) for r in rows], 4)
+    ids = {}
+    for c, r in zip(label, rows):
+        ids.setdefault(c, []).append(r["doc_id"])
+    want = sorted(str(min((i for i in found if i is not None), default=None)) for found in ids.values())
+    assert sorted(str(r["doc_id"]) for r in simhash.keep_one(df).collect()) == want
 
 
-def test_groups_are_those_of_exact_jaccard(spark):
-    """Pairs planted at 0.70 to 0.90, among them one of texts that repeat a line and differ elsewhere."""
+def test_kept_documents_are_those_of_all_pairs_of_fingerprints(spark):
     rng = np.random.default_rng(5)
     texts = []
-    for target in np.repeat([0.70, 0.74, 0.77, 0.79, 0.80, 0.81, 0.83, 0.86, 0.90], 12):
-        parts = [f"w{n}" for n in rng.integers(0, 1 << 40, 304)]
-        other = round(300 * 2 * target / (1 + target))  # shingles that both have
-        texts += [" ".join(parts), " ".join(parts[: other + 4] + [f"v{n}" for n in rng.integers(0, 1 << 40, 300 - other)])]
-    line = "the same line again and again " * 200
-    texts += [line + " ".join(f"x{n}" for n in range(90)), line + " ".join(f"y{n}" for n in range(90))]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    want = {i for i in range(len(texts)) if i % 2 == 0 or jaccard_by_hand(texts[i - 1], texts[i], 5) < 0.8}
-    assert len(want) - len(texts) // 2 == 4 * 12 + 1  # the four shares below the threshold and the repeated line
-    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == want
-
-
-def test_a_large_group_and_its_chain_are_one(spark):
-    parts = [f"w{n}" for n in range(204)]
-    chain = [parts]
-    for step in range(1, 12):  # each text is 0.8 or more from the one before it, not from the first
-        chain.append([f"s{step}_{n}" if 18 * step <= n < 18 * step + 18 else w for n, w in enumerate(chain[-1])])
-    near = [[*parts[:200], f"a{n}", f"b{n}"] for n in range(150)]
-    texts = [" ".join(t) for t in [*chain, *near]]
-    df = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    label = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if label[i] != label[j] and jaccard_by_hand(texts[i], texts[j], 5) >= 0.8:
-                label = [label[j] if v == label[i] else v for v in label]
-    want = {1000 - max(i for i, v in enumerate(label) if v == c) for c in set(label)}
-    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == want
+    for group in range(40):  # texts that differ in none to many words, so in few or many bits
+        parts = [f"w{n}" for n in rng.integers(0, 1 << 40, 150)]
+        for changed in (0, 0, 1, 2, 4, 12, 40):
+            other = list(parts)
+            for at in rng.choice(150, changed, replace=False):
+                other[at] = f"v{rng.integers(0, 1 << 40)}"
+            texts.append(" ".join(other))
+    df = spark.createDataFrame([(5000 - i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
+    label = classes_by_hand([print_by_hand(t, 4) for t in texts], 4)
+    last = {}
+    for i, c in enumerate(label):
+        last[c] = 5000 - i
+    assert 40 < len(last) < len(texts)
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == set(last.values())
