@@ -43,8 +43,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies: that of the smallest id."""
-    return simhash.keep_one(docs, words=5, similarity=0.8)
+    """One document of each group of SimHash near copies: that of the smallest id."""
+    return simhash.keep_one(docs, words=4, distance=4)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,11 +78,10 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test_share: float = TES
 def class_places(df: DataFrame, keys: Sequence[str], label: str, seed: int = SEED) -> DataFrame:
     """Add ``_place`` (1-based order by hash) and ``_size`` of each row within its class.
 
-    Places are prefix counts over hash ranges: a class of any size is spread evenly.
+    Places are prefix counts over ranges of the hash: a class of any size is spread evenly.
     """
-    cut_points = [i * 2**32 // 64 for i in range(1, 64)]
     drawn = df.withColumn("_hash", row_hash(keys, seed)).withColumn("_one", F.lit(1))
-    placed = running_totals(drawn, ["_hash", *keys], {"_place": "_one"}, [label], splits=cut_points)
+    placed = running_totals(drawn, ["_hash", *keys], {"_place": "_one"}, [label])
     sizes = df.groupBy(label).agg(F.count("*").alias("_size"))
     return null_safe_join(placed, sizes, [label]).drop("_one", "_hash")
 

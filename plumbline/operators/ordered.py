@@ -13,12 +13,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.joins import null_safe_join
+from plumbline.session import materialize
 
 SKETCH_ACCURACY = 20_000
 CELLS = 64
+ROWS_PER_RANGE = 1_000_000
+FEWEST_PER_RANGE = 20_000
 
 
 # ---------------------------------------------------------------- exact quantiles
@@ -144,34 +146,25 @@ def exact_quantiles(
 
 # ---------------------------------------------------------------- range buckets
 
-def bucket_count(df: DataFrame) -> int:
-    """As many range buckets as shuffle partitions, within what one expression can hold."""
-    return max(2, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def range_count(rows: int, per_range: int, shuffle_partitions: int) -> int:
+    """As many ranges as the rows ask for; few rows are spread over the shuffle partitions."""
+    return max(1, -(-rows // per_range), min(shuffle_partitions, -(-rows // FEWEST_PER_RANGE)))
 
 
-def range_splits(df: DataFrame, order: str, buckets: int) -> list:
-    """At most ``buckets - 1`` cut points of about equal weight. They only balance the
-    work; results do not depend on them."""
-    dtype = df.schema[order].dataType
-    if isinstance(dtype, T.StringType):
-        sample = df.select(order).where(F.col(order).isNotNull()).distinct()
-        picked = sample.orderBy(F.xxhash64(order)).limit(buckets * 32)
-        values = sorted(r[0] for r in picked.collect())
-        return sorted({values[i * len(values) // buckets] for i in range(1, buckets)}) if values else []
-    shares = [i / buckets for i in range(1, buckets)]
-    marks = df.agg(F.percentile_approx(order, shares, max(1000, buckets * 10))).first()[0]
-    return sorted(set(marks or []))
+def in_ranges(df: DataFrame, order: Sequence[str], per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``df`` written in ranges of about ``per_range`` rows along ``order``, with the number of
+    the range in ``_bucket`` and a last tie key in ``_tie``.
 
-
-def bucket_of(column: Column, splits: Sequence) -> Column:
-    """Number of split points at or below the value, as a balanced CASE expression."""
-    def choose(first: int, last: int) -> Column:
-        if first == last:
-            return F.lit(first)
-        middle = (first + last) // 2
-        return F.when(column < F.lit(splits[middle]), choose(first, middle)).otherwise(choose(middle + 1, last))
-
-    return F.when(column.isNull(), F.lit(-1)).otherwise(choose(0, len(splits)))
+    The rows are written once with the tie key, which fixes their order, then dealt by range
+    of all order columns and the tie key: rows equal in the order columns, or with NULL there, spread
+    over as many ranges as their number asks for. What is read back is files, so a
+    lost executor cannot change where a range ends.
+    """
+    kept = materialize(df.withColumn("_tie", F.monotonically_increasing_id()), "order")
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = range_count(kept.count(), per_range, shuffle)
+    dealt = kept.repartitionByRange(parts, *[F.col(c) for c in order], F.col("_tie"))
+    return materialize(dealt.withColumn("_bucket", F.spark_partition_id()), "ranges")
 
 
 def running_totals(
@@ -179,18 +172,17 @@ def running_totals(
     order: Sequence[str],
     sums: dict[str, str],
     groups: Sequence[str] = (),
-    splits: Sequence | None = None,
+    per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add inclusive running sums ``{output: input}`` along ``order`` within ``groups``.
 
-    Rows are cut into range buckets by the first order column. Each bucket is summed
-    locally, and the bucket totals - one row per group and bucket - give the offsets,
-    so neither the whole order nor a hot group ever sits in one task.
+    A two-pass scan: each range of ``in_ranges`` is summed locally, and the range totals - one
+    row per group and range - give the offsets, so neither the whole order, nor a hot
+    group, nor a third of equal or NULL order values ever sits in one task. Rows equal in
+    ``order`` take some order among themselves.
     """
     order, groups = list(order), list(groups)
-    if splits is None:
-        splits = range_splits(df, order[0], bucket_count(df))
-    cut = df.withColumn("_bucket", bucket_of(F.col(order[0]), splits))
+    cut = in_ranges(df, order, per_range)
     totals = cut.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_sum_{o}") for o, c in sums.items()])
     before = (
         Window.partitionBy(*(groups or [F.lit(0)]))
@@ -200,12 +192,14 @@ def running_totals(
     offsets = totals.select(
         *groups,
         "_bucket",
-        *[F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums],
+        *[F.sum(f"_sum_{o}").over(before).alias(f"_off_{o}") for o in sums],
     )
-    local = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy(*groups, "_bucket").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, 0)
     summed = cut.select("*", *[F.sum(c).over(local).alias(f"_run_{o}") for o, c in sums.items()])
     joined = null_safe_join(summed, offsets, [*groups, "_bucket"])
-    return joined.select(*df.columns, *[(F.col(f"_run_{o}") + F.col(f"_off_{o}")).alias(o) for o in sums])
+    # NULL only while no value has been met, in this range or before it
+    whole = {o: F.coalesce(F.col(f"_run_{o}") + F.col(f"_off_{o}"), f"_run_{o}", f"_off_{o}") for o in sums}
+    return joined.select(*df.columns, *[c.alias(o) for o, c in whole.items()])
 
 
 def carry_forward(
@@ -214,16 +208,16 @@ def carry_forward(
     order: Sequence[str],
     groups: Sequence[str] = (),
     backward: bool = False,
+    per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Fill NULLs from the last known value along ``order`` (or the next, if backward).
 
-    ``order`` must be unique within a group. A bucket's last known value is one row, and
-    only those rows travel to later buckets.
+    ``order`` must be unique within a group. A range's last known value is one row, and
+    only those rows travel to later ranges.
     """
     order, groups = list(order), list(groups)
-    splits = range_splits(df, order[0], bucket_count(df))
-    cut = df.withColumn("_bucket", bucket_of(F.col(order[0]), splits))
-    key = F.struct(*order)
+    cut = in_ranges(df, order, per_range)
+    key = F.struct(*order, "_tie")
     pick = F.min_by if backward else F.max_by
     edges = cut.groupBy(*groups, "_bucket").agg(
         *[pick(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"_edge_{c}") for c in columns]
@@ -239,7 +233,7 @@ def carry_forward(
     )
     local = (
         Window.partitionBy(*groups, "_bucket")
-        .orderBy(*[sort(c) for c in order])
+        .orderBy(*[sort(c) for c in (*order, "_tie")])
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     known = cut.select("*", *[F.last(c, ignorenulls=True).over(local).alias(f"_known_{c}") for c in columns])

@@ -1,6 +1,8 @@
 """Every catalog query with SQL against DuckDB on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -59,3 +61,11 @@ def test_entry_point(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     df = entry.entry(spark)
     assert df.count() == 5
+
+
+def test_entry_point_without_a_library_of_one_package():
+    """A library that only some queries need does not take the others with it."""
+    block = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", block], cwd=root, capture_output=True, text=True, timeout=120, check=True)
+    assert out.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.SQL))]

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.functions.joins import lookup_join
-from plumbline.operators.ordered import bucket_of, carry_forward, dense_index, exact_quantiles, running_totals
+from plumbline.operators.ordered import carry_forward, dense_index, exact_quantiles, in_ranges, range_count, running_totals
 
 LIGHT = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -67,10 +68,63 @@ def test_dense_index_sorts_by_code_point(spark):
     assert got == {w: i for i, w in enumerate(sorted(words))}
 
 
-def test_bucket_of_counts_split_points(spark):
-    df = spark.createDataFrame([(float(i),) for i in range(10)] + [(None,)], "x double")
-    got = {r.x: r.b for r in df.withColumn("b", bucket_of(df.x, [2.0, 5.0, 5.5])).collect()}
-    assert got[None] == -1 and [got[float(i)] for i in range(10)] == [0, 0, 1, 1, 1, 2, 3, 3, 3, 3]
+def skewed_rows(kind, count=6000):
+    """A third of the order values NULL, or equal; the others and the ids all differ."""
+    rng = random.Random(7)
+    odd = {"null": None, "equal": 500.0, "even": -1.0}[kind]
+    return [(odd if i % 3 == 0 and kind != "even" else rng.uniform(0, 1000), i, "hot" if i % 5 else f"g{i % 7}", rng.choice([None, i])) for i in range(count)]
+
+
+@pytest.mark.parametrize("kind", ["null", "equal", "even"])
+def test_ranges_are_even_and_hold_every_row_once(spark, kind):
+    rows = skewed_rows(kind)
+    df = spark.createDataFrame(rows, "v double, id int, g string, x int").repartition(5)
+    cut = in_ranges(df, ["v"], per_range=300)
+    sizes = sorted(r["count"] for r in cut.groupBy("_bucket").count().collect())
+    assert len(sizes) == 20 and sum(sizes) == len(rows)
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    edges = cut.groupBy("_bucket").agg(F.min("v").alias("low"), F.max("v").alias("high")).orderBy("_bucket").collect()
+    known = [(r.low, r.high) for r in edges if r.low is not None]
+    assert all(a[1] <= b[0] for a, b in zip(known, known[1:]))
+
+
+@pytest.mark.parametrize("kind", ["null", "equal"])
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_running_totals_over_many_ranges_of_skewed_values(spark, kind, groups):
+    rows = skewed_rows(kind, 2000)
+    df = spark.createDataFrame(rows, "v double, id int, g string, x int").repartition(3)
+    out = running_totals(df.withColumn("one", F.lit(1)), ["v", "id"], {"place": "one", "total": "x"}, groups, per_range=90)
+    got = {r.id: (r.place, r.total) for r in out.collect()}
+    seen, sums, want = {}, {}, {}
+    for v, i, g, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        k = g if groups else None
+        seen[k] = seen.get(k, 0) + 1
+        sums[k] = sums.get(k, 0) + (x or 0)
+        want[i] = (seen[k], sums[k])
+    # a range without a value adds nothing, as a sum of NULLs
+    assert {i: (p, t or 0) for i, (p, t) in got.items()} == want
+
+
+@pytest.mark.parametrize("backward", [False, True])
+@pytest.mark.parametrize("kind", ["null", "equal"])
+def test_carry_forward_over_many_ranges_of_skewed_values(spark, kind, backward):
+    rows = skewed_rows(kind, 1500)
+    df = spark.createDataFrame(rows, "v double, id int, g string, x int").repartition(4)
+    got = {r.id: r.x for r in carry_forward(df, ["x"], ["v", "id"], ["g"], backward, per_range=70).collect()}
+    last, want = {}, {}
+    for v, i, g, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=backward):
+        last[g] = x if x is not None else last.get(g)
+        want[i] = last[g]
+    assert got == want
+
+
+def test_ranges_of_no_rows_and_of_equal_rows(spark):
+    empty = spark.createDataFrame([], "v double, x int")
+    assert running_totals(empty, ["v"], {"t": "x"}).count() == 0
+    same = spark.createDataFrame([(1.0, 2)] * 500, "v double, x int")
+    out = running_totals(same, ["v"], {"t": "x"}, per_range=40).collect()
+    assert sorted(r.t for r in out) == [2 * n for n in range(1, 501)]
+    assert range_count(10**12, 10**6, 200) == 10**6 and range_count(30_000, 10**6, 8) == 2 and range_count(0, 10, 8) == 1
 
 
 def test_lookup_join_beyond_the_broadcast_limit(spark):
