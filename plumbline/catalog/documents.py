@@ -153,6 +153,15 @@ def corpus_totals(spark, d):
     return corpus.corpus_totals(docs, chunks, "source")
 
 
+@query("""with c as (select source, case when length(text) > 0 then greatest(1, ceil(length(text) / 1000.0)) end::bigint as n from documents)
+select source, count(*) as documents, coalesce(sum(n), 0)::bigint as chunks, count(n) as documents_with_chunks, coalesce(sum(n), 0)::bigint as vectors, true as is_indexed from c group by 1""")
+def knowledge_base_totals(spark, d):
+    """Documents, chunks and vectors per source, documents without text included."""
+    docs = table(spark, d, "documents")
+    chunks = chunking.fixed_chunks(docs.select("doc_id", "text"), size=1000, overlap=0)
+    return corpus.corpus_totals(docs, chunks, "source", vectors=retrieval.embed_text(chunks, "chunk_text"))
+
+
 @query()
 def indexed_chunks(spark, d):
     return plan.index_documents(table(spark, d, "documents").select("doc_id", "text")).chunks

@@ -220,3 +220,50 @@ def drift_fully_outside(spark, d):
     before, after = halves(spark, d)
     after = after.withColumn("l_discount", F.col("l_discount") + 5)
     return rounded_verdicts(monitoring.drift_against_snapshot(monitoring.baseline_snapshot(before, FEATURES), after, FEATURES))
+
+
+# ---------------------------------------------------------------- baselines that merge
+
+KINDS = ["l_returnflag", "l_linestatus"]
+MIDDLE = "1996-01-01 00:00:00"
+
+
+def baseline_parts(spark, d):
+    """The baseline in two parts, as of two days, and the rows after it."""
+    before, after = halves(spark, d)
+    cut = F.lit(MIDDLE).cast("timestamp_ntz")
+    return before.where(F.col("l_shipdate") < cut), before.where(F.col("l_shipdate") >= cut), after
+
+
+@query(f"""with {SIDES} select feature, count(*) as sample_size, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as std, min(value) as low, max(value) as high
+from longs where not later group by 1""")
+def merged_baseline(spark, d):
+    one, two, _ = baseline_parts(spark, d)
+    merged = monitoring.merge_baselines(monitoring.baseline_sketch(one, FEATURES).unionByName(monitoring.baseline_sketch(two, FEATURES)))
+    std = F.sqrt(F.col("deviations") / (F.col("sample_size") - 1))
+    return merged.select("feature", "sample_size", F.round("mean", 4).alias("mean"), F.round(std, 4).alias("std"), "low", "high")
+
+
+@query()
+def drift_against_sketch(spark, d):
+    """KS against a baseline of two merged sketches; an estimate with a stated error, so
+    no SQL gives the same digits."""
+    one, two, after = baseline_parts(spark, d)
+    merged = monitoring.merge_baselines(monitoring.baseline_sketch(one, FEATURES).unionByName(monitoring.baseline_sketch(two, FEATURES)))
+    return monitoring.drift_against_sketch(merged, after, FEATURES)
+
+
+@query(f"""with {SIDES}, k as (select unnest(['l_returnflag', 'l_linestatus']) as feature, unnest([l_returnflag, l_linestatus]) as value from sides where not later)
+select feature, value, count(*) as base from k where value is not null group by 1, 2""")
+def category_snapshot(spark, d):
+    one, two, _ = baseline_parts(spark, d)
+    return monitoring.merge_category_snapshots(monitoring.category_snapshot(one, KINDS).unionByName(monitoring.category_snapshot(two, KINDS)))
+
+
+@query(f"""with {SIDES}, {chi_sql("l_returnflag", "c1")}, {chi_sql("l_linestatus", "c2")}, cs as (select feature, x, {TAIL_SQL} as p from (select * from c1 union all select * from c2))
+select feature, round(x, 6) as chi2_statistic, round(p, 6) as chi2_p_value, p < 0.05 as has_drift from cs""")
+def category_drift_against_snapshot(spark, d):
+    one, two, after = baseline_parts(spark, d)
+    stored = monitoring.merge_category_snapshots(monitoring.category_snapshot(one, KINDS).unionByName(monitoring.category_snapshot(two, KINDS)))
+    out = monitoring.category_drift_against_snapshot(stored, after, KINDS)
+    return out.withColumns({c: F.round(c, 6) for c in ("chi2_statistic", "chi2_p_value")})

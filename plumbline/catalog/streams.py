@@ -111,6 +111,22 @@ def stream_routing(spark, d):
     return spark.read.parquet(path).drop("batch")
 
 
+@query("""select event_id, event_type, case event_type when 'signup' then 'welcome' when 'purchase' then 'receipt' end as target,
+  case when event_type = 'purchase' then 'failed' else 'processed' end as status, case when event_type = 'purchase' then 'ValueError: no printer' end as error from events""")
+def stream_routing_failures(spark, d):
+    """Every event with its status: one handler writes its rows, one fails. The job is
+    started twice; the second run finds nothing new."""
+    path = work_path(spark, "handled")
+
+    def receipt(rows, number):
+        raise ValueError("no printer")
+
+    handlers = {"welcome": lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/welcome/batch={number}"), "receipt": receipt}
+    for _ in range(2):
+        jobs.routing_job(stream_of(spark, d, "events").select("event_id", "event_type"), handlers, path, {"signup": "welcome", "purchase": "receipt"})
+    return jobs.handled_events(spark, path)
+
+
 @query("select distinct user_id as project, md5(event_type) as checksum from events")
 def stream_distinct_uploads(spark, d):
     """Uploads by project and checksum, here users and event types; all within the watermark."""

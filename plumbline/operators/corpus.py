@@ -70,10 +70,18 @@ def ingest_report(documents: DataFrame) -> DataFrame:
     )
 
 
-def corpus_totals(documents: DataFrame, chunks: DataFrame, base: str, doc_id: str = "doc_id") -> DataFrame:
-    """Documents and chunks per knowledge base, recomputed from the tables."""
+def corpus_totals(
+    documents: DataFrame, chunks: DataFrame, base: str, doc_id: str = "doc_id", vectors: DataFrame | None = None, vector: str = "embedding"
+) -> DataFrame:
+    """Documents and chunks per knowledge base, recomputed from the tables; with the table of
+    embedded chunks also their number of vectors, and whether all chunks have one."""
+    def per_base(column: str) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0))
+
     counts = chunks.groupBy(doc_id).agg(F.count("*").alias("n"))
     joined = documents.select(base, doc_id).join(counts, doc_id, "left")
-    return joined.groupBy(base).agg(
-        F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.count("n").alias("documents_with_chunks")
-    )
+    totals = [F.count("*").alias("documents"), per_base("n").alias("chunks"), F.count("n").alias("documents_with_chunks")]
+    if vectors is not None:
+        joined = joined.join(vectors.groupBy(doc_id).agg(F.count(vector).alias("_vectors")), doc_id, "left")
+        totals += [per_base("_vectors").alias("vectors"), (per_base("n") == per_base("_vectors")).alias("is_indexed")]
+    return joined.groupBy(base).agg(*totals)

@@ -207,13 +207,17 @@ def chi_square_p(statistic: pd.Series, degrees: pd.Series) -> pd.Series:
 
 
 def chi_square_tests(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """Goodness of fit of the current category shares to the baseline ones.
+    return chi_square_of_counts(both_sides(baseline, current))
+
+
+def chi_square_of_counts(counts: DataFrame) -> DataFrame:
+    """Goodness of fit of the current category shares to the baseline ones, from one row
+    ``(feature, value, base, cur)`` per category.
 
     A category absent on one side has share 0.0001; shares are scaled by the number of
     current rows. ``sums_differ`` marks features whose two sides had different
     categories, for which the two scaled sums are not equal.
     """
-    counts = both_sides(baseline, current)
     totals = counts.groupBy("feature").agg(F.sum("base").alias("n"), F.sum("cur").alias("m"))
     joined = counts.join(F.broadcast(totals), "feature")
     expected = F.when(F.col("base") == 0, ABSENT_SHARE).otherwise(F.col("base") / F.col("n"))

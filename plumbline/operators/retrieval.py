@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.functions.text import file_name, strip
 
@@ -55,32 +59,44 @@ def embed_with(df: DataFrame, model: Callable[[list[str]], np.ndarray], text: st
     return df.withColumn(output, vectors(F.col(text)))
 
 
-def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
-    """Top ``k`` per query by score, then id."""
-    order = np.lexsort((ids, -scores, query))
-    query, ids, scores = query[order], ids[order], scores[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(query)) + 1] if len(query) else np.array([], dtype=int)
-    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
-    keep = place < k
-    return query[keep], ids[keep], scores[keep]
+def _best(query: np.ndarray, order: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the top ``k`` per query by score, then ``order``."""
+    sorted_ = np.lexsort((order, -scores, query))
+    of = query[sorted_]
+    starts = np.r_[0, np.flatnonzero(np.diff(of)) + 1] if len(of) else np.array([], dtype=int)
+    place = np.arange(len(of)) - np.repeat(starts, np.diff(np.r_[starts, len(of)]))
+    return sorted_[place < k]
 
 
-def _cell_top_k(side: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best ``k`` of one part of the corpus for each query of one block."""
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    lengths = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(lengths) > 1:
+        raise ValueError(f"Vectors of different lengths: {sorted(lengths)}")
+    flat = pc.list_flatten(column).to_numpy().astype(np.float64)
+    return flat.reshape(len(column), lengths[0])
+
+
+def _cell_top_k(side: pa.Table, asked: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
+    """The best ``k`` of one part of the corpus for each query of one block. Ids stay Arrow
+    values of their own type; only their places in order are numbers."""
     out = []
     if len(side) and len(asked):
-        vectors, ids = np.stack(side["vector"].to_numpy()).astype(np.float64), side["id"].to_numpy()
+        vectors = _matrix(side["vector"])
+        order = pc.rank(side["id"], sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
         for at in range(0, len(asked), QUERIES_AT_ONCE):
-            some = asked.iloc[at : at + QUERIES_AT_ONCE]
-            scores = np.round(vectors @ np.stack(some["v"].to_numpy()).T, SCORE_DIGITS)
-            if len(ids) > k:  # everything from the k-th score up, ties included
-                floor = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k]
+            some = asked.slice(at, QUERIES_AT_ONCE)
+            scores = np.round(vectors @ _matrix(some["v"]).T, SCORE_DIGITS)
+            if len(order) > k:  # everything from the k-th score up, ties included
+                floor = np.partition(scores, len(order) - k, axis=0)[len(order) - k]
                 rows, cols = np.nonzero(scores >= floor)
             else:
                 rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-            q, i, s = _best(cols, ids[rows], scores[rows, cols], k)
-            out.append(pd.DataFrame({"query_id": some["q"].to_numpy()[q], "slot": some["slot"].to_numpy()[q], "id": i, "score": s}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "slot": [], "id": [], "score": []})
+            kept = _best(cols, order[rows], scores[rows, cols], k)
+            rows, cols = rows[kept], cols[kept]
+            found = [some["q"].take(pa.array(cols)), some["slot"].take(pa.array(cols)), side["id"].take(pa.array(rows)), pa.chunked_array([scores[rows, cols]])]
+            out.append(pa.table(found, schema=schema))
+    return pa.concat_tables(out) if out else schema.empty_table()
 
 
 def exact_top_k(side: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -94,7 +110,11 @@ def exact_top_k(side: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     right = asked.withColumn("slot", F.xxhash64("q", "v"))
     right = right.withColumn("block", F.pmod(F.col("slot"), F.lit(blocks)).cast("int")).withColumn("part", every_part)
     cells = left.groupBy("part", "block").cogroup(right.groupBy("part", "block"))
-    local = cells.applyInPandas(lambda a, b: _cell_top_k(a, b, k), "query_id long, slot long, id long, score double")
+    result = T.StructType([
+        T.StructField("query_id", asked.schema["q"].dataType), T.StructField("slot", T.LongType()),
+        T.StructField("id", side.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    schema = to_arrow_schema(result)
+    local = cells.applyInArrow(lambda a, b: _cell_top_k(a, b, k, schema), result)
     place = F.row_number().over(Window.partitionBy("query_id", "slot").orderBy(F.desc("score"), "id"))
     found = local.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
     return found.select("query_id", "id", "score", "rank")
@@ -119,12 +139,14 @@ def top_k(
 ) -> DataFrame:
     """The ``k`` vectors of highest inner product per query, ties by id; equal queries are one.
 
+    Ids and query ids may be null and of any type that sorts; they come back as they are.
+
     ``strategy`` names the search: ``exact`` compares all, others can be registered.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"Unknown strategy: {strategy}")
-    side = corpus.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector")).where(F.col("vector").isNotNull())
-    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    side = corpus.select(F.col(id).alias("id"), F.col(vector).alias("vector")).where(F.col("vector").isNotNull())
+    asked = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"))
     return STRATEGIES[strategy](side, asked.where(F.col("v").isNotNull()).distinct(), k)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators import drift
+from plumbline.operators.tables import route_events
 from plumbline.plans.monitoring import bin_verdicts
 from plumbline.session import work_path
 from plumbline.streaming.metrics import event_time
@@ -59,6 +60,44 @@ def run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame,
     query.awaitTermination()
 
 
+def handle_events(batch: DataFrame, number: int, handlers: dict[str, Callable[[DataFrame, int], None]], path: str, routes: dict[str, str] | None = None) -> None:
+    """Route the events of one micro-batch, hand them to the handlers of their targets, and
+    write them with ``status`` and ``error`` below ``path``.
+
+    A handler gets its rows and the number of the batch. If it raises, its rows are
+    ``failed`` with the message; those of other targets, of targets without a handler and of
+    no target are ``processed``. The routed rows are written before any handler sees them,
+    and results under the batch's number: a batch that comes again replaces itself, and a
+    handler that writes under the number does too.
+    """
+    spark = batch.sparkSession
+    routed = route_events(batch, routes).drop("status")
+    routed.write.mode("overwrite").parquet(f"{path}/routed/batch={number}")
+    rows = spark.read.schema(routed.schema).parquet(f"{path}/routed/batch={number}")
+    failures = {}
+    for target, handler in handlers.items():
+        try:
+            handler(rows.where(F.col("target") == target), number)
+        except Exception as error:  # whatever a handler raises belongs to its events
+            failures[target] = f"{type(error).__name__}: {error}"
+    known = spark.createDataFrame(list(failures.items()), "target string, error string")
+    marked = rows.join(F.broadcast(known), "target", "left")
+    status = F.when(F.col("error").isNull(), "processed").otherwise("failed")
+    marked.withColumn("status", status).write.mode("overwrite").partitionBy("status").parquet(f"{path}/events/batch={number}")
+
+
+def routing_job(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], path: str, routes: dict[str, str] | None = None) -> None:
+    """Handle all available events of a stream; a job started again with the same ``path``
+    goes on where the last one ended."""
+    run_batches(stream, f"{path}/checkpoint", lambda batch, number: handle_events(batch, number, handlers, path, routes))
+
+
+def handled_events(spark: SparkSession, path: str, status: str | None = None) -> DataFrame:
+    """Events written by ``routing_job``; ``failed`` are the dead letters, read alone."""
+    events = spark.read.option("basePath", f"{path}/events").parquet(f"{path}/events").drop("batch")
+    return events.where(F.col("status") == status) if status else events
+
+
 def distinct_uploads(stream: DataFrame, time: str, keys: Sequence[str], late: str = "1 hour", salts: int = 16) -> DataFrame:
     """First upload of each key; repeats within the watermark are dropped, and so is the
     state of keys that have fallen behind it.

@@ -1,7 +1,9 @@
 import math
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 
 from plumbline.operators import drift
 from plumbline.plans import monitoring
@@ -98,3 +100,39 @@ def test_snapshot_gives_the_same_scores(spark, normal):
     assert stored.first().sample_size == 1000
     direct = drift.psi_scores(drift.histograms(frame(spark, base), frame(spark, cur))).first().psi
     assert monitoring.drift_against_snapshot(stored, now, ["x"]).first().psi == pytest.approx(direct)
+
+
+def test_merged_baselines_equal_one_over_all_rows(spark, normal):
+    rng = np.random.default_rng(3)
+    days = [rng.normal(50, 10, 4000), rng.normal(70, 5, 9000), np.array([]), rng.integers(0, 5, 3000).astype(float)]
+    frames = [spark.createDataFrame([(float(x), None) for x in day], "x double, y double") for day in days]
+    parts = reduce(DataFrame.unionByName, [monitoring.baseline_sketch(f, ["x", "y"]) for f in frames])
+    merged, whole = monitoring.merge_baselines(parts), np.concatenate(days)
+    [got] = merged.collect()
+    assert (got.sample_size, got.low, got.high) == (len(whole), whole.min(), whole.max())
+    assert got.mean == pytest.approx(whole.mean()) and got.deviations == pytest.approx(whole.var() * len(whole))
+
+    for shift in (0.0, 3.0):
+        now = np.concatenate([rng.choice(whole, 6000) + shift, np.full(3000, 60.0) if shift else []])
+        frame = spark.createDataFrame([(float(x),) for x in now], "x double")
+        [test] = monitoring.drift_against_sketch(merged, frame, ["x"]).collect()
+        points = np.unique(np.r_[whole, now])
+        exact = np.abs(np.searchsorted(np.sort(whole), points, "right") / len(whole) - np.searchsorted(np.sort(now), points, "right") / len(now)).max()
+        assert abs(test.ks_statistic - exact) <= test.ks_error == pytest.approx(monitoring.sketch_error())
+        assert test.has_drift == (shift > 0)
+
+
+def test_category_snapshots_merge_and_test_like_the_rows(spark):
+    one = spark.createDataFrame([("a", "u")] * 300 + [("b", None)] * 200 + [(None, "v")], "k string, g string")
+    two = spark.createDataFrame([("a", "v")] * 200 + [("c", "u")] * 300, "k string, g string")
+    now = spark.createDataFrame([("a", "u")] * 800 + [("d", "v")] * 200, "k string, g string")
+    parts = [monitoring.category_snapshot(f, ["k", "g"]) for f in (one, two)]
+    merged = monitoring.merge_category_snapshots(parts[0].unionByName(parts[1]))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, monitoring.category_snapshot(one.unionByName(two), ["k", "g"]).collect()))
+    got = {r.feature: r for r in monitoring.category_drift_against_snapshot(merged, now, ["k", "g"]).collect()}
+    direct = drift.category_verdicts(drift.category_rows(one.unionByName(two), ["k", "g"]), drift.category_rows(now, ["k", "g"]))
+    for want in direct.collect():
+        assert got[want.feature].chi2_statistic == pytest.approx(want.chi2_statistic) and got[want.feature].has_drift == want.has_drift
+    assert set(got) == {"k", "g"}
+    assert [r.feature for r in monitoring.category_drift_against_snapshot(merged, now, ["g"]).collect()] == ["g"]
+    assert monitoring.category_drift_against_snapshot(merged.limit(0), now.limit(0), ["k"]).count() == 0

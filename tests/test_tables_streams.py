@@ -193,3 +193,41 @@ def test_stream_drift_matches_the_batch(spark, parts, tmp_path):
         now = tables.in_window(events, "ts", r.window_start, r.window_end)
         direct = monitoring.drift_against_snapshot(snapshot, now, ["value"]).first()
         assert r.psi == pytest.approx(direct.psi) and r.js_distance == pytest.approx(direct.js_distance)
+
+
+def test_failed_events_keep_their_reason_and_replays_change_nothing(spark, parts, tmp_path):
+    folder, events = parts
+    path, seen = str(tmp_path / "handled"), []
+
+    def welcome(rows, number):
+        seen.append(number)
+        rows.write.mode("overwrite").parquet(f"{path}/welcome/batch={number}")
+
+    def receipt(rows, number):
+        rows.select(F.raise_error(F.concat(F.lit("no printer for "), "event_type"))).collect()
+
+    handlers, routes = {"welcome": welcome, "receipt": receipt}, {"signup": "welcome", "purchase": "receipt", "error": "nobody"}
+    columns = ["event_id", "event_type"]
+    one = tmp_path / "in"
+    events.where("event_id % 2 = 0").select(columns).write.parquet(str(one / "a"))
+    schema = events.select(columns).schema
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(one))
+        jobs.routing_job(stream, handlers, path, routes)
+
+    def state():
+        return sorted(((r.event_id, r.event_type, r.target, r.status, "no printer for purchase" in (r.error or "")) for r in jobs.handled_events(spark, path).collect()))
+
+    def wanted(rows):
+        return sorted((r.event_id, r.event_type, routes.get(r.event_type), "failed" if r.event_type == "purchase" else "processed", r.event_type == "purchase") for r in rows.collect())
+
+    run()
+    assert state() == wanted(events.where("event_id % 2 = 0")) and seen == [0]
+    events.where("event_id % 2 = 1").select(columns).write.parquet(str(one / "b"))
+    run()
+    assert state() == wanted(events) and seen == [0, 1]
+    jobs.handle_events(events.where("event_id % 2 = 1").select(columns), 1, handlers, path, routes)  # the batch comes again
+    assert state() == wanted(events)
+    assert jobs.handled_events(spark, path, "failed").count() == events.where("event_type = 'purchase'").count()
+    assert spark.read.parquet(f"{path}/welcome").count() == events.where("event_type = 'signup'").count()

@@ -284,3 +284,25 @@ def test_loops(spark):
     df = spark.createDataFrame(rows, "run int, step int, tool string, args string")
     got = {r.run: r.looping for r in safety.detect_loops(df, "run", ["step"], "tool", "args").collect()}
     assert got == {1: True, 2: False, 3: False}
+
+
+def test_top_k_keeps_ids_of_any_type(spark):
+    big = 1 << 60
+    rows = spark.createDataFrame([(big + i, [float(i), 1.0]) for i in range(8)] + [(None, [7.5, 1.0])], "id long, vector array<float>")
+    asked = spark.createDataFrame([(big + 1, [1.0, 0.0]), (None, [0.0, 1.0])], "query_id long, vector array<double>")
+    got = {(r.query_id, r.rank): r.id for r in retrieval.top_k(rows, asked, 3).collect()}
+    assert got == {(big + 1, 1): None, (big + 1, 2): big + 7, (big + 1, 3): big + 6, (None, 1): None, (None, 2): big, (None, 3): big + 1}
+    named = rows.where("id is not null").withColumn("id", F.concat(F.lit("chunk-"), F.col("id") - big))
+    texts = retrieval.top_k(named, asked.withColumn("query_id", F.lit("q")), 2)
+    assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in texts.where("score > 1").collect()) == [("q", "chunk-6", 6.0, 2), ("q", "chunk-7", 7.0, 1)]
+    with pytest.raises(Exception, match="different lengths"):
+        retrieval.top_k(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "id int, vector array<float>"), asked, 2).collect()
+
+
+def test_totals_count_vectors(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "doc_id int, kb string")
+    chunks = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z")], "doc_id int, text string")
+    vectors = spark.createDataFrame([(1, [1.0]), (1, None), (3, [1.0])], "doc_id int, embedding array<double>")
+    got = {r.kb: tuple(r)[1:] for r in corpus.corpus_totals(docs, chunks, "kb", vectors=vectors).collect()}
+    assert got == {"a": (2, 2, 1, 1, False), "b": (1, 1, 1, 1, True), None: (1, 0, 0, 0, True)}
+    assert "vectors" not in corpus.corpus_totals(docs, chunks, "kb").columns
