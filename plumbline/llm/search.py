@@ -77,10 +77,10 @@ def scores(rows: np.ndarray, query: np.ndarray) -> list[int]:
     return [min(max(sum(int(x) * y for x, y in zip(row, whole)), LONG[0]), LONG[1]) for row in rows]
 
 
-def branch_and_bound(tree: BallTree, rows: np.ndarray, ids: list, bounds: np.ndarray, query: np.ndarray, own, k: int, floor: int | None) -> list[tuple]:
+def branch_and_bound(tree: BallTree, rows: np.ndarray, ids: list, bounds: np.ndarray, query: np.ndarray, own, k: int, floor: int) -> list[tuple]:
     """The k best ``(score, id)`` by score, then smaller id (null ids last), none below ``floor``."""
     best: list[tuple] = []
-    kth = -np.inf if floor is None else floor
+    kth = floor
     todo = [(-bounds[0], 0)]
     while todo and -todo[0][0] >= kth:
         _, node = heapq.heappop(todo)
@@ -124,21 +124,23 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_co
     def dealt(seed: int, n: int):
         return F.pmod(F.xxhash64("id", "vector", F.lit(seed)), F.lit(n)).cast("int")
 
-    base = rows.select("id", "vector", dealt(0, shards).alias("shard"))
-    queries = rows.where("asks").select(F.col("id").alias("own"), F.col("vector").alias("asked"), dealt(0, shards).alias("home"), dealt(1, groups).alias("group"), F.lit(None).cast("bigint").alias("floor"))
+    # pandas holds a long column with nulls as doubles, so no column sent to it has nulls
+    some_id = F.coalesce("id", F.lit(0).cast(id_type))
+    base = rows.select(some_id.alias("id"), F.col("id").isNull().alias("nameless"), "vector", dealt(0, shards).alias("shard"))
+    queries = rows.where("asks").select(F.col("id").alias("own"), F.col("vector").alias("asked"), dealt(0, shards).alias("home"), dealt(1, groups).alias("group"), F.lit(LONG[0]).alias("floor"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
             table = scaled(left["vector"], size, scale)
-            ids = [None if pd.isna(x) else x for x in left["id"]]
+            ids = [None if nameless else x for x, nameless in zip(left["id"].tolist(), left["nameless"])]
             tree = BallTree(table)
             wanted = scaled(right["asked"], size, scale)
             bounds = tree.bounds(wanted)
             for n, (own, vector, floor) in enumerate(zip(right["own"], right["asked"], right["floor"])):
-                for score, _, _, i in branch_and_bound(tree, table, ids, bounds[n], wanted[n], own, k, None if pd.isna(floor) else int(floor)):
+                for score, _, _, i in branch_and_bound(tree, table, ids, bounds[n], wanted[n], own, k, int(floor)):
                     found.append((vector, own, ids[i], -score))
-        out = pd.DataFrame(found, columns=["query", "query_id", "id", "score"])
+        out = pd.DataFrame(found, columns=["query", "query_id", "id", "score"], dtype=object)
         return out.astype({"query_id": "Int64", "id": "Int64"}) if id_type in ("bigint", "int") else out
 
     def against(asking: DataFrame, spread: DataFrame) -> DataFrame:
@@ -152,6 +154,6 @@ def top_k(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_co
     known = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
     known = known.select(F.col("query_id").alias("_id"), F.col("query").alias("_query"), F.col("score").alias("_kth"))
     others = queries.join(known, F.expr("own = _id and asked = _query"), "left")
-    others = others.select("own", "asked", "home", "group", F.col("_kth").alias("floor")).withColumn("shard", every_shard).where("shard <> home")
+    others = others.select("own", "asked", "home", "group", F.coalesce("_kth", "floor").alias("floor")).withColumn("shard", every_shard).where("shard <> home")
     merged = first.unionByName(against(others, spread)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
