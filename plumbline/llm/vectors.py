@@ -32,6 +32,8 @@ BASES_PER_GROUP = 4096
 SLACK = 1e-9
 PAIRS_AT_ONCE = 1 << 22
 PROBES_AT_ONCE = 256
+BUDGET_STEPS = 1 << 16
+BUDGET_ROWS = 64
 
 
 def finite(vector: Column) -> Column:
@@ -145,26 +147,31 @@ def budget_for(grid: Grid, sample: np.ndarray, threshold: float, target_recall:
     Of a step of squared length ``d`` in a random direction of ``n`` dimensions, the part along
     two directions, as the two bounds take, has a known distribution (beta, with parameters 1
     and ``n / 2 - 1``); ``d`` is taken for the least similar pair that links. The links within the
-    sample, each vector's with equal weight, can only raise the budget.
+    sample, each vector's with equal weight, can only raise the budget. They are counted by the
+    step of the budget they need, a few rows at a time, however many they are.
     """
     exact = 2 - 2 * threshold + SLACK
     if target_recall >= 1 or sample.shape[1] <= 2:
         return exact
     share = 1 - (1 - target_recall) ** (2 / (sample.shape[1] - 2))
-    needed, weight = [], []
     homes = grid.home(sample)
-    for at in range(0, len(sample), 512):
-        near = sample[at : at + 512] @ sample.T >= threshold
+    cells = np.stack([homes // len(grid.books[1]), homes % len(grid.books[1])])
+    first, second = grid.bounds(sample)
+    weights = np.zeros(BUDGET_STEPS)
+    for at in range(0, len(sample), BUDGET_ROWS):
+        near = sample[at : at + BUDGET_ROWS] @ sample.T >= threshold
         near[np.arange(len(near)), at + np.arange(len(near))] = False
         a, b = np.nonzero(near)
-        needed.append(np.minimum(grid.bound_to(sample[a + at], homes[b]), grid.bound_to(sample[b], homes[a + at])))
-        weight.append(1 / near.sum(1)[a])
-    bounds, weights = np.concatenate(needed), np.concatenate(weight)
-    order = np.argsort(bounds)
+        weight = 1 / near.sum(1)[a]
+        a += at
+        there = first[a, cells[0][b]] + second[a, cells[1][b]]
+        back = first[b, cells[0][a]] + second[b, cells[1][a]]
+        step = np.minimum(np.minimum(there, back) * (BUDGET_STEPS / exact), BUDGET_STEPS - 1).astype(np.int64)
+        weights += np.bincount(step, weight, BUDGET_STEPS)
     seen = 0.0
-    if len(order):
-        passed = np.cumsum(weights[order]) / weights.sum()
-        seen = float(bounds[order][min(int(np.searchsorted(passed, target_recall)), len(order) - 1)])
+    if weights.any():
+        passed = np.cumsum(weights) / weights.sum()
+        seen = (min(int(np.searchsorted(passed, target_recall)), BUDGET_STEPS - 1) + 1) * exact / BUDGET_STEPS
     return min(exact, max(exact * share, seen + SLACK))
 
 

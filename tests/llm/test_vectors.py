@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -108,3 +109,44 @@ def test_few_rows_and_none(spark):
     assert search.top_k(table(spark, [(0, [1.0])]), F.col("vec_id") % 50 == 0).count() == 0
     got = search.top_k(table(spark, [(0, [1.0]), (1, [1.0]), (2, [])]), F.col("vec_id") % 50 == 0).collect()
     assert sorted(tuple(r) for r in got) == [(0, 1, 1, 65536), (0, 2, 2, 0)]
+
+
+def test_ids_beyond_doubles_beside_a_null_id(spark):
+    big = 1 << 60
+    rows = [(big + i, [float(i), 1.0]) for i in range(9)] + [(None, [7.5, 1.0])]
+    got = search.top_k(table(spark, rows), F.col("vec_id") == big + 8, k=4).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, None), (2, big + 7), (3, big + 6), (4, big + 5)]
+    assert {r["query_id"] for r in got} == {big + 8}
+    named = table(spark, rows).withColumn("vec_id", F.concat(F.lit("v"), F.col("vec_id") - big))
+    texts = search.top_k(named, F.col("vec_id") == "v8", k=2).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in texts) == [(1, None), (2, "v7")]
+
+
+def budget_by_hand(grid, sample, threshold, recall):
+    """The same rule with every near pair at hand."""
+    near = sample @ sample.T >= threshold
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(near)
+    homes = grid.home(sample)
+    needed = np.minimum(grid.bound_to(sample[a], homes[b]), grid.bound_to(sample[b], homes[a]))
+    weights = 1 / near.sum(1)[a]
+    order = np.argsort(needed)
+    passed = np.cumsum(weights[order]) / weights.sum()
+    return needed[order][np.searchsorted(passed, recall)]
+
+
+def test_budget_of_many_near_pairs_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    mixed = vectors.unit(np.repeat(rng.normal(size=(40, 16)), 12, axis=0) + rng.normal(scale=0.08, size=(480, 16)))
+    grid = vectors.Grid(mixed, 12)
+    exact = 2 - 2 * 0.95
+    want = min(exact, max(exact * (1 - 0.1 ** (2 / 14)), budget_by_hand(grid, mixed, 0.95, 0.9)))
+    assert want <= vectors.budget_for(grid, mixed, 0.95, 0.9) <= want + 2 * exact / vectors.BUDGET_STEPS
+
+    copies = vectors.unit(np.ones(32) + rng.normal(scale=1e-3, size=(8192, 32)))  # 67 million near pairs
+    grid = vectors.Grid(copies, 8)
+    tracemalloc.start()
+    budget = vectors.budget_for(grid, copies, 0.95, 0.99)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert 0 < budget <= exact + vectors.SLACK
