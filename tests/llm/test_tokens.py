@@ -161,3 +161,11 @@ def test_operators_give_the_ids_of_the_library_as_it_is(spark):
     folder = work_path(spark, "ids")
     assert {r["id"]: r["ids"] for r in rans.read_ids(rans.write_ids(df, folder), folder, ids=True).collect()} == want
     assert {r["doc_id"]: r["ids"] for r in packing.pack(df, ids=True).collect()} == want
+
+
+def test_tiny_texts_share_sequences_and_every_capacity_binds(spark):
+    df = spark.createDataFrame([(i, "") for i in range(4096)], "doc_id bigint, text string")
+    by_tokens = packing.pack(df, most_pieces=packing.SIZE).select("sequence_id").distinct().count()
+    by_pieces = packing.pack(df, most_pieces=1000).select("sequence_id").distinct().count()
+    by_cost = packing.pack(df, most_pieces=packing.SIZE, most_cost=512.0).select("sequence_id").distinct().count()
+    assert (by_tokens, by_pieces, by_cost) == (2, 5, 8)
