@@ -5,9 +5,11 @@ A text is parsed against it from left to right into longest matches: a phrase en
 automaton has no further step, and the next phrase starts there. The fewer phrases a text
 needs, times the bits that point into the reference text, the more likely the language.
 
-The automata are built from a bounded sample per language. Texts are parsed whole, many
-segments of ``SEGMENT`` bytes side by side as one vector; a segment's end also ends a phrase,
-for every language alike.
+The automata are built from a bounded sample per language. Texts are parsed whole. For speed
+the segments of a text are parsed side by side as if a phrase began with each; then every
+segment is parsed again from the state its predecessor ends in, up to the first phrase that
+begins where one did before, as all that follows is the same. So phrases run across segments,
+and the count is that of a parse from the first byte to the last.
 """
 
 from __future__ import annotations
@@ -105,52 +107,114 @@ class Parser:
         number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = (np.cumsum(lengths) - lengths)[owner] + number * SEGMENT
         size = np.minimum(SEGMENT, lengths[owner] - number * SEGMENT)
-        total = np.zeros((len(texts), len(self.names)), np.int64)
-        order = np.argsort(-size, kind="stable")
+        count = np.zeros((len(owner), len(self.names)), np.int64)
+        state = np.zeros(count.shape, np.int64)
+        # where phrases begin is kept for segments that have a predecessor only
+        place = np.cumsum(number > 0) - 1
+        marks = np.zeros((SEGMENT, int((number > 0).sum()), len(self.names)), bool)
+        order = np.lexsort((number == 0, -size))
         for at in range(0, len(order), SEGMENTS_AT_ONCE):
             rows = order[at : at + SEGMENTS_AT_ONCE]
-            np.add.at(total, owner[rows], self._parse(data, begin[rows], size[rows]))
+            count[rows], state[rows] = self._parse(data, begin[rows], size[rows], number[rows] > 0, place[rows], marks)
+        if marks.size:
+            self._join(data, begin, size, number, place, marks, count, state)
+        total = np.zeros((len(texts), len(self.names)), np.int64)
+        np.add.at(total, owner, count)
         return total
 
-    def _parse(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Phrases of segments sorted by falling size."""
+    def _parse(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, later: np.ndarray, place: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in segments sorted by falling size, each parsed from its first
+        byte, and the last states."""
         flat, width = self.steps.ravel(), self.steps.shape[1]
         roots = np.repeat(self.roots[None, :], len(begin), 0)
         state = roots.copy()
         count = np.zeros(state.shape, np.int64)
-        live = len(begin)
-        falling = -size
+        falling, kept = -size, np.flatnonzero(later)
+        where = place[kept]
         for t in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(falling, -t, "left"))  # segments longer than t
             symbol = data[begin[:live] + t].astype(np.int64)[:, None]
             after = flat[state[:live] * width + symbol].astype(np.int64)
-            ended = after < 0
-            if ended.any():
-                fresh = flat[roots[:live] * width + symbol]
+            begins = (after < 0) | (state[:live] == roots[:live])
+            if begins.any():
+                again = flat[roots[:live] * width + symbol]
                 # a byte the reference does not have is a phrase of its own
-                lost = ended & (fresh < 0)
-                count[:live] += (ended & (state[:live] != roots[:live])).astype(np.int64) + lost
-                after = np.where(ended, np.where(lost, roots[:live], fresh), after)
+                after = np.where(after < 0, np.where(again < 0, roots[:live], again), after)
+                count[:live] += begins
+                some = int(np.searchsorted(kept, live))
+                marks[t, where[:some]] = begins[kept[:some]]
             state[:live] = after
-        return count + (state != roots)
+        return count, state
 
-    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text. The score compares the two shortest parses: the
-        share of the second in their sum, 0.5 for a draw; 1 if one language is known."""
+    def _join(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.ndarray, place: np.ndarray, marks: np.ndarray, count: np.ndarray, state: np.ndarray) -> None:
+        """Correct ``count`` and ``state`` in place for phrases that reach into a segment.
+
+        A segment whose last state changes sends its successor through once more; after
+        round n the first n segments of every text are right.
+        """
+        flat, width = self.steps.ravel(), self.steps.shape[1]
+        alone, ends = count.copy(), state.copy()
+        row, side = (x.ravel() for x in np.indices(count.shape))
+        todo = number[row] > 0
+        row, side = row[todo], side[todo]
+        while len(row):
+            now, root = state[row - 1, side], self.roots[side]
+            more, fewer = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+            last = np.full(len(row), -1, np.int64)  # -1: met the parse of the segment alone
+            active = np.flatnonzero(now != root)
+            t = 0
+            while len(active):
+                r, s = row[active], side[active]
+                symbol = data[begin[r] + t].astype(np.int64)
+                after = flat[now[active] * width + symbol].astype(np.int64)
+                begins = (after < 0) | (now[active] == root[active])
+                before = marks[t, place[r], s]
+                apart = ~(begins & before)
+                active, after, symbol = active[apart], after[apart], symbol[apart]
+                more[active] += begins[apart]
+                fewer[active] += before[apart]
+                again = flat[root[active] * width + symbol]
+                now[active] = np.where(after < 0, np.where(again < 0, root[active], again), after)
+                t += 1
+                done = size[row[active]] == t
+                last[active[done]] = now[active[done]]
+                active = active[~done]
+            count[row, side] = alone[row, side] + more - fewer
+            last = np.where(last < 0, ends[row, side], last)
+            changed = last != state[row, side]
+            state[row, side] = last
+            row, side = row[changed] + 1, side[changed]
+            inside = row < len(number)
+            row, side = row[inside], side[inside]
+            inside = number[row] > 0
+            row, side = row[inside], side[inside]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and spare bits of each text.
+
+        The score compares the two shortest parses: the share of the second in their sum, 0.5
+        for a draw (the language first by name is taken); 1 if one language is known. The spare
+        bits are those by which the shortest parse, its last phrase not counted, falls short of
+        bytes drawn alike from the alphabet: negative for a text the language does not help to
+        tell. They are 0 where nothing is parsed.
+        """
         plain = [normalised(t or "") for t in texts]
         known = np.flatnonzero([len(p) > 0 for p in plain])
-        names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        names, score, spare = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not len(known) or not self.names:
-            return names, score
-        cost = (self.phrases([plain[i] for i in known]) + 0.5) * self.bits
+            return names, score, spare
+        found = self.phrases([plain[i] for i in known])
+        cost = (found + 0.5) * self.bits
         order = np.argsort(cost, axis=1, kind="stable")
         at = np.arange(len(known))
         best = cost[at, order[:, 0]]
         second = cost[at, order[:, 1]] if len(self.names) > 1 else np.full(len(known), np.inf)
         score[known] = np.where(np.isinf(second), 1.0, second / (best + np.where(np.isinf(second), 0, second)))
+        alike = np.log2(self.symbols.max() + 1.0) * np.array([len(plain[i]) for i in known])
+        spare[known] = alike - ((found - 1) * self.bits)[at, order[:, 0]]
         for i, n in zip(known.tolist(), order[:, 0].tolist()):
             names[i] = self.names[n]
-        return names, score
+        return names, score, spare
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", documents: int = SAMPLE_DOCUMENTS, reference_bytes: int = REFERENCE_BYTES) -> Parser:
@@ -182,28 +246,31 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", do
     return Parser(references)
 
 
-def predict(df: DataFrame, parser: Parser, text_col: str = "text", name: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``df`` with the predicted label and a score of 0 to 1. ``und`` with score 0 where the
+def predict(df: DataFrame, parser: Parser, text_col: str = "text", name: str = "lang_pred", score: str = "score", spare: str | None = None) -> DataFrame:
+    """``df`` with the predicted label, a score of 0 to 1 and, if named, the spare bits. ``und`` with score 0 where the
     text is null or has no letter; every other text, however short or long, is parsed whole.
     Columns of these names are replaced, all others and all rows kept."""
     model = df.sparkSession.sparkContext.broadcast(parser)
 
-    @F.pandas_udf("name string, score double")
+    @F.pandas_udf("name string, score double, spare double")
     def judged(texts: pd.Series) -> pd.DataFrame:
-        names, scores = [], []
-        size, held = 0, []
+        parts, size, held = [], 0, []
         for text in [*texts, None]:
             held.append(text)
             size += len(text or "")
             if size > 1 << 20:
-                n, s = model.value.judge(held)
-                names, scores, size, held = names + n, scores + s.tolist(), 0, []
-        n, s = model.value.judge(held)
-        return pd.DataFrame({"name": (names + n)[: len(texts)], "score": (scores + s.tolist())[: len(texts)]})
+                parts.append(model.value.judge(held))
+                size, held = 0, []
+        parts.append(model.value.judge(held))
+        columns = [np.concatenate([np.asarray(p[n], object if n == 0 else float) for p in parts]) for n in range(3)]
+        return pd.DataFrame(dict(zip(("name", "score", "spare"), columns))).iloc[: len(texts)]
 
     held = fresh(df, "_judged")
-    marked = df.withColumn(held, judged(F.col(text_col)))
-    return marked.withColumn(name, F.col(held)["name"]).withColumn(score, F.col(held)["score"]).drop(held)
+    out = df.withColumn(held, judged(F.col(text_col)))
+    for column, part in ((name, "name"), (score, "score"), (spare, "spare")):
+        if column:
+            out = out.withColumn(column, F.col(held)[part])
+    return out.drop(held)
 
 
 def fold(id_col: str | Column, folds: int) -> Column:

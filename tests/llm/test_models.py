@@ -12,31 +12,46 @@ DE = "das haus und der fluss mit jedem baum den sie dort vorher gesehen haben "
 
 
 def longest_match_phrases(text: bytes, reference: bytes) -> int:
-    """Cross parse by plain substring search, segment by segment."""
-    count = 0
-    for low in range(0, len(text), language.SEGMENT):
-        part, at = text[low : low + language.SEGMENT], 0
-        while at < len(part):
-            n = 1
-            while at + n < len(part) and part[at : at + n + 1] in reference:
-                n += 1
-            count += 1
-            at += n
+    """Cross parse by plain substring search, from the first byte to the last."""
+    count = at = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in reference:
+            n += 1
+        count += 1
+        at += n
     return count
 
 
-def test_phrases_match_substring_search():
+@pytest.mark.parametrize("segment", [40, 512])
+def test_phrases_match_substring_search(monkeypatch, segment):
+    monkeypatch.setattr(language, "SEGMENT", segment)
+    monkeypatch.setattr(language, "SEGMENTS_AT_ONCE", 100)
     rng = np.random.default_rng(0)
-    refs = {"a": EN.encode() * 2, "b": DE.encode() + bytes(rng.integers(97, 105, 300).astype(np.uint8))}
+    noise = bytes(rng.integers(97, 105, 3000).astype(np.uint8))
+    refs = {"a": EN.encode() * 2, "b": DE.encode() + noise}
     parser = language.Parser(refs)
     texts = [bytes(rng.integers(97, 107, rng.integers(1, 1500)).astype(np.uint8)) for _ in range(40)]
-    texts += [EN.encode(), b"zzzz", b"t", DE[:13].encode()]
+    texts += [EN.encode(), b"zzzz", b"t", DE[:13].encode(), b"z" * 1100, EN.encode() * 40]
+    # phrases of several segments: copies of the reference, from its start and from within
+    texts += [noise, noise[100:2900] + b"~" + noise[5:1500], noise[:600] + b"z" * 600 + noise[600:]]
     got = parser.phrases(texts)
     for row, text in zip(got, texts):
         # a phrase that fits no reference at all still takes one byte
         assert row.tolist() == [longest_match_phrases(text, refs[n]) for n in parser.names]
 
 
+def test_spare_bits_and_draws(spark):
+    rng = np.random.default_rng(1)
+    refs = {"en": EN.encode() * 3, "de": DE.encode() * 3, "zz": EN.encode() * 3}
+    parser = language.Parser(refs)
+    noise = " ".join("".join(chr(c) for c in rng.integers(97, 123, 5)) for _ in range(300))
+    names, score, spare = parser.judge([EN * 2, noise, "1 2", None])
+    # of languages that draw, the first by name
+    assert names == ["en", names[1], "und", "und"] and score[0] == 0.5
+    assert spare[0] > 0 > spare[1] and spare[2] == spare[3] == 0
+
+
 def test_languages(spark):
     rows = [(i, (EN if i % 2 else DE) * (1 + i % 3), "en" if i % 2 else "de", "s", "x") for i in range(40)]
     rows += [(40, None, "en", "s", "x"), (41, "", None, "s", "x"), (42, "12 345", "en", "s", "x"), (None, EN, None, "s", "x"), (43, EN * 9000, None, "s", "x"), (1, EN, "en", "s", "x")]
