@@ -149,15 +149,15 @@ class Parser:
     def _join(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.ndarray, place: np.ndarray, marks: np.ndarray, count: np.ndarray, state: np.ndarray) -> None:
         """Correct ``count`` and ``state`` in place for phrases that reach into a segment.
 
-        A segment whose last state changes sends its successor through once more; after
-        round n the first n segments of every text are right.
+        All segments once side by side; those after a segment whose last state has changed are
+        walked from there on, as in lines that repeat without ever meeting the other parse.
         """
         flat, width = self.steps.ravel(), self.steps.shape[1]
         alone, ends = count.copy(), state.copy()
         row, side = (x.ravel() for x in np.indices(count.shape))
         todo = number[row] > 0
         row, side = row[todo], side[todo]
-        while len(row):
+        if len(row):
             now, root = state[row - 1, side], self.roots[side]
             more, fewer = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
             last = np.full(len(row), -1, np.int64)  # -1: met the parse of the segment alone
@@ -187,7 +187,43 @@ class Parser:
             inside = row < len(number)
             row, side = row[inside], side[inside]
             inside = number[row] > 0
-            row, side = row[inside], side[inside]
+            self._walk(data, begin, size, number, place, marks, count, state, alone, ends, row[inside], side[inside])
+
+    def _walk(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.ndarray, place: np.ndarray, marks: np.ndarray, count: np.ndarray, state: np.ndarray, alone: np.ndarray, ends: np.ndarray, row: np.ndarray, side: np.ndarray) -> None:
+        """Parse on, byte by byte, from the given segments until the states agree again."""
+        steps, width, symbols = memoryview(self.steps.ravel()), self.steps.shape[1], memoryview(data)
+        order = np.lexsort((row, side))
+        at_side, through = -1, -1
+        for r, s in zip(row[order].tolist(), side[order].tolist()):
+            if s != at_side:
+                at_side, through = s, -1
+            if r <= through:
+                continue
+            root = int(self.roots[s])
+            while True:
+                now, low = int(state[r - 1, s]), int(begin[r])
+                before = marks[: size[r], place[r], s].tobytes()
+                more = t = 0
+                met = now == root
+                while not met and t < len(before):
+                    symbol = symbols[low + t]
+                    after = steps[now * width + symbol]
+                    if after < 0 or now == root:
+                        if before[t]:
+                            met = True
+                            break
+                        more += 1
+                        if after < 0:
+                            after = steps[root * width + symbol]
+                            after = root if after < 0 else after
+                    now = after
+                    t += 1
+                count[r, s] = alone[r, s] + more - before[:t].count(1)
+                now = int(ends[r, s]) if met else now
+                changed = now != state[r, s]
+                state[r, s], through, r = now, r, r + 1
+                if not changed or r == len(number) or number[r] == 0:
+                    break
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and spare bits of each text.

@@ -23,7 +23,7 @@ def longest_match_phrases(text: bytes, reference: bytes) -> int:
     return count
 
 
-@pytest.mark.parametrize("segment", [40, 512])
+@pytest.mark.parametrize("segment", [1, 7, 40, 512])
 def test_phrases_match_substring_search(monkeypatch, segment):
     monkeypatch.setattr(language, "SEGMENT", segment)
     monkeypatch.setattr(language, "SEGMENTS_AT_ONCE", 100)
@@ -34,7 +34,7 @@ def test_phrases_match_substring_search(monkeypatch, segment):
     texts = [bytes(rng.integers(97, 107, rng.integers(1, 1500)).astype(np.uint8)) for _ in range(40)]
     texts += [EN.encode(), b"zzzz", b"t", DE[:13].encode(), b"z" * 1100, EN.encode() * 40]
     # phrases of several segments: copies of the reference, from its start and from within
-    texts += [noise, noise[100:2900] + b"~" + noise[5:1500], noise[:600] + b"z" * 600 + noise[600:]]
+    texts += [(EN * 6).encode() * 9, (EN.encode() * 2 + b"~") * 9, noise, noise[100:2900] + b"~" + noise[5:1500], noise[:600] + b"z" * 600 + noise[600:]]
     got = parser.phrases(texts)
     for row, text in zip(got, texts):
         # a phrase that fits no reference at all still takes one byte
