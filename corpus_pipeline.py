@@ -3,7 +3,8 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as
 Parquet and read again as the next stage's ``docs``. All but the last keep the columns of
 ``docs``. Nulls, empty tables, repeated rows and further columns are handled as the
-operators' docstrings state; a document without any letter leaves at the first stage.
+operators' docstrings state; a document without any letter, or of letters that no language
+helps to tell, leaves at the first stage.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from plumbline.llm import language, mixing, packing, simhash, toxicity
 from plumbline.llm.common import Written, fresh
 
 TARGETS = {"1": 0.9, "0": 0.1}  # shares of tokens by labelled quality
+LEAST_SPARE = 64.0  # bits against every language before a text counts as none of them
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,14 +24,17 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those of no language (``und``) go. Where no label
-    teaches a language, only documents without a letter go."""
+    """Documents whose language can be told. Those of no language (``und``) go, and those whose
+    shortest parse takes ``LEAST_SPARE`` bits more than bytes drawn alike from the alphabet:
+    no learned language helps to tell them. Short texts can't fall that far behind and stay.
+    Where no label teaches a language, only documents without a letter go."""
     parser = language.fit(docs.where(language.fold("doc_id", 4) != 2))
     if not parser.names:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found, score = fresh(docs, "_found"), fresh(docs, "_sure")
-    judged = language.predict(docs, parser, "text", found, score)
-    return judged.where(F.col(found) != language.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found, score, spare = (fresh(docs, name) for name in ("_found", "_sure", "_spare"))
+    judged = language.predict(docs, parser, "text", found, score, spare)
+    told = (F.col(found) != language.UNKNOWN) & (F.col(spare) >= -LEAST_SPARE)
+    return judged.where(told).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents and their places in sequences of 2048 ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, most_pieces=packing.SIZE)
 
 
 STAGES = [
