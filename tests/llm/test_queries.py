@@ -3,13 +3,14 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import language, queries
 from plumbline.llm.common import Written
-from tests.llm.rows import documents, none
+from tests.llm.rows import documents, none, prose
 from tools.check import TABLES, rows_of
 
 CONTRACT = {
@@ -79,3 +80,15 @@ def test_language_stage_without_labels_or_with_long_ones(spark, small):
     long = docs.withColumn("lang", F.when(F.octet_length("text") > 60_000, F.lit("en")))
     assert language.fit(long).names == ["en"]
     assert known(long) == lettered
+
+
+def test_language_stage_drops_what_no_language_tells(spark, small):
+    docs = documents(spark)
+    rng = np.random.default_rng(2)
+    noise = " ".join("".join(chr(c) for c in rng.integers(97, 123, 6)) for _ in range(200))
+    other = docs.where("doc_id = 9")
+    rows = docs
+    for key, text in ((70, noise), (71, "Qx vj"), (72, noise[:40] + " " + prose(3, 200))):
+        rows = rows.unionByName(other.withColumn("doc_id", F.lit(key).cast("long")).withColumn("text", F.lit(text)).withColumn("lang", F.lit(None).cast("string")))
+    kept = sorted(str(r["doc_id"]) for r in corpus_pipeline.language_id(spark, rows, small).collect())
+    assert kept == sorted(["3", "4", "4", "5", "6", "7", "None", "None", "9", "11", "11", "71", "72"])
