@@ -9,7 +9,7 @@ from plumbline.catalog.dialogue import check_sql
 from plumbline.operators import safety, tables
 from plumbline.plans import monitoring
 from plumbline.session import materialize, work_path
-from plumbline.streaming import jobs
+from plumbline.streaming import jobs, states
 from plumbline.streaming import metrics as sm
 
 SLIDING = "(select *, unnest(range(0, 5)) as back from events)"
@@ -79,6 +79,25 @@ def run_states(spark, d):
     return sm.run_states(tasks, ["l_shipdate", "l_partkey", "l_suppkey"])
 
 
+@query(f"""with {TASKS}, latest as (select * from (select *, row_number() over (partition by run_id, task_id order by l_shipdate desc, l_partkey desc, l_suppkey desc) as k from tasks) where k = 1)
+select run_id::varchar as run_id, case when bool_or(status = 'failed') then 'failed' when bool_and(status = 'completed') then 'completed' else 'running' end as status, count(*) as tasks from latest group by 1""")
+def stream_run_states(spark, d):
+    """The last state of each run a stream gives out. Map states and timers need RocksDB, so the
+    session's provider is set while the stream runs."""
+    status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "completed").otherwise("running")
+    tasks = stream_of(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("task_id"), status.alias("status"),
+        F.col("l_shipdate").cast("timestamp").alias("at"), (F.col("l_partkey") * (1 << 31) + F.col("l_suppkey")).alias("tie"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        changes = states.run_states_of_stream(tasks, "at", "tie", late="10000 days")
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return changes.groupBy("run_id").agg(F.max_by("status", "step").alias("status"), F.max_by("tasks", "step").alias("tasks"))
+
+
 # ---------------------------------------------------------------- streaming jobs
 
 CLOSED = "window_end <= (select max(ts) - interval 10 minutes from events)"
