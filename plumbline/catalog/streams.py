@@ -18,7 +18,9 @@ RATES = f"""select date_trunc('minute', ts) - to_minutes(back::int) as window_st
 
 
 def stream_of(spark, d, name):
-    return jobs.file_stream(spark, d, table(spark, d, name).schema, f"{name}.parquet")
+    """A table as a stream, whether it is one file or a folder of files. The path is written as
+    a glob, as a stream takes any other path for a folder."""
+    return jobs.file_stream(spark, f"{d}/{name}.parque[t]", table(spark, d, name).schema, "*")
 
 
 @query(RATES)

@@ -3,12 +3,15 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import catalog
 from plumbline.operators import conversation, safety, tables
 from plumbline.plans import monitoring
 from plumbline.sources import artifacts, documents, files
 from plumbline.streaming import jobs
 from plumbline.streaming import metrics as sm
 
+catalog.load()
+
 
 def put(path, text):
     path.parent.mkdir(parents=True, exist_ok=True)
@@ -231,3 +234,9 @@ def test_failed_events_keep_their_reason_and_replays_change_nothing(spark, parts
     assert state() == wanted(events)
     assert jobs.handled_events(spark, path, "failed").count() == events.where("event_type = 'purchase'").count()
     assert spark.read.parquet(f"{path}/welcome").count() == events.where("event_type = 'signup'").count()
+
+
+def test_streamed_table_may_be_a_folder_of_files(spark, small, tmp_path):
+    turns = spark.read.parquet(f"{small}/conversations.parquet")
+    turns.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert catalog.QUERIES["stream_safety"](spark, str(tmp_path)).count() == turns.count() > 0
