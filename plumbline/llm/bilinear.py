@@ -9,10 +9,10 @@ classes. Within its class a token has its share of the corpus counts, so the pro
 of all tokens, the unknown one included, sum to 1.
 
 Counts and class masses cover all training texts. The vectors are trained where the texts are:
-each task starts from the current vectors and passes over the training documents of its split whose
-draw is below ``share``; the results are averaged, weighted by tokens, and the next
-round starts from there. So training grows with the corpus, and nothing but the vectors, of
-fixed size, is gathered.
+each task starts from the current vectors and passes over those training documents of its split that
+are dealt to this round; the results are averaged, weighted by tokens, and the next
+round starts from there. The rounds together take every training document once, none is left
+out, and nothing but the vectors, of fixed size, is gathered.
 """
 
 from __future__ import annotations
@@ -35,10 +35,11 @@ END = "\n"  # no word holds white space
 WORDS, SUFFIXES = 256, 128
 WIDTH, CONTEXT = 16, 4
 NOISE, BATCH, RATE = 48, 256, 0.15
-SHARE, ROUNDS = 0.125, 3
+ROUNDS = 3
 MOST_COMMON = 1 << 20
 FLUSH_AT = 400_000
 TOKENS_AT_ONCE = 512  # scores of so many tokens stay in a core's cache
+HIGHEST = 60.0  # sums of exp of scores up to here are floats, so none is shifted
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -144,7 +145,7 @@ class Model:
     def load(self, flat: np.ndarray) -> None:
         at = 0
         for k, p in enumerate(self.parts):
-            self.parts[k] = flat[at : at + p.size].astype(np.float32).reshape(p.shape)
+            self.parts[k] = flat[at : at + p.size].astype(np.float32, copy=False).reshape(p.shape)
             at += p.size
 
     def contexts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +157,7 @@ class Model:
         return row[at], np.stack([row[at - k - 1] for k in range(self.context)], axis=1) if len(at) else np.zeros((0, self.context), np.int64)
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
-        vectors, places = self.parts[:2]
-        return sum(vectors[before[:, k]] * places[k] for k in range(self.context))
+        return np.einsum("bkw,kw->bw", self.parts[0].take(before, axis=0), self.parts[1])
 
     def log_probabilities(self, before: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all classes, one row per context."""
@@ -169,14 +169,15 @@ class Model:
     def chosen(self, before: np.ndarray, target: np.ndarray, other: int) -> tuple[np.ndarray, np.ndarray]:
         """Of ``log_probabilities`` those of ``target`` and of one other class."""
         outputs = np.concatenate([self.parts[2], self.parts[3][:, None]], axis=1).T.copy()
-        first, second = np.empty(len(target)), np.empty(len(target))
+        first, second, every = np.empty(len(target)), np.empty(len(target)), np.ones(len(self.mass), np.float32)
         for at in range(0, len(target), TOKENS_AT_ONCE):
             h = self.predicted(before[at : at + TOKENS_AT_ONCE])
             scores = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1) @ outputs
             top = scores.max(1, keepdims=True)
-            scores -= top
+            if np.abs(top).max() > HIGHEST:
+                scores -= top
             own, rest = scores[np.arange(len(h)), target[at : at + len(h)]], scores[:, other].copy()
-            whole = np.log(np.exp(scores, out=scores).sum(1))
+            whole = np.log(np.exp(scores, out=scores) @ every)
             first[at : at + len(h)], second[at : at + len(h)] = own - whole, rest - whole
         return first, second
 
@@ -185,45 +186,49 @@ class Model:
         noise, drawn by the class masses, is shared within a batch."""
         random = np.random.default_rng(seed)
         order = random.permutation(len(target))
+        target, before = target.astype(np.int32)[order], before.astype(np.int32).take(order, axis=0)
         log_noise = np.log(noise * self.mass).astype(np.float32)
         upto = np.cumsum(self.mass / self.mass.sum())
-        squares = [np.full(p.shape, 1e-2, np.float32) for p in self.parts]
+        flat = self.flat
+        self.load(flat)
+        vectors, places, outputs, bias = self.parts  # all parts of one row, so a step moves them at once
+        square = np.full(len(flat), 1e-2, np.float32)
+        width = vectors.shape[1]
+        columns = np.arange(width + 1)
 
         def sums(rows: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
-            marks = np.zeros((count, len(rows)), np.float32)
-            marks[rows, np.arange(len(rows))] = 1
-            return marks @ values
+            wide = values.shape[1]
+            cells = rows[:, None] * wide + columns[:wide]
+            return np.bincount(cells.ravel(), values.ravel(), count * wide).astype(np.float32).reshape(count, wide)
 
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            y, ctx = target[some], before[some]
+        for at in range(0, len(target), batch):
+            y, ctx = target[at : at + batch], before[at : at + batch]
             drawn = np.minimum(np.searchsorted(upto, random.random(noise)), len(upto) - 1)
-            vectors, places, outputs, bias = self.parts
-            h = self.predicted(ctx)
-            true = (h * outputs[y]).sum(1) + bias[y] - log_noise[y]
-            false = h @ outputs[drawn].T + (bias[drawn] - log_noise[drawn])
+            seen, wanted, unwanted = vectors.take(ctx, axis=0), outputs.take(y, axis=0), outputs.take(drawn, axis=0)
+            h = np.einsum("bkw,kw->bw", seen, places)
+            true = np.einsum("bw,bw->b", h, wanted) + (bias - log_noise).take(y)
+            false = h @ unwanted.T + (bias - log_noise).take(drawn)
             # slopes of the loss: how far data looks like noise, and noise like data
             g_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))
             g_false = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
-            g_h = g_true[:, None] * outputs[y] + g_false @ outputs[drawn]
-            width = h.shape[1]
+            g_h = g_true[:, None] * wanted + g_false @ unwanted
             weighted = np.concatenate([g_true[:, None] * h, g_true[:, None]], axis=1)
-            grad = sums(y, weighted, len(bias))
-            np.add.at(grad, drawn, np.concatenate([g_false.T @ h, g_false.sum(0)[:, None]], axis=1))
-            g_vectors = sums(ctx.T.ravel(), np.concatenate([g_h * places[k] for k in range(self.context)]), len(vectors))
-            g_places = np.stack([(g_h * vectors[ctx[:, k]]).sum(0) for k in range(self.context)])
-            for part, square, g in zip(self.parts, squares, (g_vectors, g_places, grad[:, :width], grad[:, width])):
-                g = g / len(y)
-                square += g * g
-                part -= rate * g / np.sqrt(square)
-
-
-def fit(training: DataFrame, key: Column, text: str, classes: Classes, share: float = SHARE, rounds: int = ROUNDS) -> Model:
-    """The model trained on the documents of ``training`` whose draw of ``key`` is below ``share``."""
+            unlike = np.concatenate([g_false.T @ h, g_false.sum(0)[:, None]], axis=1)
+            grad = sums(np.concatenate([y, drawn]), np.concatenate([weighted, unlike]), len(bias))
+            g_vectors = sums(ctx.ravel(), (g_h[:, None] * places).reshape(-1, width), len(vectors))
+            g_places = np.einsum("bw,bkw->kw", g_h, seen)
+            g = np.concatenate([g_vectors.ravel(), g_places.ravel(), grad[:, :width].ravel(), grad[:, width]])
+            g /= len(y)
+            square += g * g
+            flat -= rate * g / np.sqrt(square)
+
+
+def fit(training: DataFrame, key: Column, text: str, classes: Classes, rounds: int = ROUNDS) -> Model:
+    """The model trained on every document of ``training`` once; the draw of ``key`` deals them to the rounds."""
     model = Model(classes.mass)
     if not classes.n:
         return model
-    sample = training.where(draw(key) < share).select(text)
+    dealt = training.select(text, F.floor(draw(key) * rounds).alias("_round"))
     for turn in range(rounds):
         sent = training.sparkSession.sparkContext.broadcast((classes, model))
 
@@ -241,7 +246,7 @@ def fit(training: DataFrame, key: Column, text: str, classes: Classes, share: fl
                 yield pa.RecordBatch.from_pydict({"moved": pa.array([(mine.flat - start).tolist()]), "weight": pa.array([float(seen)])})
             mine.load(start)  # the broadcast value serves other tasks of this worker
 
-        moved = sample.mapInArrow(each, "moved array<double>, weight double").select("weight", F.posexplode("moved"))
+        moved = dealt.where(F.col("_round") == turn).select(text).mapInArrow(each, "moved array<double>, weight double").select("weight", F.posexplode("moved"))
         mean = moved.groupBy("pos").agg((F.sum(F.col("col") * F.col("weight")) / F.sum("weight")).alias("mean"))
         steps = mean.orderBy("pos").toPandas()["mean"].to_numpy(np.float64)
         sent.destroy()
@@ -316,7 +321,7 @@ def score(df: DataFrame, counts: DataFrame, classes: Classes, model: Model, text
     return both.withColumns({k: F.col(k) + F.coalesce(v, F.lit(0)) for k, v in added.items()}).drop(row, *added.values())
 
 
-def held_out_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def held_out_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """``(<id>, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
     Counts, classes and vectors come from rows where ``held_out`` is false; all rows are
@@ -327,6 +332,6 @@ def held_out_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", tex
     training = docs.where(~F.col("held_out"))
     counts = Written(token_counts(training, "_text"), "token-counts").df
     classes = classes_of(counts)
-    model = fit(training, F.xxhash64("_id", "_text"), "_text", classes, share, rounds)
+    model = fit(training, F.xxhash64("_id", "_text"), "_text", classes, rounds)
     out = score(docs, counts, classes, model, "_text").withColumn("train_tokens", F.lit(classes.n).cast("long"))
     return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -68,6 +68,24 @@ def test_held_out_texts_are_likelier_than_by_shares_alone(spark, small):
     assert score > base
 
 
+def test_every_training_document_teaches(spark):
+    for key in range(4):
+        one = spark.createDataFrame([(key, f"one two three one two {key}")], "doc_id bigint, text string")
+        counts = bilinear.Written(bilinear.token_counts(one, "text"), "counts").df
+        classes = bilinear.classes_of(counts)
+        model = bilinear.fit(one, F.xxhash64("doc_id"), "text", classes)
+        assert not np.array_equal(model.flat, bilinear.Model(classes.mass).flat)
+
+
+def test_scores_beyond_what_exp_holds(spark):
+    model = bilinear.Model(np.array([0.5, 0.3, 0.2]))
+    model.parts[3] = np.array([300, -300, 290], np.float32)
+    target, before = model.contexts([np.array([0, 1, 2, 2])])
+    logs = model.log_probabilities(before).astype(float)
+    own, other = model.chosen(before, target, 1)
+    assert np.allclose(own, logs[np.arange(4), target], rtol=1e-4) and np.allclose(other, logs[:, 1], rtol=1e-4)
+
+
 def test_odd_and_empty_tables(spark):
     docs = documents(spark)
     rows = bilinear.held_out_scores(docs, language.fold("doc_id", 5) == 1).collect()
