@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from plumbline.streaming import jobs, metrics, states
@@ -62,3 +63,47 @@ def test_only_changes_are_emitted_and_idle_runs_are_forgotten(rocks, tmp_path):
     rows = states.run_states_of_stream(stream, "at", "n", idle="1 day").collect()
     changes = [(r["status"], r["tasks"], r["step"]) for r in sorted(rows, key=lambda r: (r["changed_at"], r["step"])) if r["run_id"] == "a"]
     assert changes == [("running", 2, 1), ("completed", 2, 2), ("failed", 1, 1)]
+
+
+class Handle:
+    """One state and its timers, with the number of calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_the_store_is_not_asked_per_row_or_run():
+    far = 1 << 60
+    rows = pd.DataFrame([(f"r{n % 1000}", str(n // 1000), far + n, 0, "completed") for n in range(3000)], columns=states.TASK)
+    handle, runs = Handle(), states.RunStates(1000)
+    runs.init(handle)
+    out = pd.concat(runs.handleInputRows((0,), iter([rows[:1500], rows[1500:]]), None))
+    assert len(out) == 1000 and set(out["tasks"]) == {3} and set(out["step"]) == {1} and out["micros"].max() == far + 2999
+    again = pd.concat(runs.handleInputRows((0,), iter([rows[:10].assign(status="failed", tie=1)]), None))
+    assert len(again) == 10 and set(again["step"]) == {2} and set(again["micros"]) == {far + 2000 + n for n in range(10)}
+    assert handle.calls <= 8 and handle.timers == {(far + 2000) // 1000 + 1000}
+    handle.timers.clear()
+    expired = type("Info", (), {"getExpiryTimeInMs": lambda self: (far + 2999) // 1000 + 1000})()
+    assert list(runs.handleExpiredTimer((0,), None, expired)) == [] and handle.value is None and not handle.timers
