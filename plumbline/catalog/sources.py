@@ -71,8 +71,7 @@ def read_parquet(spark, d):
 def document_folder(spark, d):
     """One text file per document, in a folder per source below the shared folder."""
     folder = work_path(spark, "corpus")
-    docs = table(spark, d, "documents").where(F.length("text") > 0).repartition(16, "doc_id")
-    docs.select("source", "text").write.option("maxRecordsPerFile", 1).partitionBy("source").text(folder)
+    documents.write_documents(table(spark, d, "documents").where(F.length("text") > 0), folder, "source")
     return folder
 
 

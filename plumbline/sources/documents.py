@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,34 @@ def register_loader(extension: str, loader: Loader) -> None:
     LOADERS[extension.lower()] = loader
 
 
+FILES_PER_FOLDER = 200
+
+
+def write_documents(df: DataFrame, folder: str, group: str, text: str = "text") -> int:
+    """One text file per row, in folders per ``group`` below ``folder``; returns their number.
+
+    Tasks write their files themselves, without a commit per file on the driver. A file is named by
+    its task and place, so a task that runs again replaces its own. Folders stay small, so
+    that Spark lists them side by side.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pyarrow.fs.FileSystem.from_uri(folder) if ":/" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+        part, places = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                n = places[name] = places.get(name, -1) + 1
+                below = f"{root}/group={'' if name is None else '=' + quote(name, safe='')}/{part:06d}-{n // FILES_PER_FOLDER:06d}"
+                if n % FILES_PER_FOLDER == 0:
+                    store.create_dir(below)
+                with store.open_output_stream(f"{below}/{n:09d}.txt", compression=None) as out:
+                    out.write(body.as_buffer())
+                    out.write(b"\n")
+        yield pa.RecordBatch.from_pydict({"files": pa.array([sum(n + 1 for n in places.values())], pa.int64())})
+
+    rows = df.where(F.col(text).isNotNull()).select(F.col(group).cast("string"), F.col(text).cast("string"))
+    return rows.mapInArrow(write, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def discover(spark: SparkSession, folder: str, extensions: Sequence[str] | None = None) -> DataFrame:
     """Files below ``folder`` by suffix: path, type and size. Contents are not read."""
     wanted = [e.lower() for e in (extensions or LOADERS)]

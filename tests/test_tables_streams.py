@@ -240,3 +240,12 @@ def test_streamed_table_may_be_a_folder_of_files(spark, small, tmp_path):
     turns = spark.read.parquet(f"{small}/conversations.parquet")
     turns.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
     assert catalog.QUERIES["stream_safety"](spark, str(tmp_path)).count() == turns.count() > 0
+
+
+def test_written_documents_come_back_whole(spark, tmp_path):
+    rows = [(g, f"{t} {n}") for n, (g, t) in enumerate([(None, "no group"), ("", "empty"), ("_x", "two\nlines\r"), ("a/b", "é ß"), (".h", "last")] * 90)]
+    df = spark.createDataFrame([*rows, ("a/b", None), ("a/b", "")], "source string, text string").repartition(3)
+    assert documents.write_documents(df, str(tmp_path / "out"), "source") == 451
+    loaded = documents.load_documents(spark, str(tmp_path / "out"), [".txt"])
+    assert sorted(r.text for r in loaded.collect()) == sorted([t + "\n" for _, t in rows] + ["\n"])
+    assert documents.discovery_report(documents.discover(spark, str(tmp_path / "out"))).first().files == 451
