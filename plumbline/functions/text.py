@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +29,25 @@ HTML_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 HTML_VERBATIM = ("pre", "textarea")
 CHARS_PER_TOKEN = 4
 UNNAMED = "Unknown Document"
+TEXT_BYTES_AT_ONCE = 4 << 20
 
 
-@F.pandas_udf(T.StringType())
-def _decompose(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+def text_slices(texts: pa.Array, most: int = TEXT_BYTES_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of rows with about ``most`` bytes of text, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        till = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield at, till - at
+        at = till
+
+
+@F.arrow_udf(T.StringType())
+def _decompose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        parts = (texts.slice(*s).to_pylist() for s in text_slices(texts))
+        found = [pa.array([None if t is None else unicodedata.normalize("NFKD", t) for t in p], texts.type) for p in parts]
+        yield pa.concat_arrays(found) if found else texts
 
 
 def decomposed(text: Column) -> Column:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.functions.columns import ref
-from plumbline.functions.text import CHARS_PER_TOKEN, token_estimate
+from plumbline.functions.text import CHARS_PER_TOKEN, text_slices, token_estimate
 
 # Fixed values.
 SIZE = 512
@@ -121,7 +122,8 @@ def paragraphs(text: str) -> list[str]:
 
 
 def _exploded(df: DataFrame, text: str, cut, extra: Sequence[str] = ()) -> DataFrame:
-    """Run ``cut(text) -> [(index, start, end, chunk, *extra)]`` per document, rows streaming out."""
+    """Run ``cut(text) -> [(index, start, end, chunk, *extra)]`` per document, rows streaming out for a few
+    megabytes of text at a time."""
     kept = [c for c in df.columns if c != text]
     schema = T.StructType(
         [df.schema[c] for c in kept]
@@ -129,15 +131,20 @@ def _exploded(df: DataFrame, text: str, cut, extra: Sequence[str] = ()) -> DataF
         + [T.StructField("chunk_text", T.StringType())]
         + [T.StructField(c, T.LongType()) for c in extra]
     )
-    names = schema.names
-
-    def run(batches):
-        for pdf in batches:
-            keys = list(pdf[kept].itertuples(index=False, name=None))
-            rows = [(*key, *chunk) for key, body in zip(keys, pdf[text]) if body for chunk in cut(body)]
-            yield pd.DataFrame(rows, columns=names)
-
-    out = df.select(*[ref(c) for c in kept], ref(text)).mapInPandas(run, schema)
+    made = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, length in text_slices(batch.column(len(kept))):
+                part = batch.slice(start, length)
+                rows = [(n, *chunk) for n, body in enumerate(part.column(len(kept)).to_pylist()) if body for chunk in cut(body)]
+                owner, *columns = zip(*rows) if rows else [()] * (1 + len(made) - len(kept))
+                owner = pa.array(owner, pa.int64())
+                keys = [part.column(n).take(owner) for n in range(len(kept))]
+                types = [f.type for f in made][len(kept) :]
+                yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, columns, types)], names=made.names)
+
+    out = df.select(*[ref(c) for c in kept], ref(text)).mapInArrow(run, schema)
     return out.withColumn("token_estimate", token_estimate(F.col("chunk_text")))
 
 

@@ -30,6 +30,7 @@ DIMENSIONS = 384
 ROWS_PER_PART = 50_000
 QUERIES_PER_BLOCK = 10_000
 QUERIES_AT_ONCE = 256
+ROWS_AT_ONCE = 4096
 SCORE_DIGITS = 9
 
 
@@ -80,23 +81,31 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def _cell_top_k(side: pa.Table, asked: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
     """The best ``k`` of one part of the corpus for each query of one block. Ids stay Arrow
     values of their own type; only their places in order are numbers."""
-    out = []
-    if len(side) and len(asked):
-        vectors = _matrix(side["vector"])
-        order = pc.rank(side["id"], sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
-        for at in range(0, len(asked), QUERIES_AT_ONCE):
-            some = asked.slice(at, QUERIES_AT_ONCE)
-            scores = np.round(vectors @ _matrix(some["v"]).T, SCORE_DIGITS)
-            if len(order) > k:  # everything from the k-th score up, ties included
-                floor = np.partition(scores, len(order) - k, axis=0)[len(order) - k]
+    if not len(side) or not len(asked):
+        return schema.empty_table()
+    lengths = sorted(pc.unique(pc.list_value_length(side["vector"])).to_pylist())
+    if len(lengths) > 1:
+        raise ValueError(f"Vectors of different lengths: {lengths}")
+    order = pc.rank(side["id"], sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
+    blocks = [_matrix(asked.slice(at, QUERIES_AT_ONCE)["v"]) for at in range(0, len(asked), QUERIES_AT_ONCE)]
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * len(blocks)
+    for start in range(0, len(side), ROWS_AT_ONCE):
+        vectors = _matrix(side.slice(start, ROWS_AT_ONCE)["vector"])
+        for n, block in enumerate(blocks):
+            scores = np.round(vectors @ block.T, SCORE_DIGITS)
+            if len(scores) > k:  # everything from the k-th score up, ties included
+                floor = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
                 rows, cols = np.nonzero(scores >= floor)
             else:
                 rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-            kept = _best(cols, order[rows], scores[rows, cols], k)
-            rows, cols = rows[kept], cols[kept]
-            found = [some["q"].take(pa.array(cols)), some["slot"].take(pa.array(cols)), side["id"].take(pa.array(rows)), pa.chunked_array([scores[rows, cols]])]
-            out.append(pa.table(found, schema=schema))
-    return pa.concat_tables(out) if out else schema.empty_table()
+            met = (rows + start, cols, scores[rows, cols])
+            rows, cols, found = (np.concatenate(pair) for pair in zip(best[n], met))
+            kept = _best(cols, order[rows], found, k)
+            best[n] = rows[kept], cols[kept], found[kept]
+    rows = np.concatenate([b[0] for b in best])
+    of = np.concatenate([b[1] + n * QUERIES_AT_ONCE for n, b in enumerate(best)])
+    columns = [asked["q"].take(pa.array(of)), asked["slot"].take(pa.array(of)), side["id"].take(pa.array(rows)), pa.chunked_array([np.concatenate([b[2] for b in best])])]
+    return pa.table(columns, schema=schema)
 
 
 def exact_top_k(side: DataFrame, asked: DataFrame, k: int) -> DataFrame:

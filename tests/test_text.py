@@ -306,3 +306,31 @@ def test_totals_count_vectors(spark):
     got = {r.kb: tuple(r)[1:] for r in corpus.corpus_totals(docs, chunks, "kb", vectors=vectors).collect()}
     assert got == {"a": (2, 2, 1, 1, False), "b": (1, 1, 1, 1, True), None: (1, 0, 0, 0, True)}
     assert "vectors" not in corpus.corpus_totals(docs, chunks, "kb").columns
+
+
+def test_long_texts_are_cut_a_few_at_a_time():
+    import pyarrow as pa
+
+    from plumbline.functions.text import text_slices
+
+    texts = pa.array(["abc", None, "x" * 50, "", "é" * 3, "yy"])
+    assert list(text_slices(texts, 6)) == [(0, 2), (2, 1), (3, 2), (5, 1)] and list(text_slices(texts[:0])) == []
+    assert list(text_slices(texts.slice(2), 6)) == [(0, 1), (1, 2), (3, 1)]
+
+
+def test_top_k_of_row_blocks_is_that_of_all_rows(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from plumbline.operators import retrieval
+
+    rng = np.random.default_rng(1)
+    schema = pa.schema([("query_id", pa.int64()), ("slot", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    side = pa.table({"id": pa.array(rng.permutation(40)), "vector": pa.array(rng.integers(-2, 3, (40, 3)).astype(float).tolist())})
+    asked = pa.table({"q": pa.array(range(7)), "slot": pa.array(range(7)), "v": pa.array(rng.integers(-2, 3, (7, 3)).astype(float).tolist())})
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 2)
+    monkeypatch.setattr(retrieval, "ROWS_AT_ONCE", 3)
+    got = retrieval._cell_top_k(side, asked, 5, schema).to_pylist()
+    scores = np.array(asked["v"].to_pylist()) @ np.array(side["vector"].to_pylist()).T
+    want = {(q, i) for q in range(7) for i in sorted(side["id"].to_pylist(), key=lambda i: (-scores[q, side["id"].to_pylist().index(i)], i))[:5]}
+    assert {(r["query_id"], r["id"]) for r in got} == want and len(got) == 35
