@@ -16,6 +16,7 @@ logistic curve fitted on the examples, each judged without itself, turns votes i
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -52,22 +53,60 @@ def association(a: np.ndarray, b: np.ndarray, in_a: float, in_b: float) -> np.nd
     return out
 
 
+class Bags:
+    """The words of many texts as numbers: two ints a word and text, each word's letters once."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        known: dict[str, int] = {}
+        term, count, ends = array("i"), array("i"), array("q", [0])
+        for text in texts:
+            bag = Counter(words(text))
+            term.extend([known.setdefault(w, len(known)) for w in bag])
+            count.extend(bag.values())
+            ends.append(len(term))
+        self.names = [*known]
+        self.term, self.count, self.ends = np.array(term, np.int32), np.array(count, np.int32), np.array(ends, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words and counts of text ``i``, in the order they are met."""
+        at = slice(self.ends[i], self.ends[i + 1])
+        return self.term[at], self.count[at]
+
+    def ordered(self, order: list[int]) -> Bags:
+        """The bags in another order, their words numbered as they are met there."""
+        out = object.__new__(Bags)
+        sizes = np.diff(self.ends)[order]
+        out.ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(out.ends[-1]) + np.repeat(self.ends[:-1][order] - out.ends[:-1], sizes)
+        first, place = np.unique(self.term[at], return_index=True)
+        met = first[np.argsort(place)]
+        number = np.zeros(len(self.names), np.int32)
+        number[met] = np.arange(len(met))
+        out.names, out.term, out.count = [self.names[t] for t in met.tolist()], number[self.term[at]], self.count[at]
+        return out
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.ends))
+
+
 class Everything:
     """TF-IDF cosines with all examples over all their terms; frequent terms as dense rows."""
 
-    def __init__(self, bags: list[Counter], weight: np.ndarray, rows: int) -> None:
-        self.terms: dict[str, int] = {}
-        lengths = np.array([len(b) for b in bags], np.int64)
-        term = np.fromiter((self.terms.setdefault(w, len(self.terms)) for b in bags for w in b), np.int32, int(lengths.sum()))
-        count = np.fromiter((n for b in bags for n in b.values()), np.float64, len(term))
-        owner = np.repeat(np.arange(len(bags), dtype=np.int32), lengths)
+    def __init__(self, bags: Bags, weight: np.ndarray, rows: int) -> None:
+        self.terms = {w: n for n, w in enumerate(bags.names)}
+        term, owner = bags.term, bags.owners()
         spread = np.bincount(term, weight[owner], len(self.terms))
         self.idf = np.append(np.log((rows + 1) / (spread + 1)) + 1, np.log(rows + 1) + 1)  # the last for terms of no example
-        value = (1 + np.log(count)) * self.idf[term]
-        norm = np.sqrt(np.bincount(owner, value * value, len(bags)))
-        order = np.argsort(term, kind="stable")
-        self.owner, self.value = owner[order], (value / norm[owner])[order]
-        ends = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        value = np.log(bags.count.astype(np.float64))
+        value += 1
+        value *= self.idf[term]
+        value /= np.sqrt(np.bincount(owner, value * value, len(bags)))[owner]
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        self.owner, self.value = owner[order], value[order]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.terms)))])
         self.size = len(bags)
         dense = np.flatnonzero(np.diff(ends) > len(bags) // DENSE_SHARE)
         self.row = np.full(len(self.terms), -1, np.int32)
@@ -78,10 +117,12 @@ class Everything:
         self.ends = ends
 
     def cosines(self, bag: Counter) -> np.ndarray:
-        found = [(self.terms.get(w, -1), n) for w, n in bag.items()]
-        if not found or not self.size:
+        return self.numbered(np.array([self.terms.get(w, -1) for w in bag], np.int64), np.array([*bag.values()], np.int64))
+
+    def numbered(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The cosines of a text by the numbers of its terms, -1 for those of no example."""
+        if not len(terms) or not self.size:
             return np.zeros(self.size)
-        terms, counts = (np.array(x) for x in zip(*found))
         value = (1 + np.log(counts)) * self.idf[terms]
         value /= np.sqrt((value * value).sum())
         known = terms >= 0
@@ -102,12 +143,14 @@ class Index:
     """Block-max inverted index of the examples."""
 
     def __init__(self, texts: list[str], keys: list, toxic: np.ndarray, totals: dict[int, int]) -> None:
-        bags = [Counter(words(t)) for t in texts]
+        bags = Bags(texts)
         here = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
         self.weight = np.array([totals.get(int(c), 0) / here[int(c)] for c in toxic])
-        found = [Counter(w for b, c in zip(bags, toxic) if c == side for w in b) for side in (0, 1)]
-        terms = sorted(w for w in found[0].keys() | found[1].keys() if found[0][w] + found[1][w] >= LEAST_ROWS)
-        counts = [np.array([f[w] for w in terms], np.float64) for f in found]
+        side = np.repeat(toxic, np.diff(bags.ends))
+        found = [np.bincount(bags.term[side == c], minlength=len(bags.names)) for c in (0, 1)]
+        often = sorted(np.flatnonzero(found[0] + found[1] >= LEAST_ROWS).tolist(), key=bags.names.__getitem__)
+        terms = [bags.names[t] for t in often]
+        counts = [f[often].astype(np.float64) for f in found]
         link = association(counts[1], counts[0], here[1], here[0]) if terms else np.zeros(0)
         chosen = np.lexsort((np.arange(len(terms)), -link))[:MOST_TERMS]
         chosen = np.sort(chosen[link[chosen] >= LEAST_ASSOCIATION])
@@ -115,7 +158,9 @@ class Index:
         rows = sum(totals.values())
         spread = sum(totals.get(c, 0) / here[c] * counts[c][chosen] for c in (0, 1)) if terms else np.zeros(0)
         self.idf = np.log((rows + 1) / (spread + 1)) + 1
-        vectors = [self.vector(b) for b in bags]
+        telling = np.full(len(bags.names), -1, np.int64)
+        telling[np.array(often, np.int64)[chosen]] = np.arange(len(chosen))
+        vectors = [self._unit(telling[t], n) for t, n in map(bags.__getitem__, range(len(bags)))]
         # similar examples share a block: sorted by their heaviest term
         heavy = [int(t[v.argmax()]) if len(t) else -1 for t, v in vectors]
         order = sorted((i for i in range(len(bags)) if heavy[i] >= 0), key=lambda i: (heavy[i], len(vectors[i][0]), str(keys[i]), i))
@@ -127,7 +172,8 @@ class Index:
         self.bare = self._share(self.weight[empty], toxic[empty], rows, totals)
         self.prior = (totals.get(1, 0) + 0.5) / (rows + 1)
         blocks = -(-self.telling // BLOCK)
-        order, every = order[: self.telling], [bags[i] for i in order]
+        bags = bags.ordered(order)
+        order = order[: self.telling]
         self.most = np.zeros((len(self.terms), blocks))
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for n, i in enumerate(order):
@@ -139,8 +185,8 @@ class Index:
         self.ends = [np.searchsorted(w, np.arange(blocks + 1) * BLOCK) for w in self.where]
         self.known: dict[tuple, list] = {}
         self.slope, self.shift = 1.0, 0.0
-        self.all = Everything(every, self.votes, rows)
-        self._calibrate([vectors[i] for i in order], every)
+        self.all = Everything(bags, self.votes, rows)
+        self._calibrate([vectors[i] for i in order], bags)
 
     @staticmethod
     def _share(weight: np.ndarray, toxic: np.ndarray, rows: int, totals: dict[int, int]) -> float:
@@ -149,10 +195,14 @@ class Index:
 
     def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and unit weights of a text; no known term gives an empty vector."""
-        pairs = sorted((self.terms[w], n) for w, n in bag.items() if w in self.terms)
-        terms = np.array([t for t, _ in pairs], np.int64)
-        value = (1 + np.log(np.array([n for _, n in pairs], np.float64))) * self.idf[terms] if pairs else np.zeros(0)
-        return terms, value / np.sqrt((value * value).sum()) if pairs else value
+        return self._unit(np.array([self.terms.get(w, -1) for w in bag], np.int64), np.array([*bag.values()], np.int64))
+
+    def _unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the numbers of its telling terms, -1 for others."""
+        known = np.flatnonzero(terms >= 0)
+        known = known[np.argsort(terms[known])]
+        terms, value = terms[known], (1 + np.log(counts[known].astype(np.float64))) * self.idf[terms[known]]
+        return terms, value / np.sqrt((value * value).sum()) if len(terms) else value
 
     def nearest(self, terms: np.ndarray, value: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest cosine above 0, ties to the earlier example."""
@@ -190,10 +240,10 @@ class Index:
         votes = self.votes[at] * cosine**2 / (1 + 4 * (1 - cosine**2))
         return float((votes @ self.toxic[at] + PRIOR_VOTES * prior) / (votes.sum() + PRIOR_VOTES))
 
-    def _calibrate(self, vectors: list[tuple], every: list[Counter]) -> None:
+    def _calibrate(self, vectors: list[tuple], every: Bags) -> None:
         raw = [self.vote(self.nearest(t, v, NEIGHBOURS, without=n)) for n, (t, v) in enumerate(vectors)]
         for n in range(self.telling, len(every)):
-            raw.append(self.vote(self.nearest_of_all(self.all.cosines(every[n]), NEIGHBOURS, without=n), self.bare))
+            raw.append(self.vote(self.nearest_of_all(self.all.numbered(*every[n]), NEIGHBOURS, without=n), self.bare))
         x = np.clip(np.array(raw), 1e-6, 1 - 1e-6)
         x = np.log(x / (1 - x))
         y, w = self.toxic, self.votes
@@ -245,7 +295,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if not len(rows):
         return None
     rows = rows.sort_values("_id", kind="stable")
-    return Index(rows["_text"].tolist(), rows["_id"].tolist(), rows["_toxic"].to_numpy(), totals)
+    keys, toxic = rows["_id"].tolist(), rows["_toxic"].to_numpy()
+    return Index(rows.pop("_text").tolist(), keys, toxic, totals)
 
 
 def with_scores(df: DataFrame, index: Index | None, text_col: str = "text", key_type: str = "bigint") -> DataFrame:

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -237,3 +238,14 @@ def test_documents_with_everything_odd(spark):
     assert language.held_out_predictions(df).count() == 15
     assert toxicity.held_out_scores(df, labels).count() == 15
     assert mixing.rates(df, labels, {"1": 1.0, "0": 1.0}).count() == 15
+
+
+def test_fit_holds_the_words_of_its_examples_as_numbers():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"word{n}" for n in rng.choice(5000, 400, replace=False)) + " vile" * (i % 2) for i in range(600)]
+    tracemalloc.start()
+    index = toxicity.Index(texts, list(range(600)), np.arange(600) % 2, {0: 3000, 1: 600})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * 600 * 400  # bytes a word and text; a dictionary for each text takes more
+    assert index.judge("word1 vile")[0] > 0.5 > index.judge("word1 word2")[0]
