@@ -42,9 +42,9 @@ TOKENS_AT_ONCE = 512  # scores of so many tokens stay in a core's cache
 HIGHEST = 60.0  # sums of exp of scores up to here are floats, so none is shifted
 
 
-def tokens_of(text: str | None) -> list[str]:
-    """Words of a whole text, only A-Z lower-cased, and one end."""
-    return [t.decode() for t in (text or "").encode().lower().split()] + [END]
+def tokens_of(text: str | None) -> list[bytes]:
+    """Words of a whole text in UTF-8, only A-Z lower-cased, and one end."""
+    return [*(text or "").encode().lower().split(), END.encode()]
 
 
 def token_counts(texts: DataFrame, text: str) -> DataFrame:
@@ -54,8 +54,7 @@ def token_counts(texts: DataFrame, text: str) -> DataFrame:
         held: Counter = Counter()
         for batch in bpe.split_batches(batches, text):
             for t in batch.column(text).to_pylist():
-                held.update((t or "").encode().lower().split())
-                held[END.encode()] += 1
+                held.update(tokens_of(t))
             if len(held) > FLUSH_AT:
                 yield from flush(held)
         yield from flush(held)
@@ -88,16 +87,19 @@ class Classes:
         found = self.own.get(token)
         return self.by_suffix.get(token.encode()[-2:], self.rest) if found is None else found
 
-    def places(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The place of each token among the common ones or -1, and its class."""
-        place = np.array(list(map(self.common.get, tokens, repeat(-1))), np.int64)
-        if not len(self.counts):
-            return place, np.array([self.of(t) for t in tokens], np.int64)
-        found = self.class_of_common[place]
-        for i in np.flatnonzero(place < 0).tolist():
-            found[i] = self.of(tokens[i])
+        place = np.fromiter(map(self.place_of.get, tokens, repeat(-1)), np.int64, len(tokens))
+        found = np.append(self.class_of_common, self.rest)[place]
+        # tokens with a class of their own are common
+        other = np.flatnonzero(place < 0)
+        found[other] = [self.by_suffix.get(tokens[i][-2:], self.rest) for i in other.tolist()]
         return place, found
 
+    @cached_property
+    def place_of(self) -> dict[bytes, int]:
+        return {t.encode(): i for t, i in self.common.items()}
+
     @cached_property
     def class_of_common(self) -> np.ndarray:
         return np.array([self.of(t) for t in self.common], np.int64)
@@ -170,12 +172,15 @@ class Model:
         """Of ``log_probabilities`` those of ``target`` and of one other class."""
         outputs = np.concatenate([self.parts[2], self.parts[3][:, None]], axis=1).T.copy()
         first, second, every = np.empty(len(target)), np.empty(len(target)), np.ones(len(self.mass), np.float32)
+        longest, offset = np.sqrt((self.parts[2].astype(np.float64) ** 2).sum(1).max()), np.abs(self.parts[3]).max()
         for at in range(0, len(target), TOKENS_AT_ONCE):
             h = self.predicted(before[at : at + TOKENS_AT_ONCE])
             scores = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1) @ outputs
-            top = scores.max(1, keepdims=True)
-            if np.abs(top).max() > HIGHEST:
-                scores -= top
+            # no score is beyond the lengths of its vectors and the bias, so most often none is looked for
+            if not np.sqrt(np.einsum("bw,bw->b", h, h).max()) * longest + offset < HIGHEST:
+                top = scores.max(1, keepdims=True)
+                if np.abs(top).max() > HIGHEST:
+                    scores -= top
             own, rest = scores[np.arange(len(h)), target[at : at + len(h)]], scores[:, other].copy()
             whole = np.log(np.exp(scores, out=scores) @ every)
             first[at : at + len(h)], second[at : at + len(h)] = own - whole, rest - whole
@@ -189,38 +194,61 @@ class Model:
         target, before = target.astype(np.int32)[order], before.astype(np.int32).take(order, axis=0)
         log_noise = np.log(noise * self.mass).astype(np.float32)
         upto = np.cumsum(self.mass / self.mass.sum())
-        flat = self.flat
-        self.load(flat)
-        vectors, places, outputs, bias = self.parts  # all parts of one row, so a step moves them at once
-        square = np.full(len(flat), 1e-2, np.float32)
-        width = vectors.shape[1]
-        columns = np.arange(width + 1)
-
-        def sums(rows: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
-            wide = values.shape[1]
-            cells = rows[:, None] * wide + columns[:wide]
-            return np.bincount(cells.ravel(), values.ravel(), count * wide).astype(np.float32).reshape(count, wide)
-
-        for at in range(0, len(target), batch):
-            y, ctx = target[at : at + batch], before[at : at + batch]
-            drawn = np.minimum(np.searchsorted(upto, random.random(noise)), len(upto) - 1)
-            seen, wanted, unwanted = vectors.take(ctx, axis=0), outputs.take(y, axis=0), outputs.take(drawn, axis=0)
-            h = np.einsum("bkw,kw->bw", seen, places)
-            true = np.einsum("bw,bw->b", h, wanted) + (bias - log_noise).take(y)
-            false = h @ unwanted.T + (bias - log_noise).take(drawn)
-            # slopes of the loss: how far data looks like noise, and noise like data
-            g_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))
-            g_false = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
-            g_h = g_true[:, None] * wanted + g_false @ unwanted
-            weighted = np.concatenate([g_true[:, None] * h, g_true[:, None]], axis=1)
-            unlike = np.concatenate([g_false.T @ h, g_false.sum(0)[:, None]], axis=1)
-            grad = sums(np.concatenate([y, drawn]), np.concatenate([weighted, unlike]), len(bias))
-            g_vectors = sums(ctx.ravel(), (g_h[:, None] * places).reshape(-1, width), len(vectors))
-            g_places = np.einsum("bw,bkw->kw", g_h, seen)
-            g = np.concatenate([g_vectors.ravel(), g_places.ravel(), grad[:, :width].ravel(), grad[:, width]])
-            g /= len(y)
-            square += g * g
-            flat -= rate * g / np.sqrt(square)
+        rounds = -(-len(target) // batch)
+        drawn = np.minimum(np.searchsorted(upto, random.random((rounds, noise))), len(upto) - 1)
+        # one row of numbers, so a step moves them at once: input vectors, place weights, and output vectors each with its bias
+        (_, width), (context, _), count = self.parts[0].shape, self.parts[1].shape, len(self.parts[3])
+        flat = np.concatenate([self.parts[0].ravel(), self.parts[1].ravel(), np.column_stack(self.parts[2:]).ravel()])
+        first, second = self.parts[0].size, self.parts[0].size + self.parts[1].size
+        vectors, places, outputs = flat[:first].reshape(-1, width), flat[first:second].reshape(-1, width), flat[second:].reshape(count, width + 1)
+        square, held = np.full(len(flat), 1e-2, np.float32), np.empty(len(flat), np.float32)
+        # the places in that row of each input vector and of each output vector with its bias
+        of_vector, of_output = np.arange(first).reshape(-1, width), np.arange(second, len(flat)).reshape(count, width + 1)
+        most, wide = min(batch, len(target)), context * width
+        cells = np.empty(most * (wide + width + 1) + noise * (width + 1), np.int64)
+        added = np.empty(len(cells))
+        bent = np.ones((most, width + 1), np.float32)  # the predictions, and a 1 for the bias
+        spread, row, column = np.zeros((wide, width), np.float32), np.arange(wide), np.tile(np.arange(width), context)
+        with np.errstate(over="ignore"):  # beyond all floats a slope is 0
+            for at, other in zip(range(0, len(target), batch), drawn):
+                y, ctx = target[at : at + batch], before[at : at + batch]
+                size = len(y)
+                cut, end = size * wide, size * (wide + width + 1)
+                all_of = end + noise * (width + 1)
+                of_vector.take(ctx, axis=0, out=cells[:cut].reshape(size, context, width), mode="clip")
+                of_output.take(y, axis=0, out=cells[cut:end].reshape(size, width + 1), mode="clip")
+                of_output.take(other, axis=0, out=cells[end:all_of].reshape(noise, width + 1), mode="clip")
+                seen, wanted, unwanted = vectors.take(ctx, axis=0).reshape(size, wide), outputs.take(y, axis=0), outputs.take(other, axis=0)
+                spread[row, column] = places.ravel()
+                h = bent[:size]
+                h[:, :width] = seen @ spread
+                # slopes of the loss: how far data looks like noise, and noise like data
+                g_true = np.einsum("bw,bw->b", h, wanted)
+                g_true -= log_noise.take(y)
+                g_true = -1 / (1 + np.exp(g_true))
+                against = -unwanted
+                against[:, width] += log_noise.take(other)
+                g_false = h @ against.T
+                np.exp(g_false, out=g_false)
+                g_false += 1
+                np.reciprocal(g_false, out=g_false)
+                g_h = g_false @ unwanted[:, :width]
+                wanted *= g_true[:, None]
+                g_h += wanted[:, :width]
+                g_seen = np.concatenate([g_h] * context, axis=1)
+                g_places = np.einsum("bw,bw->w", g_seen, seen)
+                g_seen *= places.ravel()
+                added[:cut] = g_seen.ravel()
+                added[cut:end] = (g_true[:, None] * h).ravel()
+                added[end:all_of] = (g_false.T @ h).ravel()
+                g = np.bincount(cells[:all_of], added[:all_of], len(flat)).astype(np.float32)
+                g[first:second] = g_places
+                g /= size
+                square += np.multiply(g, g, out=held)
+                g /= np.sqrt(square, out=held)
+                g *= rate
+                flat -= g
+        self.parts = [vectors.copy(), places.copy(), outputs[:, :width].copy(), outputs[:, width].copy()]
 
 
 def fit(training: DataFrame, key: Column, text: str, classes: Classes, rounds: int = ROUNDS) -> Model:
@@ -293,15 +321,17 @@ def score(df: DataFrame, counts: DataFrame, classes: Classes, model: Model, text
             out["base_score"] = pa.array(np.bincount(owner, weights=own, minlength=len(names)))
             out["score"] = pa.array(np.bincount(owner, weights=np.where(hit, own + gained, 0.0), minlength=len(names)))
             lists: dict[str, list] = {k: [] for k in kinds}
-            edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            few = np.flatnonzero(~hit)
+            edges = np.searchsorted(few, np.concatenate([[0], np.cumsum(sizes)])).tolist()
+            parts = [*zip(few.tolist(), gained[few].tolist(), lost[few].tolist())]
             for a, b in zip(edges, edges[1:]):
-                met: dict[str, list] = {}
-                for i in (np.flatnonzero(~hit[a:b]) + a).tolist():
+                met: dict[bytes, list] = {}
+                for i, known_gain, new_gain in parts[a:b]:
                     sums = met.setdefault(flat[i], [0, 0.0, 0.0])
                     sums[0] += 1
-                    sums[1] += gained[i]
-                    sums[2] += lost[i]
-                lists["rare"].append(list(met))
+                    sums[1] += known_gain
+                    sums[2] += new_gain
+                lists["rare"].append([t.decode() for t in met])
                 for k, name in enumerate(("times", "if_known", "if_new")):
                     lists[name].append([s[k] for s in met.values()])
             yield pa.RecordBatch.from_pydict(out | {k: pa.array(v, kinds[k]) for k, v in lists.items()})

@@ -94,3 +94,36 @@ def test_odd_and_empty_tables(spark):
     untaught = bilinear.held_out_scores(docs, F.lit(True)).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in untaught)
     assert bilinear.held_out_scores(none(spark), F.lit(False)).count() == 0
+
+
+def test_training_steps_are_those_of_plain_sums():
+    rng = np.random.default_rng(5)
+    mass = rng.dirichlet(np.ones(9))
+    model, noise, batch, rate = bilinear.Model(mass, width=3, context=2), 4, 8, 0.15
+    target, before = rng.integers(0, 9, 29), rng.integers(0, 10, (29, 2))
+    vectors, places, outputs, bias = (p.astype(float) for p in model.parts)
+    parts = [vectors, places, outputs, bias]
+    squares = [np.full(p.shape, 1e-2) for p in parts]
+    random = np.random.default_rng(11)
+    order, upto = random.permutation(29), np.cumsum(mass / mass.sum())
+    for at in range(0, 29, batch):
+        rows, slopes = order[at : at + batch], [np.zeros(p.shape) for p in parts]
+        drawn = np.minimum(np.searchsorted(upto, random.random(noise)), 8)
+        for i in rows:
+            h = sum(vectors[before[i, k]] * places[k] for k in range(2))
+            g_h = np.zeros(3)
+            for c, real in [(target[i], True), *((d, False) for d in drawn)]:
+                likely = 1 / (1 + np.exp(-(h @ outputs[c] + bias[c] - np.log(noise * mass[c]))))
+                slope = likely - real
+                slopes[2][c] += slope * h
+                slopes[3][c] += slope
+                g_h += slope * outputs[c]
+            for k in range(2):
+                slopes[0][before[i, k]] += g_h * places[k]
+                slopes[1][k] += g_h * vectors[before[i, k]]
+        for p, g, s in zip(parts, slopes, squares):
+            s += (g / len(rows)) ** 2
+            p -= rate * g / len(rows) / np.sqrt(s)
+    model.train(target, before, 11, noise, batch, rate)
+    for got, want in zip(model.parts, parts):
+        assert got.dtype == np.float32 and np.allclose(got, want, atol=1e-5)
