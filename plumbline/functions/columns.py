@@ -94,16 +94,21 @@ def no_rows(df: DataFrame, ddl: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], ddl)
 
 
-def row_digest(df: DataFrame, names: Sequence[str]) -> Column:
-    """128-bit digest of typed values: NaN counts as NULL, -0.0 as 0.0, and NULL is told apart
-    from any value and from its neighbours; texts and timestamps count in full."""
+def row_hashes(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """The two 64-bit halves of ``row_digest``."""
     parts: list[Column] = []
     for c in names:
         column = present(df, c)
         if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
             column = column + F.lit(0.0)
         parts += [column, column.isNull()]
-    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts)), 16, "0") for seed in (1, 2)])
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+
+
+def row_digest(df: DataFrame, names: Sequence[str]) -> Column:
+    """128-bit digest of typed values: NaN counts as NULL, -0.0 as 0.0, and NULL is told apart
+    from any value and from its neighbours; texts and timestamps count in full."""
+    return F.concat(*[F.lpad(F.hex(half), 16, "0") for half in row_hashes(df, names)])
 
 
 def short_key(df: DataFrame, name: str) -> Column:

@@ -18,7 +18,7 @@ from plumbline.functions.columns import (
     per_column,
     present,
     ref,
-    row_digest,
+    row_hashes,
     short_key,
 )
 from plumbline.operators.ordered import exact_quantiles
@@ -84,7 +84,8 @@ def schema_report(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def row_copies(df: DataFrame) -> DataFrame:
     """One row per distinct row of ``df``: its number of copies, counted map-side first."""
-    return df.select(row_digest(df, df.columns).alias("digest")).groupBy("digest").agg(F.count("*").alias("copies"))
+    halves = [h.alias(f"digest{i}") for i, h in enumerate(row_hashes(df, df.columns))]
+    return df.select(*halves).groupBy("digest0", "digest1").agg(F.count("*").alias("copies"))
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:

@@ -313,6 +313,15 @@ def numeric_statistics(df: DataFrame, digits: int = 6, names: Sequence[str] | No
     )
 
 
+def skewness_report(df: DataFrame, digits: int = 6) -> DataFrame:
+    """``(column_name, skewness)`` as in ``numeric_statistics``, without its quantiles and modes."""
+    names = numeric_columns(df)
+    if not names:
+        return no_rows(df, "column_name string, skewness double")
+    skew = corrected_skewness(F.col("skew"), F.col("n"), F.col("variance"))
+    return moments(df, names).where(F.col("n") > 0).select("column_name", F.round(skew, digits).alias("skewness"))
+
+
 def category_counts(df: DataFrame) -> DataFrame:
     """``(column_name, value, cnt, total_rows, rare)`` over the categorical columns."""
     names = categorical_columns(df)

@@ -152,3 +152,13 @@ def test_rows_a_microsecond_apart_are_no_duplicates(spark):
     found = validate.duplicate_rows(rows, ["id"], ["id"])
     assert [r.id for r in found.collect()] == [3]
     assert profile.duplicate_summary(rows.drop("id")).first().duplicate_rows == 1
+
+
+def test_warnings_compute_no_modes(spark):
+    data = [(float(i % 5), 1000.0 if i == 0 else 1.0, i % 2) for i in range(40)] + [(None, float("nan"), None)]
+    df = spark.createDataFrame(data, "a double, b double, c int")
+    whole = {r["column_name"]: r["skewness"] for r in validate.numeric_statistics(df).collect()}
+    assert {r["column_name"]: r["skewness"] for r in validate.skewness_report(df).collect()} == whole
+    warnings = run_validation(df)["warnings"]
+    assert "min_by" not in warnings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Column 'b': highly skewed" in [r["warning"] for r in warnings.collect()]
