@@ -1,6 +1,7 @@
 """Order-based building blocks that never sort a whole table in one task.
 
 * ``exact_quantiles``  - exact order statistics from a sketch plus one narrow recount
+* ``quantiles_of_counts`` - the same from counts per value, where the values are few
 * ``running_totals``   - prefix sums over a global or per-group order
 * ``carry_forward``    - last known value along an order, split over buckets
 * ``dense_index``      - position of each value in sorted order
@@ -138,12 +139,38 @@ def exact_quantiles(
     fail = F.raise_error(F.lit("quantile bracket missed"))
     missed = F.col("missed") | F.col("x0").isNull() | (F.col("x1").isNull() & (F.floor("at") + 1 < F.col("n")))
     picked = picked.withColumn("x0", F.when(missed, fail).otherwise(F.col("x0")))
-    part = F.col("x0") + (F.coalesce("x1", "x0") - F.col("x0")) * (F.col("at") - F.floor("at"))
+    part = _interpolated(F.col("x0"), F.col("x1"), F.col("at"))
     return picked.groupBy(*keys, "n").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", part.alias("q")))), lambda s: s["q"]).alias("quantiles")
     )
 
 
+def _interpolated(x0: Column, x1: Column, at: Column) -> Column:
+    return x0 + (F.coalesce(x1, x0) - x0) * (at - F.floor(at))
+
+
+def quantiles_of_counts(
+    rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float], value: str = "value"
+) -> DataFrame:
+    """The result of ``exact_quantiles`` for keys of few distinct values each.
+
+    Tasks count their rows per value before the shuffle, and one row per value is ranked, so
+    a key's window has as many rows as it has values, however many rows there are.
+    """
+    keys = list(keys)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("cnt"))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    along = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.select(*keys, "value", F.sum("cnt").over(whole).alias("n"), F.sum("cnt").over(along).alias("upto"))
+
+    def quantile(p: float) -> Column:
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        x0, x1 = (F.min(F.when(F.col("upto") > F.floor(at) + i, F.col("value"))) for i in (0, 1))
+        return _interpolated(x0, x1, at)
+
+    return ranked.groupBy(*keys, "n").agg(F.array(*[quantile(p) for p in probabilities]).alias("quantiles"))
+
+
 # ---------------------------------------------------------------- range buckets
 
 def range_count(rows: int, per_range: int, shuffle_partitions: int) -> int:

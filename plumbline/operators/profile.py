@@ -21,10 +21,12 @@ from plumbline.functions.columns import (
     row_hashes,
     short_key,
 )
-from plumbline.operators.ordered import exact_quantiles
+from plumbline.operators.ordered import exact_quantiles, quantiles_of_counts
 
 # Bytes of one value of each fixed-width type, for the size estimate.
 WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+# Columns of about this many distinct values at most have their quantiles from counts per value.
+FEW_VALUES = 10_000
 
 
 def numeric_rows(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -136,14 +138,26 @@ def table_summary(df: DataFrame) -> DataFrame:
 
 
 def quantile_columns(df: DataFrame, names: Sequence[str], shares: dict[str, float], approx: bool = False) -> DataFrame:
-    """``(column_name, <one column per share>)`` of linear quantiles."""
-    rows = numeric_rows(df, names)
+    """``(column_name, <one column per share>)`` of linear quantiles.
+
+    Columns of few distinct values (flags, codes, date parts) are answered from the counts of
+    their values; only the others need the brackets of ``exact_quantiles``, and only their values
+    are turned into rows for them. The estimate that parts the columns is a scalar subquery,
+    and decides the cost alone: both ways are exact.
+    """
+    asked = list(shares.values())
     if approx:
-        marks = rows.groupBy("column_name").agg(
-            F.percentile_approx("value", list(shares.values()), 10_000).alias("quantiles")
-        )
+        marks = numeric_rows(df, names).groupBy("column_name").agg(F.percentile_approx("value", asked, 10_000).alias("quantiles"))
     else:
-        marks = exact_quantiles(rows, ["column_name"], list(shares.values()))
+        kinds = df.agg(*[F.approx_count_distinct(present(df, c).cast("double")).alias(f"n{i}") for i, c in enumerate(names)])
+        few = F.array(*[F.col(f"n{i}") <= FEW_VALUES for i in range(len(names))])
+        parted = df.select(*[ref(c) for c in names], kinds.select(few).scalar().alias("_few"))
+
+        def rows(few: bool) -> DataFrame:
+            return numeric_rows(parted.select(*[F.when(F.col("_few")[i] == few, ref(c)).alias(c) for i, c in enumerate(names)]), names)
+
+        counted = quantiles_of_counts(rows(True), ["column_name"], asked)
+        marks = counted.unionByName(exact_quantiles(rows(False), ["column_name"], asked))
     return marks.select("column_name", *[F.element_at("quantiles", i + 1).alias(s) for i, s in enumerate(shares)])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import no_rows, numeric_columns, per_column, present, ref
-from plumbline.operators.ordered import exact_quantiles
+from plumbline.operators.profile import quantile_columns
 
 MI_BINS = 16
 
@@ -103,7 +103,9 @@ def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS, exclude:
     names = numeric_columns(df, [target, *exclude])
     wide = df.select(ref(target).cast("string").alias("_class"), *[filled(df, c).alias(c) for c in names])
     rows = wide.unpivot(["_class"], names, "column_name", "value").where(F.col("_class").isNotNull())
-    edges = exact_quantiles(rows, ["column_name"], [i / bins for i in range(1, bins)]).select("column_name", "quantiles")
+    shares = {f"q{i}": i / bins for i in range(1, bins)}
+    edges = quantile_columns(wide.where(F.col("_class").isNotNull()), names, shares)
+    edges = edges.select("column_name", F.array(*shares).alias("quantiles"))
     bin_ = sum(((F.col("value") > F.element_at("quantiles", i)).cast("int") for i in range(1, bins)), F.lit(0))
     cells = (
         rows.join(F.broadcast(edges), "column_name")

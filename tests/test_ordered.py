@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions.joins import lookup_join
-from plumbline.operators.ordered import carry_forward, dense_index, exact_quantiles, in_ranges, range_count, running_totals
+from plumbline.operators.ordered import carry_forward, dense_index, exact_quantiles, in_ranges, quantiles_of_counts, range_count, running_totals
 
 LIGHT = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -34,6 +34,22 @@ def test_quantiles_with_ties_and_a_coarse_sketch(spark, accuracy):
     assert whole.n == 20_000 and whole.quantiles == pytest.approx(list(np.quantile(values, shares)))
 
 
+def test_quantiles_of_counts_are_those_of_the_rows(spark):
+    rng = random.Random(8)
+    values = [rng.choice([0.0, -0.0, 0.0, 1.0, None, rng.randint(-9, 9) / 4]) for _ in range(3_000)]
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)] + [(7, None), (8, 2.5)], "key int, value double").repartition(7)
+    shares = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
+    got = {r.key: (r.n, r.quantiles) for r in quantiles_of_counts(df, ["key"], shares).collect()}
+    assert got == {r.key: (r.n, r.quantiles) for r in exact_quantiles(df, ["key"], shares).collect()}
+    assert set(got) == {0, 1, 8} and got[8] == (1, [2.5] * 6)
+    for key in (0, 1):
+        known = [v for v in values[key::2] if v is not None]
+        assert got[key][0] == len(known) and got[key][1] == pytest.approx(list(np.quantile(known, shares)))
+    whole = [v for v in values if v is not None] + [2.5]
+    assert quantiles_of_counts(df, [], shares).first().quantiles == pytest.approx(list(np.quantile(whole, shares)))
+    assert quantiles_of_counts(df.limit(0), [], shares).count() == 0
+
+
 @pytest.mark.parametrize("parts", [1, 2, 16])
 def test_running_totals_with_a_hot_group(spark, parts):
     rows = [("hot" if i % 3 else f"g{i % 5}", (i * 37) % 1009, i) for i in range(1009)] + [(None, 5000 + i, 1) for i in range(5)]
