@@ -151,10 +151,10 @@ def quantile_columns(df: DataFrame, names: Sequence[str], shares: dict[str, floa
     else:
         kinds = df.agg(*[F.approx_count_distinct(present(df, c).cast("double")).alias(f"n{i}") for i, c in enumerate(names)])
         few = F.array(*[F.col(f"n{i}") <= FEW_VALUES for i in range(len(names))])
-        parted = df.select(*[ref(c) for c in names], kinds.select(few).scalar().alias("_few"))
+        parted = df.select(*[ref(c).alias(f"c{i}") for i, c in enumerate(names)], kinds.select(few).scalar().alias("few"))
 
         def rows(few: bool) -> DataFrame:
-            return numeric_rows(parted.select(*[F.when(F.col("_few")[i] == few, ref(c)).alias(c) for i, c in enumerate(names)]), names)
+            return numeric_rows(parted.select(*[F.when(F.col("few")[i] == few, F.col(f"c{i}")).alias(c) for i, c in enumerate(names)]), names)
 
         counted = quantiles_of_counts(rows(True), ["column_name"], asked)
         marks = counted.unionByName(exact_quantiles(rows(False), ["column_name"], asked))

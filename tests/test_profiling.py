@@ -170,8 +170,8 @@ def test_warnings_compute_no_modes(spark):
 def test_only_columns_of_many_values_are_bracketed(spark, monkeypatch):
     """Flags and codes have their quantiles from counts; no row of theirs goes through sketch and brackets."""
     df = spark.range(30_000).select(
-        F.col("id").alias("many"), (F.col("id") % 7).cast("int").alias("code"), F.when(F.col("id") % 3 > 0, F.lit(0.0)).alias("flat"),
-        F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("id") / 3).alias("gaps"), F.lit(None).cast("double").alias("none"),
+        F.col("id").alias("many"), (F.col("id") % 7).cast("int").alias("code"), F.when(F.col("id") % 3 > 0, F.lit(0.0)).alias("few"),
+        F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("id") / 3).alias("c0"), F.lit(None).cast("double").alias("none"),
     )
     bracketed = []
 
@@ -183,8 +183,8 @@ def test_only_columns_of_many_values_are_bracketed(spark, monkeypatch):
     shares = {"a": 0.1, "b": 0.5, "c": 0.87}
     got = {r.column_name: [r.a, r.b, r.c] for r in profile.quantile_columns(df, df.columns, shares).collect()}
     ids = np.arange(30_000)
-    want = {"many": ids, "code": ids % 7, "flat": np.zeros(20_000), "gaps": ids[1::2] / 3}
+    want = {"many": ids, "code": ids % 7, "few": np.zeros(20_000), "c0": ids[1::2] / 3}
     assert set(got) == set(want)
     for name, values in want.items():
         assert got[name] == pytest.approx(list(np.quantile(values, list(shares.values()))))
-    assert {r.column_name for r in bracketed[0].select("column_name").distinct().collect()} == {"many", "gaps"}
+    assert {r.column_name for r in bracketed[0].select("column_name").distinct().collect()} == {"many", "c0"}
