@@ -3,9 +3,9 @@
 A token belongs to a class: the ``words`` most frequent tokens are classes of their own, the others
 fall into the classes of the most frequent last two bytes, and what is left into one more. The
 vectors of the classes before a token, each times a weight vector of its place, add up to a
-prediction; its product with a class's output vector, plus a bias, is that class's score. The
-scores of a whole batch are one matrix product, and their softmax is normalised over all
-classes. Within its class a token has its share of the corpus counts, so the probabilities
+prediction; its product with a class's output vector, plus a bias, is that class's score. Softmax
+is normalised over all classes; for many tokens the exp of their scores are products of rows of
+one table per place. Within its class a token has its share of the corpus counts, so the probabilities
 of all tokens, the unknown one included, sum to 1.
 
 Counts and class masses cover all training texts. The vectors are trained where the texts are:
@@ -17,14 +17,13 @@ out, and nothing but the vectors, of fixed size, is gathered.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,27 +41,36 @@ TOKENS_AT_ONCE = 512  # scores of so many tokens stay in a core's cache
 HIGHEST = 60.0  # sums of exp of scores up to here are floats, so none is shifted
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words of a whole text in UTF-8, only A-Z lower-cased, and one end."""
-    return [*(text or "").encode().lower().split(), END.encode()]
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of whole texts, only A-Z lower-cased, with one end after each text's, and their number in each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    # white space around a text leaves empty words
+    real = np.flatnonzero(pc.binary_length(words).to_numpy())
+    offsets = lists.offsets.to_numpy()
+    stops = np.searchsorted(real, offsets[1:] - offsets[0])
+    every = pa.concat_arrays([words, pa.array([END], words.type)])
+    return every.take(pa.array(np.insert(real, stops, len(words)))), np.diff(stops, prepend=0) + 1
 
 
 def token_counts(texts: DataFrame, text: str) -> DataFrame:
     """``(token, c)`` over all texts, counted within tasks before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Table] = []
         for batch in bpe.split_batches(batches, text):
-            for t in batch.column(text).to_pylist():
-                held.update(tokens_of(t))
-            if len(held) > FLUSH_AT:
-                yield from flush(held)
-        yield from flush(held)
-
-    def flush(held: Counter) -> Iterator[pa.RecordBatch]:
+            found = pc.value_counts(tokens_of(batch.column(text))[0])
+            held.append(pa.table({"token": found.field("values"), "c": found.field("counts")}))
+            if sum(t.num_rows for t in held) > FLUSH_AT:
+                held = [merged(held)]
+                if held[0].num_rows > FLUSH_AT // 2:
+                    yield from held.pop().to_batches()
         if held:
-            yield pa.RecordBatch.from_pydict({"token": pa.array([t.decode() for t in held]), "c": pa.array(list(held.values()), pa.int64())})
-            held.clear()
+            yield from merged(held).to_batches()
+
+    def merged(held: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("c", "sum")])
+        return pa.table({"token": sums["token"], "c": sums["c_sum"]})
 
     return texts.select(text).mapInArrow(count, "token string, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -87,18 +95,20 @@ class Classes:
         found = self.own.get(token)
         return self.by_suffix.get(token.encode()[-2:], self.rest) if found is None else found
 
-    def places(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The place of each token among the common ones or -1, and its class."""
-        place = np.fromiter(map(self.place_of.get, tokens, repeat(-1)), np.int64, len(tokens))
+        place = pc.fill_null(pc.index_in(tokens, value_set=self.common_tokens.cast(tokens.type)), -1).to_numpy().astype(np.int64)
         found = np.append(self.class_of_common, self.rest)[place]
         # tokens with a class of their own are common
         other = np.flatnonzero(place < 0)
-        found[other] = [self.by_suffix.get(tokens[i][-2:], self.rest) for i in other.tolist()]
+        last = pc.binary_slice(tokens.take(pa.array(other)).cast(pa.binary()), -2)
+        suffix = pc.fill_null(pc.index_in(last, value_set=pa.array([*self.by_suffix], pa.binary())), -1).to_numpy()
+        found[other] = np.array([*self.by_suffix.values(), self.rest], np.int64)[suffix]
         return place, found
 
     @cached_property
-    def place_of(self) -> dict[bytes, int]:
-        return {t.encode(): i for t, i in self.common.items()}
+    def common_tokens(self) -> pa.Array:
+        return pa.array([*self.common], pa.string())
 
     @cached_property
     def class_of_common(self) -> np.ndarray:
@@ -152,10 +162,11 @@ class Model:
 
     def contexts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The classes of all texts in a row and, for each, those before it within its text."""
-        pad = np.full(self.context, len(self.mass), np.int64)
-        row = np.concatenate([x for t in texts for x in (pad, t)]) if texts else pad[:0]
         sizes = np.array([len(t) for t in texts], np.int64)
         at = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(texts) + 1) * self.context, sizes)
+        row = np.full(len(at) + self.context * len(texts), len(self.mass), np.int64)
+        if texts:
+            row[at] = np.concatenate(texts)
         return row[at], np.stack([row[at - k - 1] for k in range(self.context)], axis=1) if len(at) else np.zeros((0, self.context), np.int64)
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
@@ -168,22 +179,41 @@ class Model:
         scores -= scores.max(1, keepdims=True)
         return scores - np.log(np.exp(scores).sum(1, keepdims=True))
 
+    def powers(self) -> list[np.ndarray] | None:
+        """Per place the exp of what each class there adds to each score, last the biases', if all products are floats."""
+        vectors, places, outputs, bias = self.parts
+        added = [(vectors * p) @ outputs.T for p in places]
+        if not sum(np.abs(x).max() for x in added) + np.abs(bias).max() < HIGHEST:
+            return None
+        return [np.exp(x) for x in [*added, bias]]
+
     def chosen(self, before: np.ndarray, target: np.ndarray, other: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of ``log_probabilities`` those of ``target`` and of one other class."""
-        outputs = np.concatenate([self.parts[2], self.parts[3][:, None]], axis=1).T.copy()
-        first, second, every = np.empty(len(target)), np.empty(len(target)), np.ones(len(self.mass), np.float32)
-        longest, offset = np.sqrt((self.parts[2].astype(np.float64) ** 2).sum(1).max()), np.abs(self.parts[3]).max()
+        """Of ``log_probabilities`` those of ``target`` and of one other class.
+
+        The exp of a score is a product of one number per place. The tables of these have a row for each
+        class, so for more tokens than classes they are less work than an exp for every score.
+        """
+        vectors, _, outputs, bias = self.parts
+        first, second = np.empty(len(target)), np.empty(len(target))
+        powers = self.powers() if len(target) > len(vectors) else None
+        held = np.empty((2, min(len(target), TOKENS_AT_ONCE), len(bias)), np.float32)  # taken once: fresh pages cost as much as the products
         for at in range(0, len(target), TOKENS_AT_ONCE):
-            h = self.predicted(before[at : at + TOKENS_AT_ONCE])
-            scores = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1) @ outputs
-            # no score is beyond the lengths of its vectors and the bias, so most often none is looked for
-            if not np.sqrt(np.einsum("bw,bw->b", h, h).max()) * longest + offset < HIGHEST:
-                top = scores.max(1, keepdims=True)
-                if np.abs(top).max() > HIGHEST:
-                    scores -= top
-            own, rest = scores[np.arange(len(h)), target[at : at + len(h)]], scores[:, other].copy()
-            whole = np.log(np.exp(scores, out=scores) @ every)
-            first[at : at + len(h)], second[at : at + len(h)] = own - whole, rest - whole
+            y, ctx = target[at : at + TOKENS_AT_ONCE], before[at : at + TOKENS_AT_ONCE]
+            h = self.predicted(ctx)
+            whole, factor = held[:, : len(y)]
+            if powers is None:
+                np.matmul(h, outputs.T, out=whole)
+                whole += bias
+                whole -= whole.max(1, keepdims=True)
+                own, rest = whole[np.arange(len(y)), y], whole[:, other].copy()
+                log_sum = np.log(np.exp(whole, out=whole).sum(1))
+            else:
+                powers[0].take(ctx[:, 0], axis=0, out=whole, mode="clip")
+                for k in range(1, self.context):
+                    whole *= powers[k].take(ctx[:, k], axis=0, out=factor, mode="clip")
+                own, rest = np.einsum("bw,bw->b", h, outputs.take(y, axis=0)) + bias.take(y), h @ outputs[other] + bias[other]
+                log_sum = np.log(whole @ powers[-1])
+            first[at : at + len(y)], second[at : at + len(y)] = own - log_sum, rest - log_sum
         return first, second
 
     def train(self, target: np.ndarray, before: np.ndarray, seed: int, noise: int = NOISE, batch: int = BATCH, rate: float = RATE) -> None:
@@ -206,7 +236,7 @@ class Model:
         of_vector, of_output = np.arange(first).reshape(-1, width), np.arange(second, len(flat)).reshape(count, width + 1)
         most, wide = min(batch, len(target)), context * width
         cells = np.empty(most * (wide + width + 1) + noise * (width + 1), np.int64)
-        added = np.empty(len(cells))
+        added = np.empty(len(cells), np.float32)
         bent = np.ones((most, width + 1), np.float32)  # the predictions, and a 1 for the bias
         spread, row, column = np.zeros((wide, width), np.float32), np.arange(wide), np.tile(np.arange(width), context)
         with np.errstate(over="ignore"):  # beyond all floats a slope is 0
@@ -222,28 +252,25 @@ class Model:
                 spread[row, column] = places.ravel()
                 h = bent[:size]
                 h[:, :width] = seen @ spread
-                # slopes of the loss: how far data looks like noise, and noise like data
+                # mean slopes of the loss: how far data looks like noise, and noise like data
                 g_true = np.einsum("bw,bw->b", h, wanted)
                 g_true -= log_noise.take(y)
-                g_true = -1 / (1 + np.exp(g_true))
+                g_true = np.float32(-1 / size) / (1 + np.exp(g_true))
                 against = -unwanted
                 against[:, width] += log_noise.take(other)
                 g_false = h @ against.T
                 np.exp(g_false, out=g_false)
                 g_false += 1
-                np.reciprocal(g_false, out=g_false)
+                np.divide(np.float32(1 / size), g_false, out=g_false)
                 g_h = g_false @ unwanted[:, :width]
                 wanted *= g_true[:, None]
                 g_h += wanted[:, :width]
-                g_seen = np.concatenate([g_h] * context, axis=1)
-                g_places = np.einsum("bw,bw->w", g_seen, seen)
-                g_seen *= places.ravel()
-                added[:cut] = g_seen.ravel()
-                added[cut:end] = (g_true[:, None] * h).ravel()
-                added[end:all_of] = (g_false.T @ h).ravel()
+                g_places = np.einsum("bw,bkw->kw", g_h, seen.reshape(size, context, width)).ravel()
+                np.matmul(g_h, spread.T, out=added[:cut].reshape(size, wide))
+                np.multiply(g_true[:, None], h, out=added[cut:end].reshape(size, width + 1))
+                np.matmul(g_false.T, h, out=added[end:all_of].reshape(noise, width + 1))
                 g = np.bincount(cells[:all_of], added[:all_of], len(flat)).astype(np.float32)
                 g[first:second] = g_places
-                g /= size
                 square += np.multiply(g, g, out=held)
                 g /= np.sqrt(square, out=held)
                 g *= rate
@@ -265,9 +292,9 @@ def fit(training: DataFrame, key: Column, text: str, classes: Classes, rounds: i
             start = mine.flat
             seen = 0
             for n, batch in enumerate(bpe.split_batches(batches, text)):
-                names = [tokens_of(x) for x in batch.column(text).to_pylist()]
-                _, found = known.places([t for ts in names for t in ts])
-                target, before = mine.contexts(np.split(found, np.cumsum([len(ts) for ts in names])[:-1]))
+                tokens, sizes = tokens_of(batch.column(text))
+                _, found = known.places(tokens)
+                target, before = mine.contexts(np.split(found, np.cumsum(sizes)[:-1]))
                 mine.train(target, before, seed=1000 * turn + n)
                 seen += len(target)
             if seen:
@@ -303,38 +330,32 @@ def score(df: DataFrame, counts: DataFrame, classes: Classes, model: Model, text
         base = known.base(known.counts) if len(known.counts) else np.zeros(1)
         log_mass = np.log10(known.mass)
         for batch in bpe.split_batches(batches, text):
-            names = [tokens_of(t) for t in batch.column(text).to_pylist()]
-            sizes = np.array([len(t) for t in names], np.int64)
-            flat = [t for ts in names for t in ts]
-            place, found = known.places(flat)
+            tokens, sizes = tokens_of(batch.column(text))
+            place, found = known.places(tokens)
             target, before = lm.contexts(np.split(found, np.cumsum(sizes)[:-1]))
             # log10 of how much likelier the class is here than over all texts
             gained, lost = (x / np.log(10) for x in lm.chosen(before, target, known.rest))
             gained -= log_mass[target]
             lost -= log_mass[known.rest]
-            owner = np.repeat(np.arange(len(names)), sizes)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
             hit = place >= 0
             own = np.where(hit, base[np.maximum(place, 0)], 0.0)
             out = {f.name: batch.column(f.name) for f in fields}
             out["n_tokens"] = pa.array(sizes)
-            out["n_known"] = pa.array(np.bincount(owner[hit], minlength=len(names)).astype(np.int64))
-            out["base_score"] = pa.array(np.bincount(owner, weights=own, minlength=len(names)))
-            out["score"] = pa.array(np.bincount(owner, weights=np.where(hit, own + gained, 0.0), minlength=len(names)))
-            lists: dict[str, list] = {k: [] for k in kinds}
+            out["n_known"] = pa.array(np.bincount(owner[hit], minlength=len(sizes)).astype(np.int64))
+            out["base_score"] = pa.array(np.bincount(owner, weights=own, minlength=len(sizes)))
+            out["score"] = pa.array(np.bincount(owner, weights=np.where(hit, own + gained, 0.0), minlength=len(sizes)))
+            # the others once per text and token
             few = np.flatnonzero(~hit)
-            edges = np.searchsorted(few, np.concatenate([[0], np.cumsum(sizes)])).tolist()
-            parts = [*zip(few.tolist(), gained[few].tolist(), lost[few].tolist())]
-            for a, b in zip(edges, edges[1:]):
-                met: dict[bytes, list] = {}
-                for i, known_gain, new_gain in parts[a:b]:
-                    sums = met.setdefault(flat[i], [0, 0.0, 0.0])
-                    sums[0] += 1
-                    sums[1] += known_gain
-                    sums[2] += new_gain
-                lists["rare"].append([t.decode() for t in met])
-                for k, name in enumerate(("times", "if_known", "if_new")):
-                    lists[name].append([s[k] for s in met.values()])
-            yield pa.RecordBatch.from_pydict(out | {k: pa.array(v, kinds[k]) for k, v in lists.items()})
+            named = tokens.take(pa.array(few)).dictionary_encode()
+            each_name = len(named.dictionary)
+            met, at = np.unique(owner[few] * each_name + named.indices.to_numpy(), return_inverse=True)
+            sums = [np.bincount(at, weights, len(met)) for weights in (None, gained[few], lost[few])]
+            edges = pa.array(np.searchsorted(met, np.arange(len(sizes) + 1) * each_name), pa.int32())
+            lists = [named.dictionary.take(pa.array(met % max(each_name, 1))), *sums]
+            for (name, kind), values in zip(kinds.items(), lists):
+                out[name] = pa.ListArray.from_arrays(edges, pa.array(values).cast(kind.value_type))
+            yield pa.RecordBatch.from_pydict(out)
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "n_tokens bigint, n_known bigint, base_score double, score double, rare array<string>, times array<int>, if_known array<float>, if_new array<float>"])
     # written with its ids: reading it again gives the same rows

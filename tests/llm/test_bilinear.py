@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,39 @@ def test_training_steps_are_those_of_plain_sums():
     model.train(target, before, 11, noise, batch, rate)
     for got, want in zip(model.parts, parts):
         assert got.dtype == np.float32 and np.allclose(got, want, atol=1e-5)
+
+
+@pytest.mark.parametrize("bias", [0, 100])
+def test_many_scores_by_products_or_one_by_one(bias):
+    rng = np.random.default_rng(3)
+    model = bilinear.Model(rng.dirichlet(np.ones(12)), width=3, context=3)
+    model.parts = [p + rng.normal(0, 0.7, p.shape).astype(np.float32) for p in model.parts]
+    model.parts[3][5] += bias
+    target, before = model.contexts([rng.integers(0, 12, n) for n in (900, 1, 400)])
+    assert len(target) > 2 * bilinear.TOKENS_AT_ONCE and (model.powers() is None) == (bias > bilinear.HIGHEST)
+    logs = model.log_probabilities(before).astype(float)
+    own, other = model.chosen(before, target, 11)
+    assert np.allclose(own, logs[np.arange(len(target)), target], atol=1e-4) and np.allclose(other, logs[:, 11], atol=1e-4)
+
+
+def test_tokens_are_split_at_ascii_white_space_only():
+    texts = ["  A\tb\x0b\x0cC\r\n", None, "", " \n ", "É x y\x1cZ\x85 <0>\x00", "one"]
+    found, sizes = bilinear.tokens_of(pa.array(["cut off", *texts]).slice(1))
+    assert found.to_pylist() == [bilinear.END if t is None else t for x in texts for t in tokens(x)]
+    assert sizes.tolist() == [len(tokens(x)) for x in texts]
+
+
+def test_places_of_common_and_other_tokens():
+    classes = bilinear.Classes({"the": 0}, {b"ng": 1, "é".encode(): 2, b"x": 3}, np.full(5, 0.2), {"the": 0, "king": 1}, np.array([9, 5]), 20, 9)
+    place, found = classes.places(pa.array(["king", "the", "ring", "café", "x", "xx", bilinear.END]))
+    assert place.tolist() == [1, 0, -1, -1, -1, -1, -1] and found.tolist() == [1, 0, 1, 2, 3, 4, 4]
+    assert [classes.of(t) for t in ("king", "the", "ring", "café", "x", "xx", bilinear.END)] == found.tolist()
+
+
+def test_counts_flushed_and_merged_within_a_task(spark, monkeypatch):
+    monkeypatch.setattr(bilinear, "FLUSH_AT", 8)
+    monkeypatch.setattr(bilinear.bpe, "TEXT_BYTES_AT_ONCE", 12)
+    texts = [f"a b w{i % 5} v{i}" for i in range(60)]
+    counts = bilinear.token_counts(spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1), "text")
+    want = Counter(bilinear.END if t is None else t for x in texts for t in tokens(x))
+    assert {r["token"]: r["c"] for r in counts.collect()} == want
