@@ -388,7 +388,7 @@ def preprocess_run(spark, d):
         encoding={"strategy": "label"},
         selection={"strategy": "variance", "variance_threshold": 0.2},
     )
-    fit = preprocessing.fit_preprocessing(df, settings)
+    fit = preprocessing.fit_preprocessing(df, settings).whole()
     return rounded(fit.transform(df).drop("l_returnflag"), 6, "l_quantity", "l_extendedprice")
 
 
@@ -396,7 +396,7 @@ def preprocess_run(spark, d):
 def preprocess_report(spark, d):
     df = gaps(spark, d)
     settings = preprocessing.Settings(target="l_linestatus", drop_columns=["l_orderkey", "l_partkey", "l_suppkey"])
-    fit = preprocessing.fit_preprocessing(df, settings)
+    fit = preprocessing.fit_preprocessing(df, settings).whole()
     kept = fit.transform(df)
     return kept.groupBy("l_linestatus").agg(F.count("*").alias("row_count"), F.lit(len(kept.columns)).alias("column_count"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from plumbline.operators.scale import fit_scaler
 from plumbline.operators.select import fit_selection
 from plumbline.operators.transform import fit_transformer
 
+# What a step raises when it can't take its settings or columns. Failed jobs raise others.
+REFUSALS = (ValueError, TypeError, KeyError, AnalysisException)
+
 
 @dataclass
 class Settings:
@@ -60,6 +64,12 @@ class Prepared:
             df = step.transform(df, self.settings.order_by) if name == "missing" else step.transform(df)
         return df
 
+    def whole(self) -> Prepared:
+        """These steps, if none was skipped; for results that must not pass without a step."""
+        if self.errors:
+            raise RuntimeError("preprocessing skipped steps: " + "; ".join(self.errors))
+        return self
+
     def report(self, spark) -> DataFrame:
         done = {n for n, _ in self.steps}
         failed = dict(e.split(": ", 1) for e in self.errors)
@@ -69,7 +79,8 @@ class Prepared:
 
 
 def fit_preprocessing(df: DataFrame, settings: Settings | None = None) -> Prepared:
-    """Fit the steps one after another. A step that fails is skipped and recorded."""
+    """Fit the steps one after another. A step that refuses its settings or columns is skipped and
+    recorded (``Prepared.whole`` raises then); a failure of Spark itself, which says nothing about the step, is raised."""
     s = settings or Settings()
     out = Prepared(s, input_columns=df.columns)
     aside = [s.target] if s.target else []
@@ -87,7 +98,7 @@ def fit_preprocessing(df: DataFrame, settings: Settings | None = None) -> Prepar
             step = fit(current)
             current = step.transform(current, s.order_by) if name == "missing" else step.transform(current)
             out.steps.append((name, step))
-        except Exception as exc:  # noqa: BLE001 - isolation between steps is the contract
+        except REFUSALS as exc:
             out.errors.append(f"{name}: {exc}")
     out.output_columns = current.columns
     return out

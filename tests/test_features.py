@@ -2,7 +2,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from plumbline import catalog
 from plumbline.operators import encode, generate, impute, scale, select, transform
 from plumbline.plans import preprocessing
 
@@ -166,3 +168,25 @@ def test_preprocessing_isolates_failures_and_applies_to_new_rows(spark, small):
     assert fit.transform(df.limit(3)).columns == fit.output_columns
     report = {r.step: r.state for r in fit.report(spark).collect()}
     assert report["missing"] == "failed" and report["scaling"] == "ok"
+
+
+def test_preprocessing_failures_are_no_results(spark, small, monkeypatch):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, y string")
+    fit = preprocessing.fit_preprocessing(df, preprocessing.Settings(target="y", scaling={"strategy": "nonsense"}))
+    with pytest.raises(RuntimeError, match="scaling"):
+        fit.whole()
+
+    def lost(x, **options):
+        return x.select(F.raise_error(F.lit("task lost")).cast("double")).collect()
+
+    def refused(x, **options):
+        raise ValueError("refused")
+
+    monkeypatch.setattr(preprocessing, "fit_scaler", lost)
+    with pytest.raises(Exception, match="task lost"):
+        preprocessing.fit_preprocessing(df, preprocessing.Settings(target="y"))
+    monkeypatch.setattr(preprocessing, "fit_scaler", refused)
+    catalog.load()
+    for name in ("preprocess_report", "preprocess_run"):
+        with pytest.raises(RuntimeError, match="scaling: refused"):
+            catalog.QUERIES[name](spark, small)
