@@ -30,8 +30,10 @@ ROWS_PER_CELL = 64
 MOST_CODEWORDS = 512
 BASES_PER_GROUP = 4096
 SLACK = 1e-9
-PAIRS_AT_ONCE = 1 << 22
+PAIRS_AT_ONCE = 1 << 20
 PROBES_AT_ONCE = 256
+VISITS_AT_ONCE = 1 << 22
+ROWS_SENT_AT_ONCE = 1 << 16
 BUDGET_STEPS = 1 << 16
 BUDGET_ROWS = 64
 
@@ -218,13 +220,18 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     # one row per cell of the grid, at most MOST_CODEWORDS ** 2 of them
     parts = filed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BASES_PER_GROUP).cast("int").alias("parts"))
 
+    # a piece of probes may visit every cell
+    at_once = max(1, min(PROBES_AT_ONCE, VISITS_AT_ONCE // (len(grid.books[0]) * len(grid.books[1]))))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, PROBES_AT_ONCE):
-                piece = batch.slice(at, PROBES_AT_ONCE)
-                row, cell = grid.traverse(unit(matrix(piece.column("_vector"), size)), budget)
-                out = piece.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), out.column("_vector"), out.column("copies"), out.column("node"), out.column("cell")], ["cell", "_vector", "copies", "node", "home"])
+            for at in range(0, batch.num_rows, at_once):
+                piece = batch.slice(at, at_once)
+                rows, cells = grid.traverse(unit(matrix(piece.column("_vector"), size)), budget)
+                for low in range(0, len(rows), ROWS_SENT_AT_ONCE):
+                    sent = slice(low, low + ROWS_SENT_AT_ONCE)
+                    out = piece.take(pa.array(rows[sent]))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[sent]), out.column("_vector"), out.column("copies"), out.column("node"), out.column("cell")], ["cell", "_vector", "copies", "node", "home"])
 
     probes = filed.mapInArrow(visit, f"cell bigint, _vector {vector_type}, copies bigint, node bigint, home bigint")
     probes = probes.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -236,7 +243,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
         held: list[tuple] = []
-        bases = weight = names = label = None
+        bases = weight = names = label = first_bounds = second_bounds = None
         for batch in batches:
             cells, part, probe = (batch.column(c).to_numpy() for c in ("cell", "part", "probe"))
             vectors = unit(matrix(batch.column("_vector"), size))
@@ -254,6 +261,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                         continue
                     bases, weight, names = (np.concatenate(x) for x in zip(*held))
                     label = np.arange(len(names))
+                    # per base, not per pair: pairs are many more where vectors are near copies
+                    first_bounds, second_bounds = grid.bounds(bases)
                 step = max(1, PAIRS_AT_ONCE // len(names))
                 for low in range(at, at + n, step):
                     sent = slice(low, min(low + step, at + n))
@@ -263,7 +272,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                     if not len(p):
                         continue
                     # a base that does not visit the probe's cell has its link counted here
-                    blind = grid.bound_to(bases[b], home[sent][p]) > budget
+                    theirs = home[sent][p]
+                    blind = first_bounds[b, theirs // len(grid.books[1])] + second_bounds[b, theirs % len(grid.books[1])] > budget
                     other = np.bincount(b[blind], weights=copies[sent][p[blind]], minlength=len(names)).astype(np.int64)
                     met = np.flatnonzero(other)
                     hit, where = np.unique(p, return_index=True)

@@ -150,3 +150,19 @@ def test_budget_of_many_near_pairs_in_bounded_memory():
     assert tracemalloc.get_traced_memory()[1] < 300 << 20
     tracemalloc.stop()
     assert 0 < budget <= exact + vectors.SLACK
+
+
+def test_near_copies_take_bounds_per_vector_not_per_pair(spark, monkeypatch):
+    whole = vectors.Grid.bounds
+
+    def bounds(self, points):
+        assert len(points) <= 1000, "bounds of pairs are held"
+        return whole(self, points)
+
+    monkeypatch.setattr(vectors.Grid, "bounds", bounds)
+    monkeypatch.setattr(vectors, "ROWS_SENT_AT_ONCE", 7)
+    rng = np.random.default_rng(3)
+    near = np.ones(16) + rng.normal(scale=0.02, size=(300, 16))  # 89,700 links in a few cells
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(near)]
+    got = vectors.near_duplicates(table(spark, rows), target_recall=1.0).collect()
+    assert {tuple(r)[1:] for r in got} == {(299, 0, True), (299, 0, False)}
