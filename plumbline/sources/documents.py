@@ -68,10 +68,105 @@ def write_documents(df: DataFrame, folder: str, group: str, text: str = "text")
     return rows.mapInArrow(write, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
 
 
+FOLDER_ROWS = 10_000
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    """Names that Spark's readers pass over."""
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+class _Folder:
+    """Files below a folder, listed by the tasks: the driver holds only the folder's own name.
+
+    Spark's reader keeps a list of all files on the driver, with an object and a share of a task for
+    each. The rules are the reader's: names that begin with a dot or underscore, and empty files,
+    are passed over, links are followed, and ``path`` has the same form.
+    """
+
+    def __init__(self, spark: SparkSession, uri: str, prefix: str, roots: list[tuple[str, int | None]]) -> None:
+        self.spark, self.uri, self.prefix, self.roots = spark, uri, prefix, roots
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> _Folder | None:
+        """None for what has no file, and for stores that only Spark opens."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+        roots, uri, prefix = [], "", ""
+        for status in found or ():
+            uri = status.getPath().toUri().toString()
+            try:
+                below = pyarrow.fs.FileSystem.from_uri(uri)[1]
+            except (pa.ArrowException, OSError, ValueError):
+                return None
+            if not status.getPath().toString().endswith(below):
+                return None
+            prefix = status.getPath().toString().removesuffix(below)
+            if status.isDirectory():
+                roots.append((below, None))
+            elif not _hidden(status.getPath().getName(), False):
+                roots.append((below, status.getLen()))
+        # of overlapping patterns each file is listed once
+        upper = {p.rstrip("/") + "/" for p, n in roots if n is None}
+        roots = [(p, n) for p, n in dict(roots).items() if not any(p.startswith(u) for u in upper)]
+        return cls(spark, uri, prefix, roots) if roots else None
+
+    def files(self) -> DataFrame:
+        """``(path, length)`` of every file. Folders are dealt anew on each of the upper levels."""
+        uri, prefix = self.uri, self.prefix
+
+        def listing(deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+            def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                store = pyarrow.fs.FileSystem.from_uri(uri)[0]
+                rows: list[tuple[str, int | None]] = []
+                for batch in batches:
+                    for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                        if length is not None:
+                            rows.append((path, length))
+                        folders = [path] if length is None else []
+                        while folders:
+                            for info in store.get_file_info(pyarrow.fs.FileSelector(folders.pop())):
+                                folder = info.type == pyarrow.fs.FileType.Directory
+                                if _hidden(info.base_name, folder):
+                                    continue
+                                if folder and deep:
+                                    folders.append(info.path)
+                                elif folder:
+                                    rows.append((info.path, None))
+                                elif info.type == pyarrow.fs.FileType.File and info.size:
+                                    rows.append((info.path, info.size))
+                            if len(rows) >= FOLDER_ROWS:
+                                yield table(rows)
+                                rows = []
+                yield table(rows)
+
+            return step
+
+        def table(rows: list[tuple[str, int | None]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["path", "length"])
+
+        out = self.spark.createDataFrame(self.roots, "path string, length long").coalesce(1)
+        for _ in range(2):
+            out = self._dealt(out.mapInArrow(listing(False), out.schema))
+        out = out.mapInArrow(listing(True), out.schema).where("length > 0")
+        return out.select(F.concat(F.lit(prefix), "path").alias("path"), "length")
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        return rows.repartition(parts, "path")
+
+
 def discover(spark: SparkSession, folder: str, extensions: Sequence[str] | None = None) -> DataFrame:
-    """Files below ``folder`` by suffix: path, type and size. Contents are not read."""
+    """Files below ``folder`` by suffix: path, type and size. Contents are not read.
+
+    The folder is listed when the rows are read, by the tasks. Where only Spark opens the store, its own
+    reader lists it, and the driver holds the list.
+    """
     wanted = [e.lower() for e in (extensions or LOADERS)]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    below = _Folder.open(spark, folder)
+    files = below.files() if below else spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select("path", suffix(F.col("path")).alias("file_type"), F.col("length").alias("file_size_bytes")).where(
         F.col("file_type").isin(*wanted)
     )

@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from plumbline import catalog
@@ -249,3 +250,36 @@ def test_written_documents_come_back_whole(spark, tmp_path):
     loaded = documents.load_documents(spark, str(tmp_path / "out"), [".txt"])
     assert sorted(r.text for r in loaded.collect()) == sorted([t + "\n" for _, t in rows] + ["\n"])
     assert documents.discovery_report(documents.discover(spark, str(tmp_path / "out"))).first().files == 451
+
+
+def test_folders_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path, monkeypatch):
+    top = tmp_path / "a b%20c"
+    for n, name in enumerate(("x.txt", "_hid.txt", ".dot.txt", "_a=b.txt", "sub/y.TXT", "_sub/z.txt", "k=v/q \u00e9.txt", "u.txt._COPYING_",
+                              "s#p?.txt", "1/2/3/4/5/deep.txt", "1/2/.3/no.txt", "1/skip.bin", "_metadata.txt", "1/two.md")):
+        put(top / name, f"text {n}\r\n")
+    put(top / "empty.txt", "")
+    (top / "link").symlink_to(top / "sub")
+
+    def by_spark(folder):
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(folder)).select("path", "length", "content").collect()
+        return sorted((r.path, r.length, r.content.decode()) for r in rows if r.path.lower().endswith(".txt"))
+
+    def same():
+        monkeypatch.setattr(documents, "FOLDER_ROWS", 1)
+        for folder in (top, top / "x.txt", tmp_path / "a*", top / "{1,1/2,k=v}", top.as_uri()):
+            folder = str(folder) if "file:" not in str(folder) else f"file:{top}"
+            wanted = by_spark(folder)
+            assert len(wanted) >= 1
+            assert sorted((r.path, r.file_size_bytes) for r in documents.discover(spark, folder, [".txt"]).collect()) == [w[:2] for w in wanted]
+        with pytest.raises(AnalysisException):
+            documents.discover(spark, str(tmp_path / "none")).count()
+        (tmp_path / "no files" / "below").mkdir(parents=True, exist_ok=True)
+        assert documents.discover(spark, str(tmp_path / "no files")).count() == 0
+
+    same()
+    # the driver's reader of files isn't asked
+    plan = documents.discover(spark, str(top), [".txt"])._jdf.queryExecution().toString()
+    assert "binaryFile" not in plan
+    with monkeypatch.context() as only_spark:
+        only_spark.setattr(documents._Folder, "open", lambda spark, folder: None)
+        same()
