@@ -69,6 +69,7 @@ def write_documents(df: DataFrame, folder: str, group: str, text: str = "text")
 
 
 FOLDER_ROWS = 10_000
+CONTENT_BYTES = 4 << 20
 
 
 def _hidden(name: str, folder: bool) -> bool:
@@ -79,7 +80,7 @@ def _hidden(name: str, folder: bool) -> bool:
 
 
 class _Folder:
-    """Files below a folder, listed by the tasks: the driver holds only the folder's own name.
+    """Files below a folder, listed and read by the tasks: the driver holds only the folder's own name.
 
     Spark's reader keeps a list of all files on the driver, with an object and a share of a task for
     each. The rules are the reader's: names that begin with a dot or underscore, and empty files,
@@ -153,6 +154,24 @@ class _Folder:
         out = out.mapInArrow(listing(True), out.schema).where("length > 0")
         return out.select(F.concat(F.lit(prefix), "path").alias("path"), "length")
 
+    def contents(self, files: DataFrame) -> DataFrame:
+        """``(path, length, content)`` of some of the files; a task holds a few megabytes, or one file."""
+        uri, skip = self.uri, len(self.prefix)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store = pyarrow.fs.FileSystem.from_uri(uri)[0]
+            for batch in batches:
+                held, size, first = [], 0, 0
+                for place, path in enumerate(batch.column(0).to_pylist()):
+                    with store.open_input_file(path[skip:]) as file:
+                        held.append(file.read())
+                    size += len(held[-1])
+                    if size >= CONTENT_BYTES or place == batch.num_rows - 1:
+                        yield batch.slice(first, len(held)).append_column("content", pa.array(held, pa.binary()))
+                        held, size, first = [], 0, place + 1
+
+        return self._dealt(files.select("path", "length")).mapInArrow(read, "path string, length long, content binary")
+
     def _dealt(self, rows: DataFrame) -> DataFrame:
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
         return rows.repartition(parts, "path")
@@ -179,17 +198,21 @@ def discovery_report(found: DataFrame) -> DataFrame:
 def load_documents(spark: SparkSession, folder: str, extensions: Sequence[str] | None = None) -> DataFrame:
     """Text of every file with a loader: ``(path, file_type, file_size_bytes, title, text)``.
 
-    Bytes that are not UTF-8 are replaced. Each loader sees only its own files.
+    Bytes that are not UTF-8 are replaced. Each loader sees only its own files. Listed and read like ``discover``.
     """
     wanted = [e.lower() for e in (extensions or LOADERS)]
     unknown = [e for e in wanted if e not in LOADERS]
     if unknown:
         raise ValueError(f"No loader registered for extension {unknown[0]!r}. Supported: {list(LOADERS)}")
+    below = _Folder.open(spark, folder)
     parts = []
     for e in wanted:
-        # the glob keeps other loaders' files from being opened, whatever their case
-        glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+        if below:
+            files = below.contents(below.files().where(suffix(F.col("path")) == e))
+        else:
+            # the glob keeps other loaders' files from being opened, whatever their case
+            glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
         decoded = files.select(
             "path",
             suffix(F.col("path")).alias("file_type"),

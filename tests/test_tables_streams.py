@@ -265,20 +265,22 @@ def test_folders_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path, monkey
         return sorted((r.path, r.length, r.content.decode()) for r in rows if r.path.lower().endswith(".txt"))
 
     def same():
+        monkeypatch.setattr(documents, "CONTENT_BYTES", 10)
         monkeypatch.setattr(documents, "FOLDER_ROWS", 1)
         for folder in (top, top / "x.txt", tmp_path / "a*", top / "{1,1/2,k=v}", top.as_uri()):
             folder = str(folder) if "file:" not in str(folder) else f"file:{top}"
             wanted = by_spark(folder)
             assert len(wanted) >= 1
             assert sorted((r.path, r.file_size_bytes) for r in documents.discover(spark, folder, [".txt"]).collect()) == [w[:2] for w in wanted]
+            assert sorted((r.path, r.file_size_bytes, r.text) for r in documents.load_documents(spark, folder, [".txt"]).collect()) == wanted
         with pytest.raises(AnalysisException):
             documents.discover(spark, str(tmp_path / "none")).count()
         (tmp_path / "no files" / "below").mkdir(parents=True, exist_ok=True)
-        assert documents.discover(spark, str(tmp_path / "no files")).count() == 0
+        assert documents.discover(spark, str(tmp_path / "no files")).count() == documents.load_documents(spark, str(tmp_path / "no files")).count() == 0
 
     same()
     # the driver's reader of files isn't asked
-    plan = documents.discover(spark, str(top), [".txt"])._jdf.queryExecution().toString()
+    plan = documents.load_documents(spark, str(top), [".txt"])._jdf.queryExecution().toString()
     assert "binaryFile" not in plan
     with monkeypatch.context() as only_spark:
         only_spark.setattr(documents._Folder, "open", lambda spark, folder: None)
